@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encoding, packing, sentences, survivors
+from tessella.llm import encoding, packing, sentences, shared_spans, survivors
 from tessella.sources.tables import load
 
 #: Bundles of the built record of problem 1 and the dependency between two of them.
@@ -35,6 +35,22 @@ def p1_records(spark: SparkSession, base: str) -> DataFrame:
     return survivors.surviving_records(members, chosen, RECORD_BUNDLES, group="cluster_id", member="url")
 
 
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    runs = shared_spans.shared_runs(load(spark, base, "deduped_articles"), key="cluster_id", text="article_text")
+    return shared_spans.sharing_pairs(runs).select(F.col("id_a").alias("cluster_a"), F.col("id_b").alias("cluster_b"))
+
+
+def p7_shared(spark: SparkSession, base: str) -> DataFrame:
+    records = load(spark, base, "deduped_articles", ["cluster_id", "article_text"])
+    runs = shared_spans.shared_runs(records, key="cluster_id", text="article_text")
+    return shared_spans.shared_share(records, runs, key="cluster_id", text="article_text")
+
+
+def p7_removals(spark: SparkSession, base: str) -> DataFrame:
+    runs = shared_spans.shared_runs(load(spark, base, "deduped_articles"), key="cluster_id", text="article_text")
+    return shared_spans.shared_parts(runs, lost_only=True).withColumnRenamed("id", "cluster_id")
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return encoding.encode_column(load(spark, base, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("value").alias("ids"))
 
