@@ -22,6 +22,9 @@ MASKED = "\ue010"
 MARK = "\ue0ff"
 RESERVED = OPEN + CLOSE + "".join(a + z for a, z in BRACKETS) + MASKED + MARK
 
+# White space.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+
 # Abbreviations. The dot of a title never ends a sentence; the dot of a reference
 # word doesn't before a number; other abbreviations end one only where a new one follows.
 TITLES = (
@@ -55,7 +58,7 @@ def _mask_pairs() -> tuple[str, str]:
     """Paired quotation marks on one line become OPEN and CLOSE, German pairs before English ones."""
     parts = [f"{a}([^{inner}{_LINE_ENDS}]*)[{z}]" for a, z, inner in _QUOTES]
     parts.append(f"(?<![\\p{{L}}\\p{{N}}])‘([^‘’{_LINE_ENDS}]*(?:(?<=\\p{{L}})’(?=\\p{{L}})[^‘’{_LINE_ENDS}]*)*)’(?!\\p{{L}})")
-    return "|".join(parts), OPEN + "".join(f"${i + 1}" for i in range(len(parts))) + CLOSE
+    return "(?=[\"«»\\u2018-\\uff02])(?:" + "|".join(parts) + ")", OPEN + "".join(f"${i + 1}" for i in range(len(parts))) + CLOSE
 
 
 def _mask_brackets(level: int) -> tuple[str, str]:
@@ -64,7 +67,7 @@ def _mask_brackets(level: int) -> tuple[str, str]:
     plain = f"[^{signs}{_LINE_ENDS}]*+"
     parts = [f"\\{a}({plain})\\{z}" for a, z in _BRACKETS]
     opened, closed = BRACKETS[level]
-    return "|".join(parts), opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
+    return "(?=[(\\[{\\u3010-\\uff08])(?:" + "|".join(parts) + ")", opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
 
 
 def _silence(text: Column, opened: str, closed: str, kept_last: str) -> Column:
@@ -124,7 +127,7 @@ def _ends() -> str:
     dot = f"(?<!\\.)\\.(?![.…])(?:{CLOSE}{cased_after_blank}|[{shut})）\\]】〕}}]*(?:{new_after_blank}|{new_at_once}))"
     strong = f"(?:[{_STRONG}][{_STRONG}.…]*)[{shut})）\\]】〕}}”’\"»」』]*(?:(?<![!?][{shut})\\]}}”’\"»」』]{{0,3}})|{new_after_blank}|{new_at_once})"
     dots = f"(?:\\.{{2,}}|\\.*…[….]*)(?:[{shut})\\]}}]*(?:{cased_after_blank}|(?={_OPENERS}*\\p{{Lu}}\\p{{Ll}})))"
-    return f"({line}|{strong}|{dots}|{dot})"
+    return f"(?=[\\n-\\r\\u001C-\\u001E\\u0085!.?\\u0600-\\uffff])({line}|{strong}|{dots}|{dot})"
 
 
 def marked_text(text: Column) -> Column:
@@ -150,8 +153,8 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
         df.where(F.col(text).isNotNull())
         .select(F.col(key).alias("key"), F.posexplode(F.split(marked_text(F.col(text)), MARK)).alias("i", "piece"))
         .withColumn("len", F.length("piece"))
-        .withColumn("lead", F.col("len") - F.length(F.regexp_replace("piece", f"^{_BLANK}+", "")))
-        .withColumn("body", F.length(F.regexp_replace("piece", f"^{_BLANK}+|{_BLANK}+$", "")))
+        .withColumn("lead", F.col("len") - F.length(F.ltrim("piece", F.lit(WHITE_SPACE))))
+        .withColumn("body", F.length(F.trim("piece", F.lit(WHITE_SPACE))))
         .withColumn("kept", F.col("piece").rlike("[\\p{L}\\p{N}]"))
         .select("key", "i", "len", "lead", "body", "kept")
     )
