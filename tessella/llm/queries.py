@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encoding, packing, sentences, shared_spans, survivors
+from tessella.llm import encoding, lookalikes, packing, residue, sentences, shared_spans, site_lines, survivors
 from tessella.sources.tables import load
 
 #: Bundles of the built record of problem 1 and the dependency between two of them.
@@ -19,6 +19,8 @@ RECORD_BUNDLES = {
 RECORD_DEPENDENCY = ("outlet", "source_country")
 #: Budgets come from a table of a few rows; more than this is an error, not a plan.
 MOST_BUDGETS = 1000
+#: The codebook doesn't grow with the corpus; a larger one is an error, not cut short.
+MOST_KEYWORDS = 200_000
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -35,6 +37,45 @@ def p1_records(spark: SparkSession, base: str) -> DataFrame:
     return survivors.surviving_records(members, chosen, RECORD_BUNDLES, group="cluster_id", member="url")
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return residue.residue_documents(load(spark, base, "labeled_articles"), key="url", text="article_text")
+
+
+def p3_kept(spark: SparkSession, base: str) -> DataFrame:
+    """Key and length of what is left when residue is excluded."""
+    articles = load(spark, base, "labeled_articles", ["url", "fetch_status", "text_chars", "article_text"])
+    return residue.without_residue(articles, key="url", text="article_text").select("url", "fetch_status", "text_chars").distinct()
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return site_lines.repeated_lines(load(spark, base, "labeled_articles"), key="url", source="outlet", text="article_text")
+
+
+def p5_near(spark: SparkSession, base: str) -> DataFrame:
+    return site_lines.near_repeated_lines(load(spark, base, "labeled_articles"), key="url", source="outlet", text="article_text")
+
+
+def p5_cleaned(spark: SparkSession, base: str) -> DataFrame:
+    articles = load(spark, base, "labeled_articles", ["url", "outlet", "article_text"]).dropDuplicates(["url"])
+    removed = site_lines.repeated_lines(articles, key="url", source="outlet", text="article_text")
+    return site_lines.without_lines(articles, removed, key="url", text="article_text")
+
+
+def _codebook(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    rows = load(spark, base, "metoo_keywords_v3", ["kw_id", "keyword"]).limit(MOST_KEYWORDS + 1).collect()
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError("the codebook is too large to be held on the driver")
+    return [(r.kw_id, r.keyword) for r in rows]
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return lookalikes.hidden_mentions(load(spark, base, "labeled_articles"), _codebook(spark, base), key="url", text="article_text")
+
+
+def p6_mentions(spark: SparkSession, base: str) -> DataFrame:
+    return lookalikes.mention_counts(load(spark, base, "labeled_articles"), _codebook(spark, base), key="url", text="article_text")
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     runs = shared_spans.shared_runs(load(spark, base, "deduped_articles"), key="cluster_id", text="article_text")
     return shared_spans.sharing_pairs(runs).select(F.col("id_a").alias("cluster_a"), F.col("id_b").alias("cluster_b"))
