@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encoding, lookalikes, packing, residue, sentences, shared_spans, site_lines, survivors
+from tessella.llm import encoding, languages, lookalikes, packing, residue, sentences, shared_spans, site_lines, survivors
 from tessella.sources.tables import load
 
 #: Bundles of the built record of problem 1 and the dependency between two of them.
@@ -47,6 +47,23 @@ def p3_kept(spark: SparkSession, base: str) -> DataFrame:
     return residue.without_residue(articles, key="url", text="article_text").select("url", "fetch_status", "text_chars").distinct()
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    articles = load(spark, base, "labeled_articles")
+    found = languages.document_languages(articles, key="url", text="article_text", title="fetched_title", label="language")
+    pages = residue.residue_documents(articles, key="url", text="article_text")
+    return languages.mislabelled(found, key="url").join(pages, "url", "left_anti").distinct()
+
+
+def p4_languages(spark: SparkSession, base: str) -> DataFrame:
+    articles = load(spark, base, "labeled_articles")
+    found = languages.document_languages(articles, key="url", text="article_text", title="fetched_title", label="language")
+    return found.select("url", "lang", "share", "confidence").distinct()
+
+
+def p4_segments(spark: SparkSession, base: str) -> DataFrame:
+    return languages.language_segments(load(spark, base, "labeled_articles", ["url", "article_text"]).dropDuplicates(["url"]), key="url", text="article_text")
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return site_lines.repeated_lines(load(spark, base, "labeled_articles"), key="url", source="outlet", text="article_text")
 
