@@ -12,7 +12,8 @@ the identity.
 2. Around these places only, digests of 128 bits of every run of exactly ``min_span`` signs are
    grouped. A run whose group has two records is shared.
 3. Groups with the same members are represented by one digest (members are compared by
-   count, least, greatest and sum of hashes, never collected), whose members are paired.
+   count, least, greatest and sum of hashes, never collected), whose members are paired. Distinct pairs are
+   the result that is asked for; shares and removals need none.
 
 Null and short texts share nothing. A record whose key is repeated counts once: the least text stands for it.
 Rows with a null key are left out. Long texts are read in overlapping segments, so memory is bounded.
@@ -33,6 +34,8 @@ MIN_SPAN = 200
 GRAM = 120
 #: Code points hashed at once by a Python worker.
 SEGMENT_CHARS = 1 << 18
+#: Candidate places up to this size are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 # Odd multipliers of the rolling hashes and of the mixing steps.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -203,16 +206,18 @@ def shared_runs(records: DataFrame, *, key: str, text: str, min_span: int = MIN_
     kind = slim.schema["id"].dataType.simpleString()
     units = slim.mapInArrow(_unit_mapper(min_span, gram), f"id {kind}, pos int, digest bigint")
     repeated = units.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest")
-    places = units.join(repeated, "digest").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    chosen = places.join(slim, "id").groupBy("id").agg(F.min(F.struct("text", "places")).alias("x")).select("id", "x.text", "x.places")
+    places = cut_lineage(units.join(repeated, "digest").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("places")))
+    # few records share anything as a rule: then their places travel to the texts instead of the texts to them
+    size = places.agg(F.sum(F.size("places") * 4 + 64)).first()[0] or 0
+    few = F.broadcast(places) if size <= BROADCAST_BYTES else places
+    chosen = slim.join(few, "id").groupBy("id").agg(F.min(F.struct("text", "places")).alias("x")).select("id", "x.text", "x.places")
     return cut_lineage(chosen.mapInArrow(_run_mapper(min_span, gram), f"id {kind}, start int, d1 bigint, d2 bigint"))
 
 
 def _groups(runs: DataFrame) -> DataFrame:
     """Runs in two or more records: their first owner and what tells their members apart."""
-    once = runs.select("d1", "d2", "id").distinct()
     return (
-        once.groupBy("d1", "d2")
+        runs.groupBy("d1", "d2")
         .agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
         .where("owner <> last")
     )
@@ -222,7 +227,7 @@ def sharing_pairs(runs: DataFrame) -> DataFrame:
     """Pairs ``id_a < id_b`` of records that share a run."""
     groups = _groups(runs)
     one_each = groups.groupBy("owner", "last", "n", "sum").agg(F.min(F.struct("d1", "d2")).alias("d")).select("d.d1", "d.d2")
-    members = runs.select("d1", "d2", "id").distinct().join(one_each, ["d1", "d2"])
+    members = runs.select("d1", "d2", "id").join(one_each, ["d1", "d2"])
     left, right = members.withColumnRenamed("id", "id_a"), members.withColumnRenamed("id", "id_b")
     return left.join(right, ["d1", "d2"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
