@@ -1,19 +1,47 @@
-"""All core queries and their SQL by name."""
+"""All core queries and their SQL by name; modules register with the ``query`` decorator."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("columns", "relations", "profiles", "corpus", "phrases", "events", "skew")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and, where SQL can say the same, its SQL."""
+
+    def register(function: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = function
+        if sql is not None:
+            _SQL[name] = sql
+        return function
+
+    return register
+
+
+def _load() -> None:
+    for module in _MODULES:
+        importlib.import_module(f"tessella.plans.{module}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return queries()["prof_hashtag_country"](spark, base)
+    """Hashtag share by country, from keyword matching over whole texts upwards."""
+    return queries()["flow_match_to_profile"](spark, base)
