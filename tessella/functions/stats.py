@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Wilson interval of k successes in n trials, kept within 0 and 1; (0, 0) without trials."""
+    """Wilson interval of k successes in n trials to 12 places, kept within 0 and 1; (0, 0) without trials."""
     p, z2 = k / n, z * z
     middle, width = (p + z2 / (2 * n)) / (1 + z2 / n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     some = n > 0
     return (
-        F.when(some, F.greatest(F.lit(0.0), middle - width)).otherwise(0.0),
-        F.when(some, F.least(F.lit(1.0), middle + width)).otherwise(0.0),
+        F.when(some, F.greatest(F.lit(0.0), F.round(middle - width, 12))).otherwise(0.0),
+        F.when(some, F.least(F.lit(1.0), F.round(middle + width, 12))).otherwise(0.0),
     )
 
 

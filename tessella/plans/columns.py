@@ -27,8 +27,13 @@ def sql_norm(expression: str, addresses: bool = False) -> str:
     return f"trim(regexp_replace(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+def sql_lower(expression: str) -> str:
+    """Lower case with the full mapping of the dotted capital I, which DuckDB shortens."""
+    return f"lower(replace({expression}, chr(304), 'i' || chr(775)))"
+
+
 def sql_tokens(expression: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({expression}, '')), '([\\p{{L}}\\p{{Nl}}\\p{{No}}]+)'), lambda w: length(w) >= 2)"
+    return f"list_filter(regexp_extract_all({sql_lower(f'coalesce({expression}, {chr(39)}{chr(39)})')}, '([\\p{{L}}\\p{{Nl}}\\p{{No}}]+)'), lambda w: length(w) >= 2)"
 
 
 USABLE = f"fetch_status IN ({quoted(R.USABLE_STATUS)}) AND article_text IS NOT NULL"
@@ -236,7 +241,7 @@ def fn_tokenize(spark, base):
     return df.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query("fn_tokenize3", "SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}_]+)'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '[\\p{Nd}_]')), ' ')) AS digest FROM documents")
+@query("fn_tokenize3", "SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(replace(coalesce(text, ''), chr(304), 'i' || chr(775))), '([\\p{L}\\p{N}_]+)'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '[\\p{Nd}_]')), ' ')) AS digest FROM documents")
 def fn_tokenize3(spark, base):
     return S.load(spark, base, "documents", ["doc_id", "text"]).select("doc_id", F.md5(F.array_join(X.tokens3(F.col("text")), " ")).alias("digest"))
 
@@ -304,8 +309,8 @@ def fn_truncate(spark, base):
     return S.load(spark, base, "documents", ["doc_id", "text"]).select("doc_id", F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 700)).alias("head"))
 
 
-WILSON = ("CASE WHEN n > 0 THEN greatest(0.0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) ELSE 0.0 END AS low, "
-          "CASE WHEN n > 0 THEN least(1.0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)) ELSE 0.0 END AS high")
+WILSON = ("CASE WHEN n > 0 THEN greatest(0.0, round((k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 12)) ELSE 0.0 END AS low, "
+          "CASE WHEN n > 0 THEN least(1.0, round((k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 12)) ELSE 0.0 END AS high")
 
 
 @query("stat_wilson", f"WITH c AS (SELECT coalesce(source_country, 'UNKNOWN') AS country, CAST(count(*) FILTER (WHERE is_about_movement) AS DOUBLE) AS k, CAST(count(is_about_movement) AS DOUBLE) AS n FROM labeled_articles GROUP BY 1) SELECT country, k, n, {WILSON} FROM c")
