@@ -1 +1,199 @@
-"""Queries."""
+"""Queries of duplicate detection, text repair, topics and labelling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import resources as R
+from tessella.functions import text as X
+from tessella.operators import columns as C
+from tessella.operators import dedupe as D
+from tessella.operators import repair, topics
+from tessella.operators.relations import connected_components
+from tessella.plans.columns import sql_norm
+from tessella.plans.registry import query
+from tessella.sources.tables import load
+
+NORM_URL = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', ''), '[?#][\\s\\S]*$', ''), '/+$', ''))"
+ROWS = f"r AS MATERIALIZED (SELECT url, x.title AS title, x.outlet AS outlet, {NORM_URL} AS nu, {sql_norm('x.title')} AS nt, lower(trim(x.outlet)) AS o FROM (SELECT url, min({{'title': title, 'outlet': outlet}}) AS x FROM articles_v3 GROUP BY url))"
+
+
+def _articles(spark, base):
+    df = load(spark, base, "articles_v3", ["url", "title", "outlet"])
+    return df.groupBy("url").agg(F.min(F.struct("title", "outlet")).alias("x")).select("url", "x.title", "x.outlet")
+
+
+@query("dd_url_variant", f"SELECT url, min(url) OVER (PARTITION BY {NORM_URL}) AS first_url FROM (SELECT DISTINCT url FROM articles_v3)")
+def dd_url_variant(spark, base):
+    return D.address_edges(load(spark, base, "articles_v3", ["url"]).distinct()).select(F.col("a").alias("url"), F.col("b").alias("first_url"))
+
+
+@query("dd_title_outlet", "WITH t AS (SELECT url, " + sql_norm("min(title)") + " AS t, lower(trim(min(outlet))) AS o FROM articles_v3 GROUP BY url) SELECT url, min(url) OVER (PARTITION BY t, o) AS first_url FROM t WHERE length(t) > 15 AND o IS NOT NULL")
+def dd_title_outlet(spark, base):
+    rows = load(spark, base, "articles_v3", ["url", "title", "outlet"]).groupBy("url").agg(F.min("title").alias("title"), F.min("outlet").alias("outlet"))
+    return D.title_edges(rows).select(F.col("a").alias("url"), F.col("b").alias("first_url"))
+
+
+@query("dd_syndication", f"WITH k AS (SELECT DISTINCT url, {sql_norm('title')} AS t, lower(trim(outlet)) AS o FROM articles_v3) SELECT DISTINCT url FROM k WHERE length(t) > 15 AND t IN (SELECT t FROM k WHERE length(t) > 15 GROUP BY t HAVING count(DISTINCT o) > 1)")
+def dd_syndication(spark, base):
+    return D.syndicated(load(spark, base, "articles_v3", ["url", "title", "outlet"]))
+
+
+@query("dd_components", """WITH RECURSIVE t AS MATERIALIZED (SELECT url, """ + NORM_URL + """ AS nu, """ + sql_norm("min(title)") + """ AS t, lower(trim(min(outlet))) AS o FROM articles_v3 GROUP BY url), e AS MATERIALIZED (
+SELECT url AS a, min(url) OVER (PARTITION BY nu) AS b FROM t UNION SELECT url, min(url) OVER (PARTITION BY t, o) FROM t WHERE length(t) > 15 AND o IS NOT NULL), g AS MATERIALIZED (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+w AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, g.b FROM w JOIN g ON w.seen = g.a)
+SELECT id AS url, min(seen) AS cluster_id FROM w GROUP BY id""")
+def dd_components(spark, base):
+    rows = load(spark, base, "articles_v3", ["url", "title", "outlet"]).groupBy("url").agg(F.min("title").alias("title"), F.min("outlet").alias("outlet"))
+    found = connected_components(D.address_edges(rows).union(D.title_edges(rows)))
+    return found.select(F.col("id").alias("url"), F.col("component").alias("cluster_id"))
+
+
+@query("dd_prefetch")
+def dd_prefetch(spark, base):
+    return D.prefetch_clusters(load(spark, base, "articles_v3", ["url", "title", "outlet"]))
+
+
+BODIES = f"b AS MATERIALIZED (SELECT url AS id, {sql_norm('min(article_text)', True)} AS norm FROM labeled_articles WHERE length(article_text) > 200 GROUP BY url)"
+
+
+@query("dd_exact", f"WITH {BODIES} SELECT id, min(id) OVER (PARTITION BY norm) AS rep FROM b")
+def dd_exact(spark, base):
+    return D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text").select("id", "rep")
+
+
+SHINGLE_SETS = f"""{BODIES}, u AS MATERIALIZED (SELECT id, norm FROM (SELECT id, norm, min(id) OVER (PARTITION BY norm) AS rep FROM b) WHERE id = rep), w AS (SELECT id, string_split(norm, ' ') AS w FROM u),
+s AS MATERIALIZED (SELECT id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE list_distinct(w) END AS sh FROM w), x AS MATERIALIZED (SELECT id, len(sh) AS n, unnest(sh) AS s FROM s)"""
+PAIRS = "p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity FROM x a JOIN x b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)"
+
+
+@query("dd_jaccard_pairs", f"WITH {SHINGLE_SETS}, {PAIRS} SELECT a, b, similarity FROM p WHERE similarity >= 0.8")
+def dd_jaccard_pairs(spark, base):
+    """Pairs of class representatives: equal bodies are one class, given by dd_exact."""
+    units = D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return D.similar_pairs(units.where("id = rep").select("id", "norm"))
+
+
+@query("join_self_jaccard", f"WITH {SHINGLE_SETS}, {PAIRS} SELECT a, b, similarity FROM p WHERE similarity >= 0.5")
+def join_self_jaccard(spark, base):
+    units = D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return D.similar_pairs(units.where("id = rep").select("id", "norm"), 0.5)
+
+
+@query("dd_near_components", f"""WITH RECURSIVE {SHINGLE_SETS}, {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM p WHERE similarity >= 0.8 UNION SELECT id, rep FROM (SELECT id, min(id) OVER (PARTITION BY norm) AS rep FROM b)),
+g AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS id, a AS seen FROM g UNION SELECT walk.id, g.b FROM walk JOIN g ON walk.seen = g.a) SELECT id, min(seen) AS cluster_id FROM walk GROUP BY id""")
+def dd_near_components(spark, base):
+    return D.near_clusters(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+
+
+@query("dd_threshold_table")
+def dd_threshold_table(spark, base):
+    return D.threshold_table(load(spark, base, "deduped_articles", ["url", "article_text"]), "url", "article_text")
+
+
+@query("dd_editorial_guard")
+def dd_editorial_guard(spark, base):
+    mapped = load(spark, base, "dedupe_map", ["cluster_id", "url"]).distinct()
+    rows = load(spark, base, "labeled_articles", ["url", "article_type", "stance", "evaluative_language", "article_text"]).dropDuplicates(["url"])
+    words = F.transform("evaluative_language", lambda w: F.lower(F.trim(w)))
+    members = mapped.join(rows, "url").select("cluster_id", "url", "article_type", "stance", F.array_distinct(words).alias("words"), X.norm_body(F.col("article_text")).alias("norm"))
+    return D.editorial_splits(members)
+
+
+@query("dd_representative", """WITH m AS (SELECT DISTINCT cluster_id, url FROM dedupe_map), l AS (SELECT url, max(length(coalesce(article_text, ''))) AS chars FROM labeled_articles GROUP BY url), j AS (SELECT cluster_id, m.url, chars FROM m JOIN l ON m.url = l.url)
+SELECT cluster_id, arg_min(url, (-chars, url)) AS url, count(*) AS dup_count, string_agg(url, ' ; ' ORDER BY url) AS dup_urls FROM j GROUP BY cluster_id""")
+def dd_representative(spark, base):
+    return D.representatives(load(spark, base, "dedupe_map", ["cluster_id", "url"]), load(spark, base, "labeled_articles", ["url", "article_text"]))
+
+
+@query("dd_minhash_lsh")
+def dd_minhash_lsh(spark, base):
+    units = D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return topics.minhash_pairs(units.where("id = rep").select("id", "norm"))
+
+
+@query("fn_repair_rot47")
+def fn_repair_rot47(spark, base):
+    """Every fourth of the bodies is turned first, so that there is something to repair."""
+    df = load(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    turned = F.when(F.pmod(F.xxhash64("url"), F.lit(4)) == 0, X.rot47(F.concat(F.lit("<p>"), "article_text", F.lit("</p>")))).otherwise(F.col("article_text"))
+    return repair.repaired(df.select("url", turned.alias("body")), "url", "body").select("url", "changed", F.length("repaired").alias("chars"))
+
+
+@query("fn_fix_mojibake")
+def fn_fix_mojibake(spark, base):
+    df = load(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    return df.select("url", F.md5(repair.fix_mojibake(F.col("article_text"))).alias("digest"))
+
+
+@query("fn_detect_lang")
+def fn_detect_lang(spark, base):
+    return load(spark, base, "documents", ["doc_id", "text"]).select("doc_id", topics.stop_word_language(F.col("text")).alias("detected"))
+
+
+@query("tx_lda")
+def tx_lda(spark, base):
+    df = load(spark, base, "labeled_articles", ["url", "language", "article_text", "fetch_status", "text_chars"]).where(C.usable(F.col("fetch_status"), F.col("article_text"))).dropDuplicates(["url"])
+    docs = df.withColumn("lang", topics.stop_word_language(F.col("article_text"))).where("lang is not null and text_chars >= 800")
+    return topics.topics_by_language(docs, key="url", lang="lang", text="article_text", topics=4, iterations=5, least_documents=30)
+
+
+@query("tx_top_words")
+def tx_top_words(spark, base):
+    df = load(spark, base, "labeled_articles", ["url", "article_text", "text_chars"]).where("article_text is not null and text_chars >= 800").dropDuplicates(["url"])
+    docs = df.withColumn("lang", topics.stop_word_language(F.col("article_text"))).where("lang is not null")
+    return topics.top_words_by_language(docs, lang="lang", text="article_text", topics=4, iterations=5, least_documents=30)
+
+
+@query("llm_label")
+def llm_label(spark, base):
+    from tessella.sources.web import label_rows
+
+    df = load(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    return label_rows(df, "url", "article_text")
+
+
+RULES = "(VALUES (1, 'en', 'tribunal', 'Hearings'), (2, 'en', 'staff', 'Staff matters'), (3, 'en', 'letter', 'Staff matters'), (4, 'fr', 'tribunal', 'Audiences'), (5, 'en', 'hotel', 'DROP  (hotels)')) AS r(rule, lang, word, name)"
+
+
+@query("fn_suggest_name", f"""WITH t AS (SELECT doc_id, lang, {sql_norm('title')} AS t FROM documents WHERE lang IN ('en', 'fr')), h AS (SELECT doc_id, name, min(rule) AS rule, count(*) AS hits FROM t JOIN {RULES} ON t.lang = r.lang AND contains(t.t, r.word) GROUP BY 1, 2)
+SELECT doc_id, name FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, rule) = 1""")
+def fn_suggest_name(spark, base):
+    titles = load(spark, base, "documents", ["doc_id", "lang", "title"]).where("lang in ('en', 'fr')")
+    return topics.suggested_names(titles.select("doc_id", "lang", X.norm_title(F.col("title")).alias("words")), key="doc_id")
+
+
+@query("tx_name_template", f"""WITH t AS (SELECT lang, CAST(doc_id % 8 + 1 AS INT) AS topic, string_agg({sql_norm('title')}, ' ' ORDER BY doc_id) AS top_words FROM documents WHERE lang IN ('en', 'fr') AND doc_id < 40 GROUP BY 1, 2), h AS (SELECT t.lang, topic, name, min(rule) AS rule, count(*) AS hits FROM t JOIN {RULES} ON t.lang = r.lang AND contains(t.top_words, r.word) GROUP BY 1, 2, 3),
+s AS (SELECT lang, topic, name FROM h QUALIFY row_number() OVER (PARTITION BY lang, topic ORDER BY hits DESC, rule) = 1)
+SELECT t.lang, t.topic, top_words, coalesce(s.name, '') AS suggested_name, '' AS your_name FROM t LEFT JOIN s ON t.lang = s.lang AND t.topic = s.topic""")
+def tx_name_template(spark, base):
+    df = load(spark, base, "documents", ["doc_id", "lang", "title"]).where("lang in ('en', 'fr') and doc_id < 40")
+    topic = (F.col("doc_id") % 8 + 1).cast("int")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", X.norm_title(F.col("title")).alias("t")))), lambda x: x["t"]), " ")
+    table = df.groupBy("lang", topic.alias("topic")).agg(words.alias("top_words"))
+    return topics.name_template(table)
+
+
+@query("join_topic_names", f"WITH t AS (SELECT doc_id, CAST(doc_id % 8 + 1 AS INT) AS topic, lang FROM documents WHERE lang IS NOT NULL), n(lang, topic, your_name, suggested) AS (VALUES ('en', 1, 'Courts', 'x'), ('en', 2, NULL, 'Staff matters'), ('fr', 1, NULL, 'DROP  (noise)')) SELECT doc_id, coalesce(your_name, suggested, 'Topic ' || t.topic) AS name FROM t LEFT JOIN n ON t.lang = n.lang AND t.topic = n.topic")
+def join_topic_names(spark, base):
+    docs = load(spark, base, "documents", ["doc_id", "lang"]).where("lang is not null").withColumn("topic", (F.col("doc_id") % 8 + 1).cast("int"))
+    return topics.named_topics(docs, _names(spark)).select("doc_id", "name")
+
+
+def _names(spark):
+    return spark.createDataFrame([("en", 1, "Courts", "x"), ("en", 2, None, "Staff matters"), ("fr", 1, None, "DROP  (noise)")], "lang string, topic int, your_name string, suggested string")
+
+
+@query("proj_topic_drop", "WITH t AS (SELECT doc_id, CAST(doc_id % 8 + 1 AS INT) AS topic, lang FROM documents WHERE lang IS NOT NULL) SELECT doc_id FROM t WHERE NOT (lang = 'fr' AND topic = 1)")
+def proj_topic_drop(spark, base):
+    docs = load(spark, base, "documents", ["doc_id", "lang"]).where("lang is not null").withColumn("topic", (F.col("doc_id") % 8 + 1).cast("int"))
+    named = topics.named_topics(docs, _names(spark))
+    return named.where(~F.col("name").startswith("DROP")).select("doc_id")
+
+
+@query("agg_topic_mix", "WITH d AS (SELECT source_country AS country, [n_chars % 7 / 7.0, 1 - n_chars % 7 / 7.0] AS w FROM documents WHERE source_country IS NOT NULL) SELECT country, count(*) AS n, avg(w[1]) AS topic_1, avg(w[2]) AS topic_2 FROM d GROUP BY 1 HAVING count(*) >= 10")
+def agg_topic_mix(spark, base):
+    df = load(spark, base, "documents", ["source_country", "n_chars"]).where("source_country is not null")
+    part = (F.col("n_chars") % 7) / F.lit(7.0)
+    weighted = df.select(F.col("source_country").alias("country"), F.array(part, 1 - part).alias("w"))
+    return topics.topic_mix(weighted, "country", "w", 2, 10)
