@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import norm_body, norm_title, norm_url, shingles
 from tessella.operators.relations import connected_components
+from tessella.session import cut_lineage
 
 MIN_TITLE = 15
 OPINION_TYPES = ("opinion_editorial", "feature_analysis", "Opinion/Editorial", "Analysis")
@@ -68,7 +69,8 @@ def similar_pairs(units: DataFrame, threshold: float = 0.8) -> DataFrame:
     sets = units.select("id", shingles(F.col("norm")).alias("sh")).where(F.size("sh") > 0)
     each = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s")).select("id", "n", F.xxhash64("s").alias("s"))
     frequency = each.groupBy("s").agg(F.count("*").alias("df"))
-    ordered = each.join(frequency, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    # read four times below, so written once
+    ordered = cut_lineage(each.join(frequency, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o")))
     length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), length)).alias("p")).where("p.df > 1").select("id", "n", F.col("p.s").alias("s"))
     left, right = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "s") for x in "ab")

@@ -43,21 +43,17 @@ def ngrams(docs: DataFrame, *, longest: int = 4, least: int = 5) -> DataFrame:
     """
     frequent = vocabulary(docs).where(F.col("n") >= least).select("lang", "word")
     spots = docs.select("doc_id", "lang", F.posexplode("toks").alias("pos", "word"))
-    kept = spots.join(frequent, ["lang", "word"])
-    by_document = kept.groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "word", is_stop(F.col("word"), F.col("lang")).alias("stop")))).alias("k"))
+    kept = spots.join(frequent, ["lang", "word"]).withColumn("stop", is_stop(F.col("word"), F.col("lang")))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    for k in range(1, longest):
+        kept = kept.withColumn(f"w{k}", F.lead("word", k).over(order)).withColumn(f"p{k}", F.lead("pos", k).over(order)).withColumn(f"s{k}", F.lead("stop", k).over(order))
 
-    def cut(k: Column) -> Column:
-        def from_start(i: Column) -> Column:
-            def of_length(n: int) -> Column:
-                piece = F.slice(k, i, n)
-                ok = (F.size(piece) == n) & (F.element_at(piece, -1)["pos"] == F.element_at(piece, 1)["pos"] + n - 1) & ~F.element_at(piece, 1)["stop"] & ~F.element_at(piece, -1)["stop"]
-                return F.when(ok, F.struct(F.array_join(F.transform(piece, lambda x: x["word"]), " ").alias("phrase"), F.lit(n).alias("words")))
+    def of_length(n: int) -> Column:
+        whole = (F.col(f"p{n - 1}") == F.col("pos") + n - 1) & ~F.col(f"s{n - 1}")
+        return F.when(whole, F.struct(F.concat_ws(" ", "word", *[f"w{k}" for k in range(1, n)]).alias("phrase"), F.lit(n).alias("words")))
 
-            return F.array(*[of_length(n) for n in range(2, longest + 1)])
-
-        return F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.size(k)), from_start)), lambda x: x.isNotNull())
-
-    found = by_document.select("doc_id", "lang", F.explode(cut(F.col("k"))).alias("g")).select("doc_id", "lang", "g.phrase", "g.words")
+    opened = kept.where(~F.col("stop")).select("doc_id", "lang", F.explode(F.array(*[of_length(n) for n in range(2, longest + 1)])).alias("g"))
+    found = opened.where("g is not null").select("doc_id", "lang", "g.phrase", "g.words")
     about = docs.select("doc_id", F.coalesce("outlet", F.lit(R.UNKNOWN)).alias("outlet"), F.coalesce("country", F.lit(R.UNKNOWN)).alias("country"))
     return found.join(about, "doc_id")
 
@@ -73,12 +69,12 @@ def ngram_table(grams: DataFrame, *, least_documents: int = 10, share: float = 0
 
     A pre-cut of four times ``top`` by frequency precedes the final order; ties go by phrase.
     """
-    counted = ngram_counts(grams).where(F.col("documents") >= least_documents)
-    survivors = grams.join(counted.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-    by_outlet = survivors.groupBy("lang", "phrase", "outlet").agg(F.count("*").alias("n"))
-    outlets = by_outlet.groupBy("lang", "phrase").agg(F.count("*").alias("outlets"), F.min(F.struct((-F.col("n")).alias("n"), "outlet")).alias("t"), F.sum("n").alias("all"))
-    countries = survivors.groupBy("lang", "phrase").agg(F.countDistinct("country").alias("countries"))
-    joined = counted.join(outlets, ["lang", "phrase"]).join(countries, ["lang", "phrase"])
+    once = grams.groupBy("lang", "phrase", "words", "doc_id", "outlet", "country").agg(F.count("*").alias("n"))
+    by_outlet = once.groupBy("lang", "phrase", "words", "outlet").agg(F.sum("n").alias("n"), F.count("*").alias("documents"), F.collect_set("country").alias("countries"))
+    joined = by_outlet.groupBy("lang", "phrase", "words").agg(
+        F.sum("n").alias("occurrences"), F.sum("documents").alias("documents"), F.count("*").alias("outlets"),
+        F.min(F.struct((-F.col("n")).alias("n"), "outlet")).alias("t"), F.size(F.array_distinct(F.flatten(F.collect_list("countries")))).cast("bigint").alias("countries"),
+    ).withColumn("all", F.col("occurrences")).where(F.col("documents") >= least_documents)
     made = joined.select(
         "lang", "phrase", "words", "occurrences", "documents", "outlets", "countries", F.col("t.outlet").alias("top_outlet"),
         (-F.col("t.n") / F.col("all")).alias("top_outlet_share"), (-F.col("t.n") / F.col("all") > share).alias("syndication_flag"),

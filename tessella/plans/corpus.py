@@ -12,7 +12,7 @@ from tessella.operators import repair, topics
 from tessella.operators.relations import connected_components
 from tessella.plans.columns import sql_norm
 from tessella.plans.registry import query
-from tessella.sources.tables import load
+from tessella.sources.tables import load, load_spread
 
 NORM_URL = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', ''), '[?#][\\s\\S]*$', ''), '/+$', ''))"
 ROWS = f"r AS MATERIALIZED (SELECT url, x.title AS title, x.outlet AS outlet, {NORM_URL} AS nu, {sql_norm('x.title')} AS nt, lower(trim(x.outlet)) AS o FROM (SELECT url, min({{'title': title, 'outlet': outlet}}) AS x FROM articles_v3 GROUP BY url))"
@@ -59,7 +59,7 @@ BODIES = f"b AS MATERIALIZED (SELECT url AS id, {sql_norm('min(article_text)', T
 
 @query("dd_exact", f"WITH {BODIES} SELECT id, min(id) OVER (PARTITION BY norm) AS rep FROM b")
 def dd_exact(spark, base):
-    return D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text").select("id", "rep")
+    return D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text").select("id", "rep")
 
 
 SHINGLE_SETS = f"""{BODIES}, u AS MATERIALIZED (SELECT id, norm FROM (SELECT id, norm, min(id) OVER (PARTITION BY norm) AS rep FROM b) WHERE id = rep), w AS (SELECT id, string_split(norm, ' ') AS w FROM u),
@@ -70,31 +70,31 @@ PAIRS = "p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) +
 @query("dd_jaccard_pairs", f"WITH {SHINGLE_SETS}, {PAIRS} SELECT a, b, similarity FROM p WHERE similarity >= 0.8")
 def dd_jaccard_pairs(spark, base):
     """Pairs of class representatives: equal bodies are one class, given by dd_exact."""
-    units = D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    units = D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
     return D.similar_pairs(units.where("id = rep").select("id", "norm"))
 
 
 @query("join_self_jaccard", f"WITH {SHINGLE_SETS}, {PAIRS} SELECT a, b, similarity FROM p WHERE similarity >= 0.5")
 def join_self_jaccard(spark, base):
-    units = D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    units = D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
     return D.similar_pairs(units.where("id = rep").select("id", "norm"), 0.5)
 
 
 @query("dd_near_components", f"""WITH RECURSIVE {SHINGLE_SETS}, {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM p WHERE similarity >= 0.8 UNION SELECT id, rep FROM (SELECT id, min(id) OVER (PARTITION BY norm) AS rep FROM b)),
 g AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS id, a AS seen FROM g UNION SELECT walk.id, g.b FROM walk JOIN g ON walk.seen = g.a) SELECT id, min(seen) AS cluster_id FROM walk GROUP BY id""")
 def dd_near_components(spark, base):
-    return D.near_clusters(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return D.near_clusters(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
 
 
 @query("dd_threshold_table")
 def dd_threshold_table(spark, base):
-    return D.threshold_table(load(spark, base, "deduped_articles", ["url", "article_text"]), "url", "article_text")
+    return D.threshold_table(load_spread(spark, base, "deduped_articles", ["url", "article_text"]), "url", "article_text")
 
 
 @query("dd_editorial_guard")
 def dd_editorial_guard(spark, base):
     mapped = load(spark, base, "dedupe_map", ["cluster_id", "url"]).distinct()
-    rows = load(spark, base, "labeled_articles", ["url", "article_type", "stance", "evaluative_language", "article_text"]).dropDuplicates(["url"])
+    rows = load_spread(spark, base, "labeled_articles", ["url", "article_type", "stance", "evaluative_language", "article_text"]).dropDuplicates(["url"])
     words = F.transform("evaluative_language", lambda w: F.lower(F.trim(w)))
     members = mapped.join(rows, "url").select("cluster_id", "url", "article_type", "stance", F.array_distinct(words).alias("words"), X.norm_body(F.col("article_text")).alias("norm"))
     return D.editorial_splits(members)
@@ -103,44 +103,44 @@ def dd_editorial_guard(spark, base):
 @query("dd_representative", """WITH m AS (SELECT DISTINCT cluster_id, url FROM dedupe_map), l AS (SELECT url, max(length(coalesce(article_text, ''))) AS chars FROM labeled_articles GROUP BY url), j AS (SELECT cluster_id, m.url, chars FROM m JOIN l ON m.url = l.url)
 SELECT cluster_id, arg_min(url, (-chars, url)) AS url, count(*) AS dup_count, string_agg(url, ' ; ' ORDER BY url) AS dup_urls FROM j GROUP BY cluster_id""")
 def dd_representative(spark, base):
-    return D.representatives(load(spark, base, "dedupe_map", ["cluster_id", "url"]), load(spark, base, "labeled_articles", ["url", "article_text"]))
+    return D.representatives(load(spark, base, "dedupe_map", ["cluster_id", "url"]), load_spread(spark, base, "labeled_articles", ["url", "article_text"]))
 
 
 @query("dd_minhash_lsh")
 def dd_minhash_lsh(spark, base):
-    units = D.bodies(load(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    units = D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
     return topics.minhash_pairs(units.where("id = rep").select("id", "norm"))
 
 
 @query("fn_repair_rot47")
 def fn_repair_rot47(spark, base):
     """Every fourth of the bodies is turned first, so that there is something to repair."""
-    df = load(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
     turned = F.when(F.pmod(F.xxhash64("url"), F.lit(4)) == 0, X.rot47(F.concat(F.lit("<p>"), "article_text", F.lit("</p>")))).otherwise(F.col("article_text"))
     return repair.repaired(df.select("url", turned.alias("body")), "url", "body").select("url", "changed", F.length("repaired").alias("chars"))
 
 
 @query("fn_fix_mojibake")
 def fn_fix_mojibake(spark, base):
-    df = load(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
     return df.select("url", F.md5(repair.fix_mojibake(F.col("article_text"))).alias("digest"))
 
 
 @query("fn_detect_lang")
 def fn_detect_lang(spark, base):
-    return load(spark, base, "documents", ["doc_id", "text"]).select("doc_id", topics.stop_word_language(F.col("text")).alias("detected"))
+    return load_spread(spark, base, "documents", ["doc_id", "text"]).select("doc_id", topics.stop_word_language(F.col("text")).alias("detected"))
 
 
 @query("tx_lda")
 def tx_lda(spark, base):
-    df = load(spark, base, "labeled_articles", ["url", "language", "article_text", "fetch_status", "text_chars"]).where(C.usable(F.col("fetch_status"), F.col("article_text"))).dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "language", "article_text", "fetch_status", "text_chars"]).where(C.usable(F.col("fetch_status"), F.col("article_text"))).dropDuplicates(["url"])
     docs = df.withColumn("lang", topics.stop_word_language(F.col("article_text"))).where("lang is not null and text_chars >= 800")
     return topics.topics_by_language(docs, key="url", lang="lang", text="article_text", topics=4, iterations=5, least_documents=30)
 
 
 @query("tx_top_words")
 def tx_top_words(spark, base):
-    df = load(spark, base, "labeled_articles", ["url", "article_text", "text_chars"]).where("article_text is not null and text_chars >= 800").dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text", "text_chars"]).where("article_text is not null and text_chars >= 800").dropDuplicates(["url"])
     docs = df.withColumn("lang", topics.stop_word_language(F.col("article_text"))).where("lang is not null")
     return topics.top_words_by_language(docs, lang="lang", text="article_text", topics=4, iterations=5, least_documents=30)
 
@@ -149,7 +149,7 @@ def tx_top_words(spark, base):
 def llm_label(spark, base):
     from tessella.sources.web import label_rows
 
-    df = load(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
     return label_rows(df, "url", "article_text")
 
 

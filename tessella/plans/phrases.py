@@ -9,7 +9,7 @@ from tessella.functions import text as X
 from tessella.operators import phrases as P
 from tessella.plans.columns import quoted, sql_lower, sql_tokens
 from tessella.plans.registry import query
-from tessella.sources.tables import load
+from tessella.sources.tables import load_spread
 
 NODES = ["tribunal", "ledger", "staff", "letter"]
 
@@ -26,7 +26,7 @@ HEAD = f"WITH {DOCS}, {STOPS}, {VOCAB}"
 
 
 def _docs(spark, base):
-    df = load(spark, base, "documents", ["doc_id", "lang", "source", "source_country", "published", "text"]).where(F.col("lang").isin(*R.STOP_WORDS) & F.col("text").isNotNull())
+    df = load_spread(spark, base, "documents", ["doc_id", "lang", "source", "source_country", "published", "text"]).where(F.col("lang").isin(*R.STOP_WORDS) & F.col("text").isNotNull())
     return df.select("doc_id", "lang", F.col("source").alias("outlet"), F.col("source_country").alias("country"), "published", "text")
 
 

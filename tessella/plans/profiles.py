@@ -14,7 +14,7 @@ from tessella.operators import profiles as P
 from tessella.plans.columns import CLASS_CASE, GROUP_CASE, SQL_KEYWORDS, STANCE_CASE, TYPE_CASE, USABLE, WILSON, quoted
 from tessella.plans.registry import query
 from tessella.plans.relations import BORDER, FULLTEXT, TERMS
-from tessella.sources.tables import load
+from tessella.sources.tables import load, load_spread
 
 OK = f"fetch_status IN ({quoted(R.USABLE_STATUS)})"
 KNOWN = "source_country IS NOT NULL AND source_country <> 'UNKNOWN'"
@@ -174,7 +174,7 @@ def agg_largest_clusters(spark, base):
 
 @query("agg_status_counts", f"SELECT fetch_status, count(*) AS n, count(*) FILTER (WHERE {OK} AND article_text IS NOT NULL) AS usable FROM labeled_articles GROUP BY 1")
 def agg_status_counts(spark, base):
-    df = load(spark, base, "labeled_articles", ["fetch_status", "article_text"])
+    df = load_spread(spark, base, "labeled_articles", ["fetch_status", "article_text"])
     return df.groupBy("fetch_status").agg(F.count("*").alias("n"), F.count_if(C.usable(F.col("fetch_status"), F.col("article_text"))).alias("usable"))
 
 
@@ -197,7 +197,7 @@ def agg_stratum_ci(spark, base):
 
 @query("agg_stale_share", f"SELECT avg(CASE WHEN regexp_matches(substring(coalesce(text, ''), 1, 6000), '(?:^|[^\\p{{L}}\\p{{N}}_]){R.STALE_YEARS}(?:[^\\p{{L}}\\p{{N}}_]|$)') THEN 1.0 ELSE 0.0 END) AS stale_share, count(*) AS documents FROM documents")
 def agg_stale_share(spark, base):
-    return load(spark, base, "documents", ["text"]).agg(share(C.stale(F.col("text"))).alias("stale_share"), F.count("*").alias("documents"))
+    return load_spread(spark, base, "documents", ["text"]).agg(share(C.stale(F.col("text"))).alias("stale_share"), F.count("*").alias("documents"))
 
 
 @query("agg_crosstab", "SELECT article_type, count(*) FILTER (WHERE article_stance = 'Support') AS Support, count(*) FILTER (WHERE article_stance = 'Backlash') AS Backlash, count(*) FILTER (WHERE article_stance = 'Mixed') AS Mixed, count(*) FILTER (WHERE article_stance = 'Other') AS Other FROM labeled_articles GROUP BY 1")
@@ -208,7 +208,7 @@ def agg_crosstab(spark, base):
 
 @query("agg_before_after", f"SELECT source_country AS country, count(*) AS n, avg(CASE WHEN has_hashtag_term THEN 100.0 ELSE 0.0 END) AS before, avg(CASE WHEN has_hashtag_term OR contains(coalesce(article_text, ''), '#') THEN 100.0 ELSE 0.0 END) AS after FROM labeled_articles WHERE {KNOWN} GROUP BY 1 HAVING count(*) >= 30")
 def agg_before_after(spark, base):
-    df = known(load(spark, base, "labeled_articles", ["source_country", "has_hashtag_term", "article_text"]))
+    df = known(load_spread(spark, base, "labeled_articles", ["source_country", "has_hashtag_term", "article_text"]))
     tag = F.coalesce("has_hashtag_term", F.lit(False))
     body = tag | F.coalesce(F.contains("article_text", F.lit("#")), F.lit(False))
     return df.groupBy(F.col("source_country").alias("country")).agg(F.count("*").alias("n"), (share(tag) * 100).alias("before"), (share(body) * 100).alias("after")).where("n >= 30")
@@ -217,7 +217,7 @@ def agg_before_after(spark, base):
 @query("agg_body_only_terms", f"""WITH {TERMS}, {FULLTEXT}, h AS MATERIALIZED (SELECT url, term FROM docs JOIN terms ON contains(doc, term) WHERE {BORDER}), k AS (SELECT DISTINCT url, lower(trim(k)) AS term FROM (SELECT url, unnest(string_split(keywords_matched, ' | ')) AS k FROM labeled_articles))
 SELECT term, count(*) AS articles FROM (SELECT url, term FROM h EXCEPT SELECT url, term FROM k) GROUP BY 1 ORDER BY articles DESC, term LIMIT 20""")
 def agg_body_only_terms(spark, base):
-    df = load(spark, base, "labeled_articles", ["url", "article_text", "keywords_matched"]).dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text", "keywords_matched"]).dropDuplicates(["url"])
     body = M.match_terms(df, M.codebook_terms(load(spark, base, "metoo_keywords_v3")), key="url", doc=F.substring("article_text", 1, R.FULLTEXT_PREFIX))
     head = df.select("url", F.explode(X.kw_list(F.col("keywords_matched"))).alias("k")).select("url", F.lower(F.trim("k")).alias("term"))
     return P.top_values(body.join(head, ["url", "term"], "left_anti").select("term"), "term", 20, "articles")
@@ -225,7 +225,7 @@ def agg_body_only_terms(spark, base):
 
 @query("agg_term_before_after", "SELECT count(*) FILTER (WHERE contains(lower(coalesce(keywords_matched, '')), 'hush clause')) AS before, count(*) FILTER (WHERE contains(lower(coalesce(article_text, '')), 'hush clause')) AS after FROM labeled_articles")
 def agg_term_before_after(spark, base):
-    df = load(spark, base, "labeled_articles", ["keywords_matched", "article_text"])
+    df = load_spread(spark, base, "labeled_articles", ["keywords_matched", "article_text"])
     return df.agg(*[F.count_if(F.lower(F.coalesce(c, F.lit(""))).contains("hush clause")).alias(n) for c, n in (("keywords_matched", "before"), ("article_text", "after"))])
 
 
@@ -255,7 +255,7 @@ SELECT source_country AS country, {PROFILE} FROM k WHERE {KNOWN} GROUP BY 1"""
 @query("flow_match_to_profile", FLOW)
 def flow_match_to_profile(spark, base):
     """From matching the codebook over title and text to one row per article and the profile by country."""
-    df = load(spark, base, "labeled_articles", ["url", "title", "source_country", "article_text"]).dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "title", "source_country", "article_text"]).dropDuplicates(["url"])
     doc = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("article_text", F.lit("")))
     codebook = load(spark, base, "metoo_keywords_v3")
     hits = M.attach_codebook(M.match_terms(df, M.codebook_terms(codebook), key="url", doc=doc, unescape=False), codebook)

@@ -12,7 +12,7 @@ from tessella.operators import matching as M
 from tessella.operators import relations as O
 from tessella.plans.columns import STANCE_CASE, USABLE, quoted, sql_norm
 from tessella.plans.registry import query
-from tessella.sources.tables import load
+from tessella.sources.tables import load, load_spread
 
 TERMS = f"""terms AS (SELECT kw_match_lower AS term, max(match_mode) AS mode FROM metoo_keywords_v3
 WHERE trim(kw_match_lower) NOT IN ({quoted(R.CODEBOOK_NOTES)}) AND NOT regexp_full_match(kw_match, '\\(.*\\)') GROUP BY 1)"""
@@ -22,7 +22,7 @@ HITS = f"hits AS MATERIALIZED (SELECT doc_id, term FROM docs JOIN terms ON conta
 
 
 def _titled_documents(spark, base):
-    df = load(spark, base, "documents", ["doc_id", "title", "text"])
+    df = load_spread(spark, base, "documents", ["doc_id", "title", "text"])
     return df, F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
 
 
@@ -43,7 +43,7 @@ FULLTEXT = f"docs AS (SELECT DISTINCT url, lower(substring(article_text, 1, {R.F
 
 @query("join_fulltext", f"WITH {TERMS}, {FULLTEXT} SELECT url, term FROM docs JOIN terms ON contains(doc, term) WHERE {BORDER}")
 def join_fulltext(spark, base):
-    df = load(spark, base, "labeled_articles", ["url", "article_text"]).dropDuplicates(["url"])
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text"]).dropDuplicates(["url"])
     return M.match_terms(df, M.codebook_terms(load(spark, base, "metoo_keywords_v3")), key="url", doc=F.substring("article_text", 1, R.FULLTEXT_PREFIX))
 
 
@@ -74,7 +74,7 @@ def join_back_text(spark, base):
 
 @query("join_anti_done", f"SELECT DISTINCT url FROM articles_v3 a WHERE NOT EXISTS (SELECT 1 FROM labeled_articles l WHERE l.url = a.url AND {USABLE})")
 def join_anti_done(spark, base):
-    done = load(spark, base, "labeled_articles", ["url", "fetch_status", "article_text"]).where(C.usable(F.col("fetch_status"), F.col("article_text"))).select("url")
+    done = load_spread(spark, base, "labeled_articles", ["url", "fetch_status", "article_text"]).where(C.usable(F.col("fetch_status"), F.col("article_text"))).select("url")
     return load(spark, base, "articles_v3", ["url"]).distinct().join(done, "url", "left_anti")
 
 
@@ -127,7 +127,7 @@ def win_row_normalise(spark, base):
 
 @query("win_daily_timeline", f"SELECT CAST(published AS DATE) AS day, count(*) AS articles FROM labeled_articles WHERE {USABLE} AND published IS NOT NULL GROUP BY 1")
 def win_daily_timeline(spark, base):
-    df = load(spark, base, "labeled_articles", ["published", "fetch_status", "article_text"]).where(C.usable(F.col("fetch_status"), F.col("article_text")) & F.col("published").isNotNull())
+    df = load_spread(spark, base, "labeled_articles", ["published", "fetch_status", "article_text"]).where(C.usable(F.col("fetch_status"), F.col("article_text")) & F.col("published").isNotNull())
     return df.groupBy(F.to_date("published").alias("day")).agg(F.count("*").alias("articles"))
 
 

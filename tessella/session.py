@@ -45,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), f"tessella-checkpoints-{os.getpid()}")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that outweighs moving the rows.
+
+    A table of one small file is one task otherwise. Tables in many files or splits are left where they are.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= wanted else df

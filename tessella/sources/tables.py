@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import spread
+
 
 def load(spark: SparkSession, base: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Table ``name`` below ``base``; only ``columns`` reach the scan when given."""
@@ -15,6 +17,11 @@ def load(spark: SparkSession, base: str, name: str, columns: Sequence[str] | Non
     return df.select(*columns) if columns else df
 
 
+def load_spread(spark: SparkSession, base: str, name: str, columns: Sequence[str]) -> DataFrame:
+    """Like ``load`` for work on whole texts: rows of a table in one small file are spread over the cores."""
+    return spread(load(spark, base, name, columns))
+
+
 def scan_between(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """Rows with ``start <= column < end``; the bounds are literals, so Parquet statistics prune."""
     kind = df.schema[column].dataType.simpleString()
