@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import encoding, languages, lookalikes, packing, residue, sentences, shared_spans, site_lines, survivors
-from tessella.sources.tables import load
+from tessella.sources.tables import load, load_spread
 
 #: Bundles of the built record of problem 1 and the dependency between two of them.
 RECORD_BUNDLES = {
@@ -38,42 +38,42 @@ def p1_records(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    return residue.residue_documents(load(spark, base, "labeled_articles"), key="url", text="article_text")
+    return residue.residue_documents(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), key="url", text="article_text")
 
 
 def p3_kept(spark: SparkSession, base: str) -> DataFrame:
     """Key and length of what is left when residue is excluded."""
-    articles = load(spark, base, "labeled_articles", ["url", "fetch_status", "text_chars", "article_text"])
+    articles = load_spread(spark, base, "labeled_articles", ["url", "fetch_status", "text_chars", "article_text"])
     return residue.without_residue(articles, key="url", text="article_text").select("url", "fetch_status", "text_chars").distinct()
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    articles = load(spark, base, "labeled_articles")
+    articles = load_spread(spark, base, "labeled_articles", ["url", "article_text", "fetched_title", "language"])
     found = languages.document_languages(articles, key="url", text="article_text", title="fetched_title", label="language")
     pages = residue.residue_documents(articles, key="url", text="article_text")
     return languages.mislabelled(found, key="url").join(pages, "url", "left_anti").distinct()
 
 
 def p4_languages(spark: SparkSession, base: str) -> DataFrame:
-    articles = load(spark, base, "labeled_articles")
+    articles = load_spread(spark, base, "labeled_articles", ["url", "article_text", "fetched_title", "language"])
     found = languages.document_languages(articles, key="url", text="article_text", title="fetched_title", label="language")
     return found.select("url", "lang", "share", "confidence").distinct()
 
 
 def p4_segments(spark: SparkSession, base: str) -> DataFrame:
-    return languages.language_segments(load(spark, base, "labeled_articles", ["url", "article_text"]).dropDuplicates(["url"]), key="url", text="article_text")
+    return languages.language_segments(load_spread(spark, base, "labeled_articles", ["url", "article_text"]).dropDuplicates(["url"]), key="url", text="article_text")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return site_lines.repeated_lines(load(spark, base, "labeled_articles"), key="url", source="outlet", text="article_text")
+    return site_lines.repeated_lines(load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]), key="url", source="outlet", text="article_text")
 
 
 def p5_near(spark: SparkSession, base: str) -> DataFrame:
-    return site_lines.near_repeated_lines(load(spark, base, "labeled_articles"), key="url", source="outlet", text="article_text")
+    return site_lines.near_repeated_lines(load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]), key="url", source="outlet", text="article_text")
 
 
 def p5_cleaned(spark: SparkSession, base: str) -> DataFrame:
-    articles = load(spark, base, "labeled_articles", ["url", "outlet", "article_text"]).dropDuplicates(["url"])
+    articles = load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]).dropDuplicates(["url"])
     removed = site_lines.repeated_lines(articles, key="url", source="outlet", text="article_text")
     return site_lines.without_lines(articles, removed, key="url", text="article_text")
 
@@ -86,31 +86,31 @@ def _codebook(spark: SparkSession, base: str) -> list[tuple[int, str]]:
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return lookalikes.hidden_mentions(load(spark, base, "labeled_articles"), _codebook(spark, base), key="url", text="article_text")
+    return lookalikes.hidden_mentions(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), _codebook(spark, base), key="url", text="article_text")
 
 
 def p6_mentions(spark: SparkSession, base: str) -> DataFrame:
-    return lookalikes.mention_counts(load(spark, base, "labeled_articles"), _codebook(spark, base), key="url", text="article_text")
+    return lookalikes.mention_counts(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), _codebook(spark, base), key="url", text="article_text")
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    runs = shared_spans.shared_runs(load(spark, base, "deduped_articles"), key="cluster_id", text="article_text")
+    runs = shared_spans.shared_runs(load_spread(spark, base, "deduped_articles", ["cluster_id", "article_text"]), key="cluster_id", text="article_text")
     return shared_spans.sharing_pairs(runs).select(F.col("id_a").alias("cluster_a"), F.col("id_b").alias("cluster_b"))
 
 
 def p7_shared(spark: SparkSession, base: str) -> DataFrame:
-    records = load(spark, base, "deduped_articles", ["cluster_id", "article_text"])
+    records = load_spread(spark, base, "deduped_articles", ["cluster_id", "article_text"])
     runs = shared_spans.shared_runs(records, key="cluster_id", text="article_text")
     return shared_spans.shared_share(records, runs, key="cluster_id", text="article_text")
 
 
 def p7_removals(spark: SparkSession, base: str) -> DataFrame:
-    runs = shared_spans.shared_runs(load(spark, base, "deduped_articles"), key="cluster_id", text="article_text")
+    runs = shared_spans.shared_runs(load_spread(spark, base, "deduped_articles", ["cluster_id", "article_text"]), key="cluster_id", text="article_text")
     return shared_spans.shared_parts(runs, lost_only=True).withColumnRenamed("id", "cluster_id")
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
-    return encoding.encode_column(load(spark, base, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("value").alias("ids"))
+    return encoding.encode_column(load_spread(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("value").alias("ids"))
 
 
 def _budgets(spark: SparkSession, base: str) -> list[tuple[str, int]]:
@@ -121,13 +121,13 @@ def _budgets(spark: SparkSession, base: str) -> list[tuple[str, int]]:
 
 
 def p9_containers(spark: SparkSession, base: str) -> DataFrame:
-    documents = load(spark, base, "documents", ["doc_id", "text"])
+    documents = load_spread(spark, base, "documents", ["doc_id", "text"])
     sizes = encoding.encode_column(documents, "doc_id", "text", only_count=True).select(F.col("key").alias("doc_id"), F.col("value").alias("tokens"))
-    return packing.container_plan(sizes, key="doc_id", size="tokens", budgets=_budgets(spark, base), item_count=documents.count())
+    return packing.container_plan(sizes, key="doc_id", size="tokens", budgets=_budgets(spark, base), item_count=load(spark, base, "documents", ["doc_id"]).count())
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
-    return sentences.sentence_units(load(spark, base, "documents"), "doc_id", "text")
+    return sentences.sentence_units(load_spread(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
 def queries() -> dict:
