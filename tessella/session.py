@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +57,24 @@ def spread(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= wanted else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of every executor, once per context.
+
+    Workers import functions by name, and an executor needn't have the package installed. The archive lies beside the
+    checkpoints where that folder is a path that this machine sees; executors get it from the driver in any case.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tessella_shipped", False):
+        return
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = Path(shared) if shared.startswith("/") and "://" not in shared else Path(tempfile.mkdtemp(prefix="tessella-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    archive = folder / f"tessella-{context.applicationId}.zip"
+    package = Path(__file__).resolve().parent
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as made:
+        for source in sorted(package.rglob("*.py")):
+            made.write(source, Path(package.name) / source.relative_to(package))
+    context.addPyFile(str(archive))
+    context._tessella_shipped = True
