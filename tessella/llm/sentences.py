@@ -57,7 +57,7 @@ def _words(words: list[str]) -> str:
 def _mask_pairs() -> tuple[str, str]:
     """Paired quotation marks on one line become OPEN and CLOSE, German pairs before English ones."""
     parts = [f"{a}([^{inner}{_LINE_ENDS}]*)[{z}]" for a, z, inner in _QUOTES]
-    parts.append(f"(?<![\\p{{L}}\\p{{N}}])‘([^‘’{_LINE_ENDS}]*(?:(?<=\\p{{L}})’(?=\\p{{L}})[^‘’{_LINE_ENDS}]*)*)’(?!\\p{{L}})")
+    parts.append(f"(?<![\\p{{L}}\\p{{N}}])‘([^‘’{_LINE_ENDS}]*+)’(?!\\p{{L}})")
     return "(?=[\"«»\\u2018-\\uff02])(?:" + "|".join(parts) + ")", OPEN + "".join(f"${i + 1}" for i in range(len(parts))) + CLOSE
 
 
@@ -146,19 +146,22 @@ def marked_text(text: Column) -> Column:
 def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, start_pos, end_pos`` of every unit, offsets in code points, end exclusive, without white space at the ends.
 
-    Keys should be unique; the units of repeated keys would be placed one after the other. The only
-    shuffle carries three numbers for each unit, and texts never leave the scan's tasks.
+    Repeated rows give their units once; two texts of one key give the units of both. The only shuffle carries a few
+    numbers for each unit, and texts never leave the scan's tasks.
     """
     pieces = (
         df.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("key"), F.posexplode(F.split(marked_text(F.col(text)), MARK)).alias("i", "piece"))
+        .select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.posexplode(F.split(marked_text(F.col(text)), MARK)).alias("i", "piece"))
         .withColumn("len", F.length("piece"))
         .withColumn("lead", F.col("len") - F.length(F.ltrim("piece", F.lit(WHITE_SPACE))))
         .withColumn("body", F.length(F.trim("piece", F.lit(WHITE_SPACE))))
         .withColumn("kept", F.col("piece").rlike("[\\p{L}\\p{N}]"))
-        .select("key", "i", "len", "lead", "body", "kept")
+        .select("key", "h", "i", "len", "lead", "body", "kept")
+        # one shuffle serves what follows: repeated rows once, offsets, distinct units
+        .repartition("key")
+        .dropDuplicates(["key", "h", "i"])
     )
-    before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return (
         pieces.withColumn("offset", F.coalesce(F.sum("len").over(before), F.lit(0)))
         .where("kept")
@@ -167,4 +170,5 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
             (F.col("offset") + F.col("lead")).cast("int").alias("start_pos"),
             (F.col("offset") + F.col("lead") + F.col("body")).cast("int").alias("end_pos"),
         )
+        .distinct()
     )
