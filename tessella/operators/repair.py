@@ -72,10 +72,17 @@ def rot47_column(text: Column) -> Column:
     return rot47(text)
 
 
+#: Signs that Windows-1252 has where Latin-1 has control codes, and those codes.
+_HIGH = [(bytes([b]).decode("cp1252"), chr(b)) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
 def fix_mojibake(text: Column) -> Column:
     """UTF-8 once read as Windows-1252, read right: where the marks of it occur and the bytes are valid, else unchanged."""
-    marked = text.rlike("Ã|Â|ð|ï¼")
-    # a lossless way there and back proves that the text was such
-    raw = F.try_to_binary(F.hex(F.encode(text, "windows-1252")), F.lit("hex")) if hasattr(F, "try_to_binary") else F.encode(text, "windows-1252")
-    lossless = F.decode(raw, "windows-1252") == text
-    return F.when(marked & lossless & F.is_valid_utf8(raw.cast("string")), F.try_validate_utf8(raw.cast("string"))).otherwise(text)
+    marked = text.rlike("Ã|Â|ð|ï¼|â€")
+
+    def read(narrow: Column) -> Column:
+        # every sign has to be one byte, and the bytes valid UTF-8
+        return F.when(narrow.rlike("^[\\x{0}-\\x{FF}]*$"), F.try_validate_utf8(F.encode(narrow, "ISO-8859-1").cast("string")))
+
+    narrow = F.translate(text, "".join(a for a, _ in _HIGH), "".join(b for _, b in _HIGH))
+    return F.when(marked, F.coalesce(F.transform(F.array(narrow), read)[0], text)).otherwise(text)
