@@ -118,11 +118,11 @@ def character_classes(characters: Iterable[str]) -> UnionFind:
 def folding_table(counts: Mapping[int, int], extra: str = "") -> dict[int, str]:
     """What each code point becomes: the representative of its class, nothing, or several representatives.
 
-    ``counts`` gives the frequency of code points in the corpus; ties go to the smaller one.
+    ``counts`` gives the frequency of code points in the corpus; ties go to lower case, then to the smaller one.
     """
     characters = [chr(c) for c in sorted(counts) if not 0xD800 <= c < 0xE000] + sorted(set(extra))
     uf = character_classes(characters)
-    best = {root: min(members, key=lambda m: (-counts.get(ord(m), 0), ord(m))) for root, members in uf.classes().items()}
+    best = {root: min(members, key=lambda m: (-counts.get(ord(m), 0), m != m.casefold(), ord(m))) for root, members in uf.classes().items()}
 
     def folded(c: str, depth: int = 0) -> str:
         if _kind(c) == "none":

@@ -119,64 +119,77 @@ def _segments(texts: list[str | None], min_span: int) -> Iterator[list[tuple[int
         yield group
 
 
-def unit_rows(texts: list[str | None], min_span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrays (row, position, digest) of the units of each text, a digest once per text and group of segments."""
-    width = min_span - gram + 1
+def _units(group: list[tuple[int, int, str]], min_span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays (row, position, digest) of the units of a group of segments."""
+    codes = code_points("".join(piece for _, _, piece in group))
+    lengths = np.array([len(piece) for _, _, piece in group])
+    begins = np.cumsum(lengths) - lengths
+    hashes = rolling_hashes(codes, gram)
+    owner = np.repeat(np.arange(len(group)), lengths)
+    crossing = owner[: len(hashes)] != owner[gram - 1 : gram - 1 + len(hashes)]
+    hashes[crossing] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # the windows of a record end where its last unit starts: units across two records never count
+    label = np.where(crossing, len(group) + np.arange(len(hashes)), owner[: len(hashes)])
+    at = winnow(hashes, min_span - gram + 1, label)
+    at = at[~crossing[at]]
+    rows = np.array([row for row, _, _ in group])[owner[at]]
+    offsets = np.array([start for _, start, _ in group]) - begins
+    return rows, at + offsets[owner[at]], hashes[at]
+
+
+def unit_rows(texts: list[str | None], min_span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays (row, digest) of the units of each text, a digest once per text and group of segments."""
     for group in _segments(texts, min_span):
-        codes = code_points("".join(piece for _, _, piece in group))
-        lengths = np.array([len(piece) for _, _, piece in group])
-        begins = np.cumsum(lengths) - lengths
-        hashes = rolling_hashes(codes, gram)
-        owner = np.repeat(np.arange(len(group)), lengths)
-        crossing = owner[: len(hashes)] != owner[gram - 1 : gram - 1 + len(hashes)]
-        hashes[crossing] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        # the windows of a record end where its last unit starts: units across two records never count
-        label = np.where(crossing, len(group) + np.arange(len(hashes)), owner[: len(hashes)])
-        at = winnow(hashes, width, label)
-        at = at[~crossing[at]]
-        rows = np.array([row for row, _, _ in group])[owner[at]]
-        offsets = np.array([start for _, start, _ in group]) - begins
-        _, first = np.unique(np.stack([rows.astype(np.uint64), hashes[at]]), axis=1, return_index=True)
-        yield rows[first], (at + offsets[owner[at]])[first], hashes[at][first].view(np.int64)
+        rows, _, digests = _units(group, min_span, gram)
+        _, first = np.unique(np.stack([rows.astype(np.uint64), digests]), axis=1, return_index=True)
+        yield rows[first], digests[first].view(np.int64)
 
 
 def _unit_mapper(min_span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, positions, digests in unit_rows(batch.column(1).to_pylist(), min_span, gram):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(positions, pa.int32()), pa.array(digests, pa.int64())], names=["id", "pos", "digest"]
-                )
+            for rows, digests in unit_rows(batch.column(1).to_pylist(), min_span, gram):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digests, pa.int64())], names=["id", "digest"])
 
     return run
 
 
+def run_starts(text: str, wanted: np.ndarray, min_span: int, gram: int) -> np.ndarray:
+    """Starts of the runs of ``min_span`` signs that hold a unit with one of the wanted digests."""
+    count = len(text) - min_span + 1
+    if count <= 0:
+        return np.empty(0, dtype=np.int64)
+    change = np.zeros(count + 1, dtype=np.int32)
+    for group in _segments([text], min_span):
+        _, positions, digests = _units(group, min_span, gram)
+        at = positions[np.isin(digests.view(np.int64), wanted)]
+        np.add.at(change, np.maximum(at - (min_span - gram), 0), 1)
+        np.add.at(change, np.minimum(at + 1, count), -1)
+    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+
+
 def _run_mapper(min_span: int, gram: int):
     """Digests of the runs of ``min_span`` signs that hold one of the given units."""
-    reach = min_span - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             waiting = 0
-            for row, (text, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                last = len(text) - min_span
-                spread = np.asarray(places)[:, None] - np.arange(reach + 1)[None, :]
-                starts = np.unique(spread[(spread >= 0) & (spread <= last)])
-                # hash only the stretches around the places, not the whole text
+            for row, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                starts = run_starts(text, np.asarray(wanted, dtype=np.int64), min_span, gram)
+                # hash only the stretches around the places, in pieces of bounded length
                 for part in np.split(starts, np.flatnonzero(np.diff(starts) > min_span) + 1):
-                    if not len(part):
-                        continue
-                    codes = code_points(text[part[0] : part[-1] + min_span])
-                    chosen = [rolling_hashes(codes, min_span, base)[part - part[0]] for base in _BASES]
-                    out[0].append(np.full(len(part), row))
-                    out[1].append(part)
-                    out[2].append(chosen[0])
-                    out[3].append(chosen[1])
-                    waiting += len(part)
-                if waiting > SEGMENT_CHARS:
-                    yield _run_batch(batch, out)
-                    out, waiting = [[], [], [], []], 0
+                    for part in np.array_split(part, max(1, len(part) // SEGMENT_CHARS)):
+                        if not len(part):
+                            continue
+                        codes = code_points(text[part[0] : part[-1] + min_span])
+                        chosen = [rolling_hashes(codes, min_span, base)[part - part[0]] for base in _BASES]
+                        for column, values in zip(out, (np.full(len(part), row), part, *chosen)):
+                            column.append(values)
+                        waiting += len(part)
+                        if waiting > SEGMENT_CHARS:
+                            yield _run_batch(batch, out)
+                            out, waiting = [[], [], [], []], 0
             if waiting:
                 yield _run_batch(batch, out)
 
@@ -204,11 +217,11 @@ def shared_runs(records: DataFrame, *, key: str, text: str, min_span: int = MIN_
         raise ValueError("a unit is at least one sign and at most the span")
     slim = _slim(records, key, text)
     kind = slim.schema["id"].dataType.simpleString()
-    units = slim.mapInArrow(_unit_mapper(min_span, gram), f"id {kind}, pos int, digest bigint")
+    units = slim.mapInArrow(_unit_mapper(min_span, gram), f"id {kind}, digest bigint")
     repeated = units.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest")
-    places = cut_lineage(units.join(repeated, "digest").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("places")))
+    places = cut_lineage(units.join(repeated, "digest").groupBy("id").agg(F.sort_array(F.collect_set("digest")).alias("places")))
     # few records share anything as a rule: then their places travel to the texts instead of the texts to them
-    size = places.agg(F.sum(F.size("places") * 4 + 64)).first()[0] or 0
+    size = places.agg(F.sum(F.size("places") * 8 + 64)).first()[0] or 0
     few = F.broadcast(places) if size <= BROADCAST_BYTES else places
     chosen = slim.join(few, "id").groupBy("id").agg(F.min(F.struct("text", "places")).alias("x")).select("id", "x.text", "x.places")
     return cut_lineage(chosen.mapInArrow(_run_mapper(min_span, gram), f"id {kind}, start int, d1 bigint, d2 bigint"))
