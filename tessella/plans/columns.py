@@ -332,3 +332,115 @@ def stat_extrapolate(spark, base):
 def fn_math(spark, base):
     df = S.load(spark, base, "lineitem")
     return df.select("l_orderkey", "l_linenumber", F.log2(F.col("l_quantity") + 1).alias("a"), F.ln("l_extendedprice").alias("b"), F.sqrt("l_quantity").alias("c"), F.abs(F.col("l_discount") - F.col("l_tax")).alias("d"))
+
+
+@query("proj_month", "SELECT url, strftime(published, '%Y-%m') AS month FROM articles_v3")
+def proj_month(spark, base):
+    return S.load(spark, base, "articles_v3", ["url", "published"]).select("url", F.date_format("published", "yyyy-MM").alias("month"))
+
+
+@query("proj_year", "SELECT url, CAST(year(published) AS INT) AS year FROM articles_v3")
+def proj_year(spark, base):
+    return S.load(spark, base, "articles_v3", ["url", "published"]).select("url", F.year("published").alias("year"))
+
+
+@query("proj_day", "SELECT url, CAST(published AS DATE) AS day FROM articles_v3")
+def proj_day(spark, base):
+    return S.load(spark, base, "articles_v3", ["url", "published"]).select("url", F.to_date("published").alias("day"))
+
+
+@query("fn_left", "SELECT doc_id, left(title, 12) AS head FROM documents")
+def fn_left(spark, base):
+    return S.load(spark, base, "documents", ["doc_id", "title"]).select("doc_id", F.left("title", F.lit(12)).alias("head"))
+
+
+@query("fn_digest64", f"SELECT lang, count(DISTINCT {sql_norm('title')}) AS titles FROM documents GROUP BY lang")
+def fn_digest64(spark, base):
+    """Distinct digests of 64 bits, which here are as many as distinct titles."""
+    df = S.load(spark, base, "documents", ["lang", "title"])
+    return df.groupBy("lang").agg(F.countDistinct(F.xxhash64(X.norm_title(F.col("title")))).alias("titles"))
+
+
+@query("fn_stable_sort_key", "SELECT s_suppkey, CAST(row_number() OVER (ORDER BY md5('42:' || CAST(s_suppkey AS VARCHAR)), s_suppkey) AS INT) AS place FROM supplier QUALIFY place <= 50")
+def fn_stable_sort_key(spark, base):
+    from tessella.operators.relations import shuffled, top_per_group
+
+    rows = S.load(spark, base, "supplier", ["s_suppkey"]).withColumn("all", F.lit(1))
+    # a top-k report: the first fifty in the stable order
+    first = rows.orderBy(shuffled(F.col("s_suppkey"), 42), "s_suppkey").limit(50)
+    return top_per_group(first, ["all"], [shuffled(F.col("s_suppkey"), 42), "s_suppkey"], 50, "place").select("s_suppkey", "place")
+
+
+@query("src_csv_glob", "SELECT url, outlet, published FROM articles_v3")
+def src_csv_glob(spark, base):
+    """The table written as many CSV files into the shared folder and read back as one."""
+    from tessella.session import shared_folder
+    from tessella.sources import sinks
+
+    folder = shared_folder(spark, "csv")
+    sinks.write_csv(S.load(spark, base, "articles_v3", ["url", "outlet", "published"]), folder)
+    return S.read_csv(spark, f"{folder}/*.csv", "url string, outlet string, published timestamp_ntz")
+
+
+def _pages(spark, base):
+    df = S.load_spread(spark, base, "labeled_articles", ["url", "fetched_title", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
+    text = F.replace(F.replace("article_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    markup = F.concat(F.lit("<html><head><title>"), F.coalesce("fetched_title", F.lit("")), F.lit("</title><style>p{}</style></head><body><nav>menu</nav><article><p>"), F.replace(text, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article><script>1</script></body></html>"))
+    return df.select("url", markup.alias("html"))
+
+
+@query("src_html_extract")
+def src_html_extract(spark, base):
+    from tessella.sources import web
+
+    return web.extract_pages(_pages(spark, base), "url", "html")
+
+
+def _stub(url: str) -> str:
+    """A stand-in for the network: what comes back depends on the address alone."""
+    last = sum(map(ord, url)) % 5
+    if last == 0:
+        raise TimeoutError(url)
+    return "" if last == 1 else "<title>t</title><p>" + "word " * (20 if last == 2 else 200) + "</p>"
+
+
+@query("src_http_fetch")
+def src_http_fetch(spark, base):
+    from tessella.sources import web
+
+    return web.fetch_rows(S.load_spread(spark, base, "articles_v3", ["url"]).distinct(), _stub).select("url", "fetch_status", F.length("article_text").alias("chars"))
+
+
+@query("src_cdx_retry")
+def src_cdx_retry(spark, base):
+    from tessella.sources import web
+
+    failed = S.load(spark, base, "labeled_articles", ["url", "fetch_status"]).where(C.unresolved(F.col("fetch_status"))).select("url").distinct()
+    archive = web.with_retry(_stub, tries=2, first_wait=0.0)
+    return web.fetch_rows(failed, _stub, archive).select("url", "fetch_status")
+
+
+@query("sink_html_json")
+def sink_html_json(spark, base):
+    """The cube of a report as one JSON document."""
+    from tessella.sources import sinks
+
+    by_country = S.load(spark, base, "articles_v3", ["source_country"]).groupBy("source_country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_country")
+    return spark.createDataFrame([(sinks.to_json({"by_country": by_country}),)], "report string")
+
+
+@query("sink_text_report")
+def sink_text_report(spark, base):
+    from tessella.sources import sinks
+
+    by_status = S.load(spark, base, "labeled_articles", ["fetch_status"]).groupBy("fetch_status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fetch_status")
+    return spark.createDataFrame([(line,) for line in sinks.text_table(by_status, {"fetch_status": 24, "n": 10}).split("\n")], "line string")
+
+
+@query("geo_path")
+def geo_path(spark, base):
+    """Rings of invented outlines, thinned and projected; small ones are dropped."""
+    from tessella.operators.geo import svg_path
+
+    angle = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.struct((F.cos(i * 0.0523598) * F.col("n_regionkey") + F.col("n_nationkey") * 5).alias("lon"), (F.sin(i * 0.0523598) * F.col("n_regionkey") + 10).alias("lat")))
+    return S.load(spark, base, "nation", ["n_nationkey", "n_regionkey"]).select("n_nationkey", svg_path(angle).alias("path"))

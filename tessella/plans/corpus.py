@@ -86,12 +86,36 @@ def dd_near_components(spark, base):
     return D.near_clusters(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
 
 
-@query("dd_threshold_table")
+THRESHOLDS = SHINGLE_SETS.replace("labeled_articles", "deduped_articles")
+
+
+def _walk(name: str, edges: str) -> str:
+    return f"{name}g AS MATERIALIZED (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges})), {name} AS (SELECT a AS id, a AS seen FROM {name}g UNION SELECT {name}.id, {name}g.b FROM {name} JOIN {name}g ON {name}.seen = {name}g.a)"
+
+
+COPIES = "SELECT id AS a, min(id) OVER (PARTITION BY norm) AS b FROM b"
+
+
+@query("dd_threshold_table", f"""WITH RECURSIVE {THRESHOLDS}, {PAIRS}, {_walk("t9", COPIES + " UNION ALL SELECT a, b FROM p WHERE similarity >= 0.9")}, {_walk("t8", COPIES + " UNION ALL SELECT a, b FROM p WHERE similarity >= 0.8")},
+c AS (SELECT 1.0 AS threshold, id, min(id) OVER (PARTITION BY norm) AS component FROM b UNION ALL SELECT 0.9, id, min(seen) FROM t9 GROUP BY id UNION ALL SELECT 0.8, id, min(seen) FROM t8 GROUP BY id)
+SELECT CAST(threshold AS DOUBLE) AS threshold, count(DISTINCT component) AS unique_bodies, count(*) - count(DISTINCT component) AS removed FROM c GROUP BY threshold""")
 def dd_threshold_table(spark, base):
     return D.threshold_table(load_spread(spark, base, "deduped_articles", ["url", "article_text"]), "url", "article_text")
 
 
-@query("dd_editorial_guard")
+GUARD = f"""WITH l AS (SELECT url, min(article_type) AS article_type, min(stance) AS stance, min(evaluative_language) AS words, min(article_text) AS article_text FROM labeled_articles GROUP BY url),
+m AS MATERIALIZED (SELECT DISTINCT cluster_id, d.url, coalesce(article_type IN ('opinion_editorial', 'feature_analysis', 'Opinion/Editorial', 'Analysis'), FALSE) AS opinion, lower(trim(coalesce(stance, ''))) AS stance,
+coalesce(list_distinct(list_transform(words, lambda w: lower(trim(w)))), []) AS words, string_split({sql_norm("article_text", True)}, ' ') AS w FROM dedupe_map d JOIN l ON d.url = l.url),
+z AS MATERIALIZED (SELECT cluster_id, count(*) AS size, count(*) FILTER (WHERE NOT opinion) AS news FROM m GROUP BY 1 HAVING count(*) > 1), r AS MATERIALIZED (SELECT m.*, size, news FROM m JOIN z ON m.cluster_id = z.cluster_id),
+v AS (SELECT a.cluster_id, a.url, b.stance, count(*) AS n FROM r a JOIN r b ON a.cluster_id = b.cluster_id AND a.url <> b.url WHERE b.stance <> '' GROUP BY 1, 2, 3), j AS (SELECT cluster_id, url, arg_min(stance, (-n, stance)) AS majority FROM v GROUP BY 1, 2),
+q AS (SELECT cluster_id, url, size, unnest(words) AS word FROM r), k AS (SELECT cluster_id, word, count(*) AS k FROM q GROUP BY 1, 2), u AS (SELECT q.cluster_id, q.url, count(*) AS n FROM q JOIN k ON q.cluster_id = k.cluster_id AND q.word = k.word WHERE k.k < q.size GROUP BY 1, 2),
+s AS (SELECT cluster_id, url, size, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE list_distinct(w) END) AS sh FROM r), h AS (SELECT cluster_id, sh, count(*) AS k FROM s GROUP BY 1, 2),
+o AS (SELECT s.cluster_id, s.url, avg(CASE WHEN h.k < s.size THEN 1.0 ELSE 0.0 END) AS outside FROM s JOIN h ON s.cluster_id = h.cluster_id AND s.sh = h.sh GROUP BY 1, 2)
+SELECT r.cluster_id, r.url, list_filter([CASE WHEN opinion AND news > 0 THEN 'opinion_overlay' END, CASE WHEN stance NOT IN ('', 'not_applicable') AND majority IS NOT NULL AND stance <> majority THEN 'stance_differs(' || stance || '_vs_' || majority || ')' END,
+CASE WHEN coalesce(u.n, 0) >= 2 THEN 'added_evaluative_language(' || u.n || ')' END, CASE WHEN outside >= 0.35 THEN 'unique_text' END], lambda x: x IS NOT NULL) AS reasons FROM r LEFT JOIN j ON r.cluster_id = j.cluster_id AND r.url = j.url LEFT JOIN u ON r.cluster_id = u.cluster_id AND r.url = u.url LEFT JOIN o ON r.cluster_id = o.cluster_id AND r.url = o.url"""
+
+
+@query("dd_editorial_guard", GUARD)
 def dd_editorial_guard(spark, base):
     mapped = load(spark, base, "dedupe_map", ["cluster_id", "url"]).distinct()
     rows = load_spread(spark, base, "labeled_articles", ["url", "article_type", "stance", "evaluative_language", "article_text"]).dropDuplicates(["url"])

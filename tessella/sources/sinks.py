@@ -36,7 +36,8 @@ def flat(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = False) -> None:
     """CSV with quoted line breaks; ``one_file`` is for reports, since it gathers all rows in one task."""
     made = flat(df)
-    (made.coalesce(1) if one_file else made).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = (made.coalesce(1) if one_file else made).write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def rows_of(df: DataFrame, limit: int = MOST_REPORT_ROWS) -> list[dict]:
