@@ -4,7 +4,9 @@ Sizes are numbers of tokens. An item larger than the capacity is cut into full
 containers and one rest; every other item stays whole. The estimated cost of an item
 is linear plus quadratic in its tokens, as attention is. Items are taken in descending
 order and each goes to the container of lowest cost so far that still has room, so
-that containers fill evenly in tokens and in cost.
+that containers fill evenly in tokens and in cost; if it would close some containers, leaving no
+room in them, it goes to the one of lowest cost of these. Without that preference evenly filled containers
+all keep a little room that nothing fits into.
 
 At scale the items are dealt by hash into shards of a bounded number of items, each
 packed by itself; every shard sees the same mix of sizes, so the only price of
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 SHARD_ITEMS = 8192
 #: Cost of an item of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+#: Part of the capacity up to which the room that an item would leave counts as none.
+CLOSING_SLACK = 1 / 1024
 
 
 def pack_items(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
@@ -39,15 +43,19 @@ def pack_items(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadrat
         raise ValueError("a size is negative or exceeds the capacity")
     out = np.zeros(len(sizes), dtype=np.int64)
     opened = int(-(-int(sizes.sum()) // capacity)) if len(sizes) else 0
+    slack = int(capacity * CLOSING_SLACK)
     room = np.full(max(opened, 1) * 2 + 16, capacity, dtype=np.int64)
     cost = np.zeros(len(room))
     for item in np.argsort(-sizes, kind="stable"):
         size = int(sizes[item])
         if size == 0:
             break  # descending: only empty items are left
-        fits = np.flatnonzero(room[:opened] >= size)
+        left = room[:opened] - size
+        fits = np.flatnonzero(left >= 0)
         if len(fits):
-            at = int(fits[np.argmin(cost[fits])])
+            closing = fits[left[fits] <= slack]
+            choice = closing if len(closing) else fits
+            at = int(choice[np.argmin(cost[choice])])
         else:
             if opened == len(room):
                 room = np.concatenate([room, np.full(opened, capacity, dtype=np.int64)])
