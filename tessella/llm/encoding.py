@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import sliced
+
 #: Folder of the vocabulary files; every function takes another one.
 DEFAULT_FOLDER = "/opt/tokenizers"
 DEFAULT_TOKENIZER = "byte_bpe_50k"
@@ -117,7 +119,7 @@ def tree_decode(enc, ids: list[int], leaf: int = LEAF_CHARS) -> bytes:
 def _mapper(tokenizer: str, folder: str, leaf: int, only_count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [tree_encode(enc, t, leaf) if t else [] for t in batch.column(1).to_pylist()]
             made = pa.array([len(x) for x in ids], pa.int32()) if only_count else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["key", "value"])

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import sliced
+
 # Letters of other scripts that look like the Latin letter before them.
 LOOK_ALIKES = {
     "a": "аɑαА", "b": "ВвƄЬΒ", "c": "сСϲⅽᴄ", "d": "ԁժ", "e": "еЕҽ", "f": "ғϝ", "g": "ɡց", "h": "һНҺհΗ", "i": "іІıɩΙ",
@@ -204,7 +206,7 @@ def code_point_counts(df: DataFrame, *columns: str) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = defaultdict(int)
-        for batch in batches:
+        for batch in sliced(batches):
             for column in batch.columns:
                 for start in range(0, len(column), 256):
                     texts = "".join(t for t in column.slice(start, 256).to_pylist() if t)
@@ -221,7 +223,7 @@ def code_point_counts(df: DataFrame, *columns: str) -> dict[int, int]:
 def _hidden_mapper(table: dict[int, str], classes: dict[str, tuple[str, list]], lowered: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = automaton(classes)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, ids = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if not text or not len(made):
@@ -263,7 +265,7 @@ def mention_counts(documents: DataFrame, keywords: Iterable[tuple[int, str]], *,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = automaton(classes)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, names, counts = [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
                 if not value or not len(made):

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import sliced
 from tessella.session import cut_lineage
 
 MIN_SPAN = 200
@@ -147,7 +148,7 @@ def unit_rows(texts: list[str | None], min_span: int, gram: int) -> Iterator[tup
 
 def _unit_mapper(min_span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for rows, digests in unit_rows(batch.column(1).to_pylist(), min_span, gram):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digests, pa.int64())], names=["id", "digest"])
 
@@ -172,7 +173,7 @@ def _run_mapper(min_span: int, gram: int):
     """Digests of the runs of ``min_span`` signs that hold one of the given units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             waiting = 0
             for row, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):

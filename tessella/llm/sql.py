@@ -31,5 +31,14 @@ SELECT cluster_id, field_name, url FROM r WHERE n = 1
 """
 
 
+_P5_FOUND = """
+WITH a AS (SELECT DISTINCT url, lower(trim(outlet)) AS outlet, article_text FROM labeled_articles WHERE url IS NOT NULL AND outlet IS NOT NULL AND article_text IS NOT NULL),
+l AS (SELECT url, outlet, unnest(string_split(article_text, chr(10))) AS line, unnest(range(len(string_split(article_text, chr(10))))) AS line_no FROM a),
+f AS (SELECT url, outlet, line_no, regexp_replace(trim(regexp_replace(lower(replace(line, chr(304), 'i' || chr(775))), '[\\s\\p{Z}\\x{85}\\x{0B}\\x{1C}-\\x{1F}]+', ' ', 'g')), '[0-9]+', '0', 'g') AS form FROM l),
+k AS (SELECT outlet, form FROM f WHERE form <> '' GROUP BY 1, 2 HAVING count(DISTINCT url) >= 6)
+SELECT DISTINCT url, CAST(line_no AS INT) AS line_no FROM f JOIN k ON f.outlet = k.outlet AND f.form = k.form
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1_found()}
+    return {"p1_found": _p1_found(), "p5_found": _P5_FOUND}
