@@ -44,7 +44,7 @@ def syndicated(articles: DataFrame) -> DataFrame:
 
 def prefetch_clusters(articles: DataFrame) -> DataFrame:
     """``url, cluster_id, is_representative``: groups by address and title; the longest title stands for its group."""
-    rows = articles.groupBy("url").agg(F.min(F.struct("title", "outlet")).alias("x")).select("url", "x.title", "x.outlet")
+    rows = articles.groupBy("url").agg(F.min("title").alias("title"), F.min("outlet").alias("outlet"))
     found = connected_components(address_edges(rows).union(title_edges(rows)))
     labelled = rows.join(found.select(F.col("id").alias("url"), F.col("component").alias("cluster_id")), "url")
     best = labelled.groupBy("cluster_id").agg(F.min(F.struct((-F.length(norm_title(F.col("title")))).alias("n"), "url")).alias("b"))

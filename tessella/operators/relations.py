@@ -40,7 +40,8 @@ def sample_strata(df: DataFrame, stratum: str, key: str, sizes: dict, seed: int
     """So many rows of each stratum, with their rank in it; strata not named give none."""
     wanted = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col(stratum))
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(F.col(key), seed), key)))
-    return ranked.where(F.col(rank) <= wanted)
+    # the literal bound lets Spark drop rows before they are shuffled, however large a stratum is
+    return ranked.where((F.col(rank) <= max(sizes.values(), default=0)) & (F.col(rank) <= wanted))
 
 
 def allocate_with_floor(counts: DataFrame, total: int, floor: int) -> DataFrame:

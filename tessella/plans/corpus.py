@@ -10,19 +10,11 @@ from tessella.operators import columns as C
 from tessella.operators import dedupe as D
 from tessella.operators import repair, topics
 from tessella.operators.relations import connected_components
-from tessella.plans.columns import sql_norm
+from tessella.plans.columns import sql_norm, sql_tokens
 from tessella.plans.registry import query
 from tessella.sources.tables import load, load_spread
 
 NORM_URL = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', ''), '[?#][\\s\\S]*$', ''), '/+$', ''))"
-ROWS = f"r AS MATERIALIZED (SELECT url, x.title AS title, x.outlet AS outlet, {NORM_URL} AS nu, {sql_norm('x.title')} AS nt, lower(trim(x.outlet)) AS o FROM (SELECT url, min({{'title': title, 'outlet': outlet}}) AS x FROM articles_v3 GROUP BY url))"
-
-
-def _articles(spark, base):
-    df = load(spark, base, "articles_v3", ["url", "title", "outlet"])
-    return df.groupBy("url").agg(F.min(F.struct("title", "outlet")).alias("x")).select("url", "x.title", "x.outlet")
-
-
 @query("dd_url_variant", f"SELECT url, min(url) OVER (PARTITION BY {NORM_URL}) AS first_url FROM (SELECT DISTINCT url FROM articles_v3)")
 def dd_url_variant(spark, base):
     return D.address_edges(load(spark, base, "articles_v3", ["url"]).distinct()).select(F.col("a").alias("url"), F.col("b").alias("first_url"))
@@ -39,17 +31,19 @@ def dd_syndication(spark, base):
     return D.syndicated(load(spark, base, "articles_v3", ["url", "title", "outlet"]))
 
 
-@query("dd_components", """WITH RECURSIVE t AS MATERIALIZED (SELECT url, """ + NORM_URL + """ AS nu, """ + sql_norm("min(title)") + """ AS t, lower(trim(min(outlet))) AS o FROM articles_v3 GROUP BY url), e AS MATERIALIZED (
+COMPONENTS = """WITH RECURSIVE t AS MATERIALIZED (SELECT url, """ + NORM_URL + """ AS nu, """ + sql_norm("min(title)") + """ AS t, lower(trim(min(outlet))) AS o FROM articles_v3 GROUP BY url), e AS MATERIALIZED (
 SELECT url AS a, min(url) OVER (PARTITION BY nu) AS b FROM t UNION SELECT url, min(url) OVER (PARTITION BY t, o) FROM t WHERE length(t) > 15 AND o IS NOT NULL), g AS MATERIALIZED (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
-w AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, g.b FROM w JOIN g ON w.seen = g.a)
-SELECT id AS url, min(seen) AS cluster_id FROM w GROUP BY id""")
+w AS (SELECT a AS id, a AS seen FROM e UNION SELECT w.id, g.b FROM w JOIN g ON w.seen = g.a), c AS (SELECT id AS url, min(seen) AS cluster_id FROM w GROUP BY id)"""
+
+
+@query("dd_components", f"{COMPONENTS} SELECT url, cluster_id FROM c")
 def dd_components(spark, base):
     rows = load(spark, base, "articles_v3", ["url", "title", "outlet"]).groupBy("url").agg(F.min("title").alias("title"), F.min("outlet").alias("outlet"))
     found = connected_components(D.address_edges(rows).union(D.title_edges(rows)))
     return found.select(F.col("id").alias("url"), F.col("component").alias("cluster_id"))
 
 
-@query("dd_prefetch")
+@query("dd_prefetch", f"{COMPONENTS} SELECT c.url, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY length(t.t) DESC, c.url) = 1 AS is_representative FROM c JOIN t ON c.url = t.url")
 def dd_prefetch(spark, base):
     return D.prefetch_clusters(load(spark, base, "articles_v3", ["url", "title", "outlet"]))
 
@@ -150,7 +144,10 @@ def fn_fix_mojibake(spark, base):
     return df.select("url", F.md5(repair.fix_mojibake(F.col("article_text"))).alias("digest"))
 
 
-@query("fn_detect_lang")
+DETECT = "s(lang, word) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c in sorted(R.STOP_WORDS) for w in sorted(set(R.STOP_WORDS[c].split()))) + ")"
+
+
+@query("fn_detect_lang", f"WITH {DETECT}, t AS (SELECT doc_id, unnest({sql_tokens('substring(text, 1, 700)')}) AS w FROM documents), c AS (SELECT doc_id, lang, count(*) AS n FROM t JOIN s ON w = word GROUP BY 1, 2), b AS (SELECT doc_id, arg_min(lang, (-n, lang)) AS detected FROM c GROUP BY 1) SELECT d.doc_id, detected FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id")
 def fn_detect_lang(spark, base):
     return load_spread(spark, base, "documents", ["doc_id", "text"]).select("doc_id", topics.stop_word_language(F.col("text")).alias("detected"))
 

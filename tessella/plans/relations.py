@@ -182,7 +182,7 @@ def samp_prop_floor(spark, base):
     rows = load(spark, base, "documents", ["doc_id", "lang"]).where("lang is not null").distinct()
     wanted = O.allocate_with_floor(rows.groupBy("lang").agg(F.count("*").alias("n")), 300, 20).select("lang", "wanted")
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(O.shuffled(F.col("doc_id"), 42), "doc_id")))
-    return ranked.join(wanted, "lang").where("rn <= wanted").select("doc_id", "lang")
+    return ranked.where("rn <= 300").join(wanted, "lang").where("rn <= wanted").select("doc_id", "lang")  # no stratum wants more than all
 
 
 @query("samp_per_group", "WITH u AS (SELECT DISTINCT url, source_country AS country FROM labeled_articles WHERE source_country IS NOT NULL) SELECT country, url FROM u QUALIFY row_number() OVER (PARTITION BY country ORDER BY md5('42:' || url), url) <= 3")
