@@ -35,7 +35,7 @@ MIN_SPAN = 200
 GRAM = 120
 #: Code points hashed at once by a Python worker.
 SEGMENT_CHARS = 1 << 18
-#: Candidate places up to this size are broadcast; beyond it the join shuffles.
+#: Repeated digests and candidate places up to this size are broadcast; beyond it the joins shuffle.
 BROADCAST_BYTES = 16 << 20
 
 # Odd multipliers of the rolling hashes and of the mixing steps.
@@ -219,9 +219,10 @@ def shared_runs(records: DataFrame, *, key: str, text: str, min_span: int = MIN_
     slim = _slim(records, key, text)
     kind = slim.schema["id"].dataType.simpleString()
     units = slim.mapInArrow(_unit_mapper(min_span, gram), f"id {kind}, digest bigint")
-    repeated = units.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest")
+    # what is shared is little as a rule: then it travels to the units and to the texts, else they are shuffled to it
+    repeated = cut_lineage(units.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest"))
+    repeated = F.broadcast(repeated) if repeated.count() * 16 <= BROADCAST_BYTES else repeated
     places = cut_lineage(units.join(repeated, "digest").groupBy("id").agg(F.sort_array(F.collect_set("digest")).alias("places")))
-    # few records share anything as a rule: then their places travel to the texts instead of the texts to them
     size = places.agg(F.sum(F.size("places") * 8 + 64)).first()[0] or 0
     few = F.broadcast(places) if size <= BROADCAST_BYTES else places
     chosen = slim.join(few, "id").groupBy("id").agg(F.min(F.struct("text", "places")).alias("x")).select("id", "x.text", "x.places")
