@@ -88,6 +88,17 @@ def shingles(norm: Column, size: int = 5) -> Column:
     return F.transform(F.array(F.split(norm, " ")), made)[0]
 
 
+def shingle_hashes(norm: Column, size: int = 5) -> Column:
+    """Hashes of the distinct shingles of ``shingles``, made without the strings."""
+
+    def made(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+        single = F.transform(words, lambda w: F.xxhash64(F.array(w)))
+        return F.array_distinct(F.when(F.size(words) >= size, runs).otherwise(single))
+
+    return F.transform(F.array(F.split(norm, " ")), made)[0]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two sets; 0 if one is empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import norm_body, norm_title, norm_url, shingles
+from tessella.functions.text import norm_body, norm_title, norm_url, shingle_hashes
 from tessella.operators.relations import connected_components
 from tessella.session import cut_lineage
 
@@ -66,8 +66,8 @@ def similar_pairs(units: DataFrame, threshold: float = 0.8) -> DataFrame:
     set has no rarer ones. Sizes must agree within the threshold, too. Only candidates are compared in full. The inputs are
     class representatives: equal bodies are joined before by their digest, so no group of copies is paired.
     """
-    sets = units.select("id", shingles(F.col("norm")).alias("sh")).where(F.size("sh") > 0)
-    each = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s")).select("id", "n", F.xxhash64("s").alias("s"))
+    sets = units.select("id", shingle_hashes(F.col("norm")).alias("sh"))
+    each = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
     frequency = each.groupBy("s").agg(F.count("*").alias("df"))
     # read four times below, so written once
     ordered = cut_lineage(each.join(frequency, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o")))
@@ -103,8 +103,7 @@ def editorial_splits(members: DataFrame) -> DataFrame:
     others (ties go to the smaller), if it has two evaluative words that not all others share, or if enough of its
     shingles are missing from some member. Everything is counted per cluster and value, so the size of a cluster doesn't matter.
     """
-    sets = members.select("cluster_id", "url", shingles(F.coalesce("norm", F.lit(""))).alias("sh")).select("cluster_id", "url", F.explode("sh").alias("s"))
-    sets = sets.select("cluster_id", "url", F.xxhash64("s").alias("s"))
+    sets = members.select("cluster_id", "url", F.explode(shingle_hashes(F.coalesce("norm", F.lit("")))).alias("s"))
     rows = members.select(
         "cluster_id", "url", F.coalesce(F.col("article_type").isin(*OPINION_TYPES), F.lit(False)).alias("opinion"),
         F.lower(F.trim(F.coalesce("stance", F.lit("")))).alias("stance"), F.coalesce("words", F.array().cast("array<string>")).alias("words"),
