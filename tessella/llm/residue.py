@@ -7,8 +7,15 @@ ten languages; one automaton finds them in the whole text, and texts without any
 Records of one template are aligned at their cue: for each cue with its neighbours, the
 words at each distance are counted over all lines. A word that most of the aligned lines share is part of
 the template, anything else is a slot. A line is residue if its template's
-own words make up most of it, if its slots kept variable names, blanks or filler, or if it is no longer than
-a notice and opens with a cue. A text is a case if it holds residue and, besides, nothing but short site lines.
+own words make up most of it, or if it is no longer than
+a notice and opens with a cue.
+
+Lines of all texts, with or without a cue, are also aligned by their masked shape: placeholders, default values, names and
+numbers are slots, the other words in their order are the template, and equal templates of at least
+TEMPLATE_SUPPORT different pages are one. A line with more unfilled slots (a placeholder, a default value where other lines have another, or a
+blank where most of its template's lines have a value) than filled ones is residue, whatever its length.
+Names can't be told from words in scripts without capitals; there a value is a slot only if it is a placeholder, a default or a number.
+ A text is a case if it holds residue and, besides, nothing but short site lines.
 A text in which a line of prose stands is none, whatever else it carries; quoted passages are taken out
 before cues are looked for.
 
@@ -20,6 +27,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +77,9 @@ _OPENINGS = ["{{", "{%", "${", "#{", "@{", "<%", "<?", "%%", "[[", "@@", "__", "
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|「[^」\n]*」|『[^』\n]*』|《[^》\n]*》|\"[^\"\n]*\"")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ]+[^\W\d_]*)*|\d+")
 _LETTER = re.compile(r"[^\W\d_]")
+#: Values that a template puts where there is nothing to put.
+DEFAULTS = frozenset("undefined null none nan nil untitled unnamed tbd".split())
+_UNIT = re.compile(rf"({PLACEHOLDER.pattern}|\[object Object\]|\((?:none|null|empty)\)|\b[nN]/[aA]\b)|([^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ'’\-]+[^\W\d_]*)*)|(\d+(?:[.:/\-]\d+)*)")
 _PATHS = re.compile(r"(?<!\w)/[\w\-./%]+|https?://\S+|\b[^\W\d_]+(?:[-_.][^\W\d_]+)+\b|\b[A-Z0-9]{6,}\b")
 _STATUS = re.compile(STATUS_LINE)
 _SENTENCE_END = re.compile(r"[.!?。！？।؟…][\"”»」』)\]]*\s*$")
@@ -79,6 +91,12 @@ SITE_WORDS = 12
 TEMPLATE_SHARE = 0.5
 TEMPLATE_SUPPORT = 3
 REACH = 24
+#: Least number of fixed words in a shape.
+LEAST_FIXED = 3
+_QUOTE = re.compile(r"[“„«»「『《\"]")
+#: No line longer than this has SITE_WORDS words or fewer unless they aren't words; only the verdict on site lines needs its size.
+SITE_CHARS = 400
+_SENTENCE_SIGNS = ".!?:;…"
 
 
 def _phrases(text: str) -> list[str]:
@@ -116,6 +134,46 @@ def _size(line: str, words: list[str]) -> float:
     return len(words) if not wide else len([w for w in words if not _WIDE.search(w)]) + wide / 2.5
 
 
+def line_shape(line: str) -> tuple[int | None, list[int]]:
+    """A hash of the line's fixed words in their order, and its slots: their place times 2**32 plus a hash of the value, 0 for a placeholder, 1 for a default value.
+
+    Names are capitalised words; one that stands alone at the start of the line or of a sentence is a fixed word. A name of several words has the
+    bit 2**31 set: it is a value even where all lines share it. Quoted passages aren't looked at.
+    """
+    bare = _QUOTED.sub(" ", line) if _QUOTE.search(line) else line
+    fixed, slots, run, last = [], [], [], 0
+
+    def close() -> None:
+        if len(run) == 1 and starts:
+            fixed.append(run[0].lower())
+        elif run:
+            slots.append((len(fixed) << 32) + (crc32(" ".join(run).encode("utf-8", "replace")) & 0x7FFFFFFF | (1 << 31 if len(run) > 1 else 2)))
+        run.clear()
+
+    starts = True
+    for m in _UNIT.finditer(bare):
+        unit, between, last = m.group(), bare[last : m.start()], m.end()
+        if m.group(2) and unit[0].isupper():
+            if run and between.strip():
+                close()
+            if not run:
+                starts = not fixed and not slots or between.strip()[-1:] in _SENTENCE_SIGNS and between.strip() != ""
+            if unit.lower() not in DEFAULTS:
+                run.append(unit)
+                continue
+        close()
+        if m.group(1) or unit.lower() in DEFAULTS:
+            slots.append((len(fixed) << 32) + (0 if m.group(1) and PLACEHOLDER.match(unit) else 1))
+        elif m.group(3):
+            slots.append((len(fixed) << 32) + (crc32(unit.encode()) & 0x7FFFFFFF | 2))
+        else:
+            fixed.append(unit.lower())
+    close()
+    if len(fixed) < LEAST_FIXED and sum(map(len, fixed)) < LEAST_FIXED * 4:
+        return None, []
+    return int.from_bytes(blake2b(" ".join(fixed).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), slots
+
+
 def describe_line(line: str) -> dict:
     """What a line shows by itself: its kind as far as it is certain, its cue, and the words around the cue."""
     bare = _QUOTED.sub(" ", line)
@@ -152,6 +210,12 @@ def describe_line(line: str) -> dict:
     return out
 
 
+def _plain_line(line: str) -> dict:
+    """What describe_line says of a line in a text without any cue."""
+    words = [w for w in _WORD.findall(_PATHS.sub(" ", line)) if _LETTER.match(w)] if len(line) <= SITE_CHARS else line.split()
+    return {"size": _size(line, words), "anchor": None, "before": [], "after": [], "kind": "other", "opens": False}
+
+
 def _at_border(text: str, start: int, end: int) -> bool:
     if _WIDE.search(text[start:end]):
         return True
@@ -166,19 +230,25 @@ def is_site_line(line: str, size: float) -> bool:
     return size <= SITE_WORDS and not _SENTENCE_END.search(line.strip())
 
 
-_SCHEMA = "doc {kind}, line_no int, kind string, anchor string, before array<string>, after array<string>, size float, opens boolean, site boolean"
+_SCHEMA = "doc {kind}, line_no int, kind string, anchor string, before array<string>, after array<string>, size float, opens boolean, site boolean, page bigint, shape bigint, slots array<bigint>"
 
 
 def _line_mapper():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows, numbers, made, site = [], [], [], []
+            rows, numbers, made, site, pages, shapes, slots = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text or not has_cue(text):
+                if not text:
                     continue
+                cued = has_cue(text)
+                page = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                 for number, line in enumerate(text.split("\n")):
                     if line.strip():
-                        seen = describe_line(line)
+                        seen = describe_line(line) if cued else _plain_line(line)
+                        shape, held = line_shape(line)
+                        pages.append(page)
+                        shapes.append(shape)
+                        slots.append(held)
                         rows.append(row)
                         numbers.append(number)
                         made.append(seen)
@@ -189,13 +259,14 @@ def _line_mapper():
                     pa.array([m["anchor"] for m in made], pa.string()), pa.array([m["before"] for m in made], pa.list_(pa.string())),
                     pa.array([m["after"] for m in made], pa.list_(pa.string())), pa.array([m["size"] for m in made], pa.float32()),
                     pa.array([m["opens"] for m in made]), pa.array(site),
-                ], names=["doc", "line_no", "kind", "anchor", "before", "after", "size", "opens", "site"])
+                    pa.array(pages, pa.int64()), pa.array(shapes, pa.int64()), pa.array(slots, pa.list_(pa.int64())),
+                ], names=["doc", "line_no", "kind", "anchor", "before", "after", "size", "opens", "site", "page", "shape", "slots"])
 
     return run
 
 
 def cue_lines(documents: DataFrame, *, key: str, text: str) -> DataFrame:
-    """The lines of every text that holds a cue, with what they show by themselves."""
+    """The lines of every text, with what they show by themselves."""
     slim = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kind = slim.schema["doc"].dataType.simpleString()
     return slim.mapInArrow(_line_mapper(), _SCHEMA.format(kind=kind))
@@ -214,6 +285,25 @@ def templates(lines: DataFrame) -> DataFrame:
     return words.join(records.where(F.col("support") >= TEMPLATE_SUPPORT), "anchor").where(F.col("n") > 0.5 * F.col("support")).select("anchor", "place", "word", "support")
 
 
+def unfilled_lines(lines: DataFrame) -> DataFrame:
+    """``doc, page, line_no`` of the lines whose shape is a template and that have more unfilled slots than filled ones.
+
+    A page counts once for its template, however many rows hold the same text.
+    """
+    place, value = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    once = lines.where("shape is not null").groupBy("shape", "page").agg(F.min("slots").alias("slots"))
+    shapes = once.groupBy("shape").agg(F.count("*").alias("support"), F.max(F.size("slots")).alias("most")).where((F.col("support") >= TEMPLATE_SUPPORT) & (F.col("most") > 0))
+    each = once.join(shapes, "shape").select("shape", "page", "support", F.explode("slots").alias("s")).select("shape", "page", "support", place(F.col("s")).alias("place"), value(F.col("s")).alias("value"))
+    seen = each.groupBy("shape", "support", "place").agg(
+        F.count_distinct("page").alias("n"), F.sum((F.col("value") == 0).cast("int")).alias("open"), F.min("value").alias("least"), F.max("value").alias("most")
+    ).where("open > 0 or least <> most")
+    slots = seen.groupBy("shape").agg(F.collect_set("place").alias("varying"), F.collect_set(F.when(F.col("n") > 0.5 * F.col("support"), F.col("place"))).alias("usual"))
+    own = F.transform("slots", place)
+    unfilled = F.size(F.filter("slots", lambda x: (value(x) == 0) | (value(x) == 1) & F.array_contains("varying", place(x)))) + F.size(F.array_except("usual", own))
+    filled = F.size(F.filter("slots", lambda x: (value(x) > 1) & (F.array_contains("varying", place(x)) | (value(x) >= F.lit(1 << 31)))))
+    return lines.where("shape is not null").join(slots, "shape").where(unfilled > filled).select("doc", "page", "line_no").distinct()
+
+
 def classified_lines(lines: DataFrame) -> DataFrame:
     """``doc, line_no, residue, site``: the lines after templates are induced."""
     own = templates(lines).groupBy("anchor").agg(
@@ -230,7 +320,9 @@ def classified_lines(lines: DataFrame) -> DataFrame:
     notice = (F.col("kind") == "cue") & (F.col("size") <= NOTICE_WORDS)
     repeated = notice & (F.coalesce(share, F.lit(0.0)) >= TEMPLATE_SHARE) & F.col("opens")
     short = notice & F.col("opens") & (F.col("size") <= SITE_WORDS + 2) & (F.col("support").isNull() | (share >= TEMPLATE_SHARE))
-    residue = (F.col("kind") == "residue") | repeated | short
+    unfilled = unfilled_lines(lines).withColumn("unfilled", F.lit(True))
+    joined = joined.join(unfilled, ["doc", "page", "line_no"], "left")
+    residue = (F.col("kind") == "residue") | repeated | short | F.coalesce("unfilled", F.lit(False))
     return joined.select("doc", "line_no", F.coalesce(residue, F.lit(False)).alias("residue"), "site")
 
 

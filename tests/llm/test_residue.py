@@ -53,3 +53,18 @@ def test_a_very_long_article_with_a_mention(spark):
 @pytest.mark.parametrize("line", ["{{a}}", "<%= x %>", "%%NAME%%", "[[title]]", "${x}", "#{y}", "<?php echo $t; ?>", "{headline}"])
 def test_placeholder_syntax(line):
     assert S.describe_line(line)["kind"] == "residue"
+
+
+def test_unfilled_slots_of_lines_without_a_cue(spark):
+    """Lines are aligned over all records by their shape; placeholders, defaults and blanks in its slots are residue, values aren't."""
+    line = "This article by {} was published in our newspaper of the city"
+    filled = [line.format(f"{n} Vorin") + f"\n{n}" for n in ("Anna", "Bela", "Cora", "Dora", "Enid", "Fay")]
+    empty = [line.format(x) + "\nShare this story" for x in ("{{author}}", "undefined", "")]
+    assert found(spark, filled + empty) == {"u6", "u7", "u8"}
+    assert found(spark, [line.format("{{author}}") + f"\nSection {x}" for x in "abc"]) == {"u0", "u1", "u2"}
+    assert found(spark, [line.format("undefined")] * 4) == set()
+
+
+def test_copies_and_shapes_of_articles_that_mention_a_placeholder_are_no_cases(spark):
+    mention = "The form still read {{{{name}}}} when {} opened it, and the transit union withdrew the list near Dalen."
+    assert found(spark, [mention.format("Vira Denholm")] * 5 + [mention.format(f"{n} Roe") for n in ("Anna", "Bela", "Cora", "Dora")]) == set()
