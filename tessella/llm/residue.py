@@ -90,7 +90,8 @@ SITE_WORDS = 12
 #: Least share of a line's words that belong to its template, and least number of records that make one.
 TEMPLATE_SHARE = 0.5
 TEMPLATE_SUPPORT = 3
-REACH = 24
+#: An article is found under this many addresses at most.
+MOST_COPIES = 6
 #: Least number of fixed words in a shape.
 LEAST_FIXED = 3
 _QUOTE = re.compile(r"[“„«»「『《\"]")
@@ -199,8 +200,8 @@ def describe_line(line: str) -> dict:
         hits = [(low.index(low.strip()), -len(status.group()), "notice", status.group())]
     if hits:
         start, negative, kind, phrase = min(hits)
-        before = [w.lower() for w in _WORD.findall(_PATHS.sub(" ", rest[:start]))][-REACH:]
-        after = [w.lower() for w in _WORD.findall(_PATHS.sub(" ", rest[start - negative :]))][:REACH]
+        before = [w.lower() for w in _WORD.findall(_PATHS.sub(" ", rest[:start]))]
+        after = [w.lower() for w in _WORD.findall(_PATHS.sub(" ", rest[start - negative :]))]
         anchor = f"{(before or ['^'])[-1]} {phrase} {(after or ['$'])[0]}"
         out |= {"kind": "cue", "anchor": anchor, "before": before[::-1], "after": after, "opens": len(before) <= 6, "size": size}
         # phrases inside of others don't count again
@@ -318,7 +319,10 @@ def classified_lines(lines: DataFrame) -> DataFrame:
     total = F.size("before") + F.size("after")
     share = F.when(F.col("template").isNotNull() & (total > 0), (matching("before", -1) + matching("after", 1)) / total)
     notice = (F.col("kind") == "cue") & (F.col("size") <= NOTICE_WORDS)
-    repeated = notice & (F.coalesce(share, F.lit(0.0)) >= TEMPLATE_SHARE) & F.col("opens")
+    # a long line that names people is an article's unless it has more copies than an article
+    named = F.coalesce(F.exists("slots", lambda x: x.bitwiseAND(F.lit(1 << 31)) != 0), F.lit(False))
+    long = ~named | (F.coalesce("support", F.lit(0)) > MOST_COPIES)
+    repeated = (F.col("kind") == "cue") & ((F.col("size") <= NOTICE_WORDS) | long) & (F.coalesce(share, F.lit(0.0)) >= TEMPLATE_SHARE) & F.col("opens")
     short = notice & F.col("opens") & (F.col("size") <= SITE_WORDS + 2) & (F.col("support").isNull() | (share >= TEMPLATE_SHARE))
     unfilled = unfilled_lines(lines).withColumn("unfilled", F.lit(True))
     joined = joined.join(unfilled, ["doc", "page", "line_no"], "left")

@@ -68,3 +68,12 @@ def test_unfilled_slots_of_lines_without_a_cue(spark):
 def test_copies_and_shapes_of_articles_that_mention_a_placeholder_are_no_cases(spark):
     mention = "The form still read {{{{name}}}} when {} opened it, and the transit union withdrew the list near Dalen."
     assert found(spark, [mention.format("Vira Denholm")] * 5 + [mention.format(f"{n} Roe") for n in ("Anna", "Bela", "Cora", "Dora")]) == set()
+
+
+def test_a_long_notice_is_residue_if_its_template_covers_it(spark):
+    long = "We use cookies on {} so that our partners and we can measure how pages are read, keep you signed in, remember what you chose on earlier visits and show you offers that fit; you may change this at any time in the settings."
+    texts = [long.format(x) for x in ("alpha", "beta", "gamma", "delta")]
+    assert S.describe_line(texts[0])["size"] > S.NOTICE_WORDS
+    assert found(spark, texts) == {f"u{i}" for i in range(4)}
+    assert found(spark, texts[:1]) == set()
+    assert found(spark, ["Readers were told to enable JavaScript, Vira Denholm complained, and the hotel chain handed over a draft code for touring crews near Dalen, where the board met on Tuesday."] * 4) == set()
