@@ -12,15 +12,19 @@ Private-use signs of the text itself are taken as ordinary signs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Private-use signs used as placeholders.
 OPEN, CLOSE = "\ue001", "\ue002"
+APOSTROPHE, SHUT = "\ue007", "\ue008"
+OUTER = ("\ue009", "\ue00a")
 BRACKETS = (("\ue003", "\ue004"), ("\ue005", "\ue006"))
 MASKED = "\ue010"
 MARK = "\ue0ff"
-RESERVED = OPEN + CLOSE + "".join(a + z for a, z in BRACKETS) + MASKED + MARK
+RESERVED = OPEN + CLOSE + APOSTROPHE + SHUT + "".join(OUTER) + "".join(a + z for a, z in BRACKETS) + MASKED + MARK
 
 # White space.
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -54,15 +58,20 @@ def _words(words: list[str]) -> str:
     return "|".join(sorted(dict.fromkeys(words), key=lambda w: (-len(w), w)))
 
 
-def _mask_pairs() -> tuple[str, str]:
-    """Paired quotation marks on one line become OPEN and CLOSE, German pairs before English ones."""
-    parts = [f"{a}([^{inner}{_LINE_ENDS}]*)[{z}]" for a, z, inner in _QUOTES]
+def _mask_pairs(opened: str = OPEN, closed: str = CLOSE, *, nested: bool = False) -> tuple[str, str]:
+    """Innermost paired quotation marks on one line become ``opened`` and ``closed``, German pairs before English ones.
+
+    Apostrophes between letters are APOSTROPHE by then. Marks that open and close alike can't be nested.
+    """
+    # after a word or the end of a sentence, » closes
+    lead = {"»": f"(?<![\\p{{L}}\\p{{N}}.!?…{CLOSE}])"}
+    parts = [f"{lead.get(a, '')}{a}([^{inner}{_LINE_ENDS}]*)[{z}]" for a, z, inner in _QUOTES if not (nested and a == z)]
     parts.append(f"(?<![\\p{{L}}\\p{{N}}])‘([^‘’{_LINE_ENDS}]*+)’(?!\\p{{L}})")
-    return "(?=[\"«»\\u2018-\\uff02])(?:" + "|".join(parts) + ")", OPEN + "".join(f"${i + 1}" for i in range(len(parts))) + CLOSE
+    return "(?=[\"«»\\u2018-\\uff02])(?:" + "|".join(parts) + ")", opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
 
 
 def _mask_brackets(level: int) -> tuple[str, str]:
-    """Innermost bracket pairs on one line become BRACKETS[level]; run twice for one level of nesting."""
+    """Innermost bracket pairs on one line become BRACKETS[level]."""
     signs = "".join("\\" + x for pair in _BRACKETS for x in pair)
     plain = f"[^{signs}{_LINE_ENDS}]*+"
     parts = [f"\\{a}({plain})\\{z}" for a, z in _BRACKETS]
@@ -91,6 +100,33 @@ def _silence(text: Column, opened: str, closed: str, kept_last: str) -> Column:
     return F.transform(F.array(text), whole)[0]
 
 
+def _silence_outer(text: Column) -> Column:
+    """Mask the terminators in the pairs around other pairs, and make their marks OPEN and CLOSE; a last dot stays."""
+    terminators = ".…" + _STRONG + OPEN + CLOSE
+
+    def segment(x: Column) -> Column:
+        tail = F.regexp_extract(x, f"\\.?{CLOSE}*{OUTER[1]}$", 0)
+        head = F.substring(x, F.lit(1), F.length(x) - F.length(tail))
+        inside = F.concat(F.translate(head, terminators, MASKED * len(terminators)), F.translate(tail, CLOSE, SHUT))
+        return F.when(x.startswith(OUTER[0]) & x.endswith(OUTER[1]), inside).otherwise(x)
+
+    pieces = F.split(text, f"(?={OUTER[0]})|(?<={OUTER[1]})")
+    return F.translate(F.array_join(F.transform(pieces, segment), ""), "".join(OUTER), OPEN + CLOSE)
+
+
+def _nested(text: Column, opening: str, closing: str, step: Callable[[Column], Column]) -> Column:
+    """``step`` as often as pairs can still lie around others, of whatever depth; most texts have none left."""
+
+    def count(t: Column, signs: str) -> Column:
+        return F.length(t) - F.length(F.translate(t, signs, ""))
+
+    def whole(t: Column) -> Column:
+        left = F.least(count(t, opening), count(t, closing))
+        return F.when(left > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), t, lambda a, _: step(a))).otherwise(t)
+
+    return F.transform(F.array(text), whole)[0]
+
+
 def _silent_dots() -> str:
     """Dots that end nothing by themselves. Each alternative starts at the dot, so plain text is skipped fast."""
     before = "(?<![\\p{L}\\p{M}\\p{N}])"
@@ -122,9 +158,9 @@ def _ends() -> str:
     line = f"[{_LINE_ENDS}]+"
     new_after_blank = f"(?={_BLANK}+{_OPENERS}*{_BLANK}*(?!{_OPENERS})[^\\p{{Ll}}{_LINE_ENDS}\\s])"
     cased_after_blank = f"(?={_BLANK}+{_OPENERS}*{_BLANK}*[\\p{{Lu}}\\p{{Lt}}])"
-    new_at_once = f"(?={_OPENERS}*(?:\\p{{Lu}}[\\p{{Ll}}\\p{{M}} ’']|\\p{{Lo}}{{2}}|[¿¡]))"
+    new_at_once = f"(?={_OPENERS}*(?:\\p{{Lu}}[\\p{{Ll}}\\p{{M}} ’{APOSTROPHE}']|\\p{{Lo}}{{2}}|[¿¡]))"
     # a closing quotation mark ends a unit only after a dot and before a capital: else a report may follow
-    dot = f"(?<!\\.)\\.(?![.…])(?:{CLOSE}{cased_after_blank}|[{shut})）\\]】〕}}]*(?:{new_after_blank}|{new_at_once}))"
+    dot = f"(?<!\\.)\\.(?![.…])(?:{SHUT}*{CLOSE}{cased_after_blank}|[{shut})）\\]】〕}}]*(?:{new_after_blank}|{new_at_once}))"
     strong = f"(?:[{_STRONG}][{_STRONG}.…]*)[{shut})）\\]】〕}}”’\"»」』]*(?:(?<![!?][{shut})\\]}}”’\"»」』]{{0,3}})|{new_after_blank}|{new_at_once})"
     dots = f"(?:\\.{{2,}}|\\.*…[….]*)(?:[{shut})\\]}}]*(?:{cased_after_blank}|(?={_OPENERS}*\\p{{Lu}}\\p{{Ll}})))"
     return f"(?=[\\n-\\r\\u001C-\\u001E\\u0085!.?\\u0600-\\uffff])({line}|{strong}|{dots}|{dot})"
@@ -134,11 +170,21 @@ def marked_text(text: Column) -> Column:
     """The text with placeholders and a MARK after each end of a unit; MARK is the only sign added."""
     pairs, pairs_to = _mask_pairs()
     clean = F.when(text.rlike(f"[{RESERVED}]"), F.translate(text, RESERVED, "�" * len(RESERVED))).otherwise(text)
-    masked = F.regexp_replace(clean, pairs, pairs_to)
+    masked = F.regexp_replace(clean, "(?<=\\p{L})’(?=\\p{L})", APOSTROPHE)
+    masked = F.regexp_replace(masked, pairs, pairs_to)
     masked = _silence(masked, OPEN, CLOSE, ".")
-    for level in range(len(BRACKETS)):
-        masked = F.regexp_replace(masked, *_mask_brackets(level))
-        masked = _silence(masked, *BRACKETS[level], "." + _STRONG)
+    directed = [q for q in _QUOTES if q[0] != q[1]]
+    outer, outer_to = _mask_pairs(*OUTER, nested=True)
+    masked = _nested(
+        masked, "".join(dict.fromkeys(a for a, _, _ in directed)) + "‘", "".join(dict.fromkeys("".join(z for _, z, _ in directed))) + "’",
+        lambda t: _silence_outer(F.regexp_replace(t, outer, outer_to)),
+    )
+    masked = F.regexp_replace(masked, *_mask_brackets(0))
+    masked = _silence(masked, *BRACKETS[0], "." + _STRONG)
+    masked = _nested(
+        masked, "".join(a for a, _ in _BRACKETS), "".join(z for _, z in _BRACKETS),
+        lambda t: F.translate(_silence(F.regexp_replace(t, *_mask_brackets(1)), *BRACKETS[1], "." + _STRONG), "".join(BRACKETS[1]), "".join(BRACKETS[0])),
+    )
     masked = F.regexp_replace(masked, _silent_dots(), MASKED)
     return F.regexp_replace(masked, _ends(), "$1" + MARK)
 

@@ -65,3 +65,20 @@ def test_edges(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert sentence_units(df, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("units", [
+    ["‘I don’t know. Ask them.’ she said.", "Then it’s over."],
+    ["«Он сказал: «Да. Нет». Потом ушёл», вспоминала Анна.", "Конец."],
+    ["«A «B «C. D» e. F» g. H», said Ann.", "The end."],
+    ["“He said “Yes. No” twice. Then he left,” said Ann.", "The end."],
+    ["(One. [Two. {Three. (Four. Five) six. Six} Seven.] Eight. Nine) ended.", "The end."],
+    ["«He said: «Yes. No.»»", "Then he left."],
+])
+def test_nested_pairs_and_apostrophes(spark, units):
+    assert texts(spark, " ".join(units)) == [units]
+
+
+def test_nested_japanese_quotations(spark):
+    units = ["「彼は「はい。いいえ」と言った。それから去った」と話した。", "終わり。"]
+    assert texts(spark, "".join(units)) == [units]
