@@ -87,3 +87,40 @@ def test_folding_twice_changes_nothing_more(text):
     once = L.fold(text, table)
     again = L.folding_table({**{ord(c): 1 for c in text if not 0xD800 <= ord(c) < 0xE000}, **{ord(c): 1 for c in once}})
     assert L.fold(once, again) == L.fold(text, again)
+
+
+def test_near_lines_against_brute_force(spark):
+    """Lines that differ in their first words and in blanks are one component, though the first and the last are less alike; fewer documents than the least are none."""
+    draw = random.Random(9)
+    stock = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ala", "ero", "imi", "otu", "usa")]
+    bases = [draw.sample(stock, 60) for _ in range(12)]
+    rows = []
+    for g, base in enumerate(bases):
+        for d in range(6 if g % 3 else 5):
+            rows.append((f"g{g}d{d}", "a", (" " if d % 2 else "\u00a0 ").join(base[3 * d :])))
+    df = spark.createDataFrame(rows, "url string, outlet string, body string")
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets = {u: shingles(t) for u, _, t in rows}
+    group = {u: {u} for u in sets}
+    for u in sets:
+        for v in sets:
+            if len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) and group[u] is not group[v]:
+                group[u] |= group[v]
+                for w in list(group[u]):
+                    group[w] = group[u]
+    expected = {(u, 0) for u in sets if len(group[u]) >= 6}
+    assert {tuple(r) for r in S.near_repeated_lines(df, key="url", source="outlet", text="body").collect()} == expected
+    assert expected
+
+
+def test_near_lines_with_months_and_wide_scripts(spark):
+    months = ["enero", "febrero", "marzo", "abril", "mayo", "junio"]
+    rows = [(f"m{i}", "a", f"publicado el {i + 1} de {m} por la redacción del diario") for i, m in enumerate(months)]
+    wide = "この記事の無断転載を禁じます著作権は当社に帰属します詳しくは利用規約をご覧ください担当は"
+    rows += [(f"w{i}", "b", wide + x) for i, x in enumerate("一二三四五六")]
+    df = spark.createDataFrame(rows, "url string, outlet string, body string")
+    assert {r.url for r in S.near_repeated_lines(df, key="url", source="outlet", text="body").collect()} == {r[0] for r in rows}
