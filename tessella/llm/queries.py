@@ -78,6 +78,12 @@ def p5_cleaned(spark: SparkSession, base: str) -> DataFrame:
     return site_lines.without_lines(articles, removed, key="url", text="article_text")
 
 
+def p5_cleaned_near(spark: SparkSession, base: str) -> DataFrame:
+    """Texts without repeated lines and without near-repeated ones; ``p5_cleaned`` takes out the former alone, as its SQL does."""
+    articles = load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]).dropDuplicates(["url"])
+    return site_lines.without_repeated(articles, key="url", source="outlet", text="article_text")
+
+
 def _codebook(spark: SparkSession, base: str) -> list[tuple[int, str]]:
     rows = load(spark, base, "metoo_keywords_v3", ["kw_id", "keyword"]).limit(MOST_KEYWORDS + 1).collect()
     if len(rows) > MOST_KEYWORDS:

@@ -124,3 +124,11 @@ def test_near_lines_with_months_and_wide_scripts(spark):
     rows += [(f"w{i}", "b", wide + x) for i, x in enumerate("一二三四五六")]
     df = spark.createDataFrame(rows, "url string, outlet string, body string")
     assert {r.url for r in S.near_repeated_lines(df, key="url", source="outlet", text="body").collect()} == {r[0] for r in rows}
+
+
+def test_texts_are_cleaned_of_near_lines_too(spark):
+    rows = [(f"u{i}", "a", f"By {n} for the paper\nShare this story\nBody number {i} of its own kind {'abcdefgh'[i] * 5}") for i, n in enumerate(["Anna", "Bela", "Cora", "Dora", "Enid", "Fay"])]
+    rows += [("n", "a", None), ("o", None, "Share this story")]
+    df = spark.createDataFrame(rows, "url string, outlet string, body string")
+    clean = {r.url: r.clean_text for r in S.without_repeated(df, key="url", source="outlet", text="body").collect()}
+    assert clean == {u: t and t.split("\n")[-1] for u, _, t in rows}
