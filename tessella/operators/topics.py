@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, HashingTF, MinHashLSH, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import resources as R
@@ -78,6 +78,15 @@ def top_words_by_language(docs: DataFrame, *, lang: str, text: str, topics: int
     return docs.sparkSession.createDataFrame(rows, "lang string, topic int, top_words string")
 
 
+def most_frequent_words(titles: DataFrame, words: int = 15) -> DataFrame:
+    """``lang, topic, top_words``: of ``lang, topic, words`` the most frequent words, joined; of equal ones the lesser word first."""
+    split = titles.select("lang", "topic", F.explode(F.split("words", " ")).alias("word")).where("word <> ''")
+    counted = split.groupBy("lang", "topic", "word").agg((-F.count("*")).alias("n"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "topic").orderBy("n", "word"))).where(F.col("rank") <= words)
+    top = F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"])
+    return ranked.groupBy("lang", "topic").agg(F.array_join(top, " ").alias("top_words"))
+
+
 def suggested_names(words: DataFrame, *, key: str, rules: list[tuple[str, str, str]] = NAME_RULES) -> DataFrame:
     """``key, name``: the name with most rule words in ``words`` of ``key, lang, words``; of equal ones the earlier rule."""
     table = words.sparkSession.createDataFrame([(i, *rule) for i, rule in enumerate(rules)], "rule int, rule_lang string, word string, name string")

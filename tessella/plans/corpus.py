@@ -195,6 +195,17 @@ def tx_name_template(spark, base):
     return topics.name_template(table)
 
 
+@query("tx_name_template_all", f"""WITH w AS (SELECT lang, CAST(doc_id % 8 + 1 AS INT) AS topic, unnest(string_split({sql_norm('title')}, ' ')) AS word FROM documents WHERE lang IN ('en', 'fr')), c AS (SELECT lang, topic, word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2, 3),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, topic ORDER BY n DESC, word) <= 15), t AS (SELECT lang, topic, string_agg(word, ' ' ORDER BY n DESC, word) AS top_words FROM k GROUP BY 1, 2),
+h AS (SELECT t.lang, topic, name, min(rule) AS rule, count(*) AS hits FROM t JOIN {RULES} ON t.lang = r.lang AND contains(t.top_words, r.word) GROUP BY 1, 2, 3), s AS (SELECT lang, topic, name FROM h QUALIFY row_number() OVER (PARTITION BY lang, topic ORDER BY hits DESC, rule) = 1)
+SELECT t.lang, t.topic, top_words, coalesce(s.name, '') AS suggested_name, '' AS your_name FROM t LEFT JOIN s ON t.lang = s.lang AND t.topic = s.topic""")
+def tx_name_template_all(spark, base):
+    """As tx_name_template, over the titles of all documents: the 15 most frequent words of each language and topic."""
+    df = load(spark, base, "documents", ["doc_id", "lang", "title"]).where("lang in ('en', 'fr')")
+    titles = df.select("lang", (F.col("doc_id") % 8 + 1).cast("int").alias("topic"), X.norm_title(F.col("title")).alias("words"))
+    return topics.name_template(topics.most_frequent_words(titles))
+
+
 @query("join_topic_names", f"WITH t AS (SELECT doc_id, CAST(doc_id % 8 + 1 AS INT) AS topic, lang FROM documents WHERE lang IS NOT NULL), n(lang, topic, your_name, suggested) AS (VALUES ('en', 1, 'Courts', 'x'), ('en', 2, NULL, 'Staff matters'), ('fr', 1, NULL, 'DROP  (noise)')) SELECT doc_id, coalesce(your_name, suggested, 'Topic ' || t.topic) AS name FROM t LEFT JOIN n ON t.lang = n.lang AND t.topic = n.topic")
 def join_topic_names(spark, base):
     docs = load(spark, base, "documents", ["doc_id", "lang"]).where("lang is not null").withColumn("topic", (F.col("doc_id") % 8 + 1).cast("int"))

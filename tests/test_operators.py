@@ -155,3 +155,12 @@ def test_upsert_and_samples(spark):
 def test_balanced_join_rejects_other_kinds(spark):
     with pytest.raises(ValueError):
         K.balanced_join(spark.range(1), spark.range(1), key=F.col("id"), matching_key=F.col("id"), row=F.col("id"), tasks=2, how="full")
+
+
+def test_name_template_reads_all_titles(spark, tmp_path):
+    from tessella.plans import registry
+
+    rows = [(i, "en", "Staff letter" if i >= 40 else "Hotel") for i in range(0, 160, 8)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["tx_name_template_all"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("en", 1, "letter staff hotel", "Staff matters", "")]
