@@ -156,14 +156,14 @@ def fn_detect_lang(spark, base):
 def tx_lda(spark, base):
     df = load_spread(spark, base, "labeled_articles", ["url", "language", "article_text", "fetch_status", "text_chars"]).where(C.usable(F.col("fetch_status"), F.col("article_text"))).dropDuplicates(["url"])
     docs = df.withColumn("lang", topics.stop_word_language(F.col("article_text"))).where("lang is not null and text_chars >= 800")
-    return topics.topics_by_language(docs, key="url", lang="lang", text="article_text", topics=4, iterations=5, least_documents=30)
+    return topics.topics_by_language(docs, key="url", lang="lang", text="article_text", least_documents=30)
 
 
 @query("tx_top_words")
 def tx_top_words(spark, base):
     df = load_spread(spark, base, "labeled_articles", ["url", "article_text", "text_chars"]).where("article_text is not null and text_chars >= 800").dropDuplicates(["url"])
     docs = df.withColumn("lang", topics.stop_word_language(F.col("article_text"))).where("lang is not null")
-    return topics.top_words_by_language(docs, lang="lang", text="article_text", topics=4, iterations=5, least_documents=30)
+    return topics.top_words_by_language(docs, lang="lang", text="article_text", least_documents=30)
 
 
 @query("llm_label")

@@ -164,3 +164,14 @@ def test_name_template_reads_all_titles(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, lang string, title string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.queries()["tx_name_template_all"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("en", 1, "letter staff hotel", "Staff matters", "")]
+
+
+@pytest.mark.parametrize("name, operator", [("tx_lda", "topics_by_language"), ("tx_top_words", "top_words_by_language")])
+def test_topic_queries_use_the_topics_and_passes_of_the_operator(spark, tiny, monkeypatch, name, operator):
+    from tessella.operators import topics
+    from tessella.plans import registry
+
+    asked = []
+    monkeypatch.setattr(topics, operator, lambda docs, **options: asked.append(options) or docs)
+    registry.queries()[name](spark, tiny)
+    assert asked and not {"topics", "iterations"} & set(asked[0])
