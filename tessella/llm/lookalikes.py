@@ -256,11 +256,43 @@ def hidden_mentions(documents: DataFrame, keywords: Iterable[tuple[int, str]], *
     return found.distinct().select(F.col("key").alias(key), F.col("kw").alias("kw_id"))
 
 
+def spelling_counts(documents: DataFrame, spellings: Iterable[str], *, key: str, text: str) -> dict[str, int]:
+    """How often each spelling stands in the texts as it is stored, leftmost-longest; repeated rows count once."""
+    spellings = sorted({x for x in spellings if x})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, total = automaton(spellings), defaultdict(int)
+        for batch in sliced(batches):
+            for value in batch.column(0).to_pylist():
+                for _, _, spelling in greedy_mentions(value, made):
+                    total[spelling] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["spelling", "n"])
+
+    rows = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(key, F.xxhash64(text)).agg(F.min(text).alias("text")).select("text")
+    return {r.spelling: r.n for r in rows.mapInArrow(run, "spelling string, n bigint").groupBy("spelling").agg(F.sum("n").alias("n")).collect()}
+
+
+def rewritten_texts(documents: DataFrame, keywords: Iterable[tuple[int, str]], *, key: str, text: str) -> DataFrame:
+    """``key, rewritten``: each whole text folded, its mentions in the spelling of their class that is most frequent in the texts."""
+    keywords = [(i, k) for i, k in keywords if i is not None and k is not None]
+    table = folding_table(code_point_counts(documents, text), extra="".join(k for _, k in keywords))
+    classes = keyword_classes(keywords, table, spelling_counts(documents, [k for _, k in keywords], key=key, text=text))
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = automaton(classes)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rewrite(v, table, classes, made) if v else v for v in batch.column(1).to_pylist()], pa.string())], names=["key", "rewritten"])
+
+    slim = documents.select(key, text).where(F.col(key).isNotNull())
+    return slim.mapInArrow(run, f"key {kind}, rewritten string").distinct().withColumnRenamed("key", key)
+
+
 def mention_counts(documents: DataFrame, keywords: Iterable[tuple[int, str]], *, key: str, text: str) -> DataFrame:
     """``key, keyword, mentions``: greedy mentions under the representative spelling of each keyword class."""
     keywords = [(i, k) for i, k in keywords if i is not None and k is not None]
     table = folding_table(code_point_counts(documents, text), extra="".join(k for _, k in keywords))
-    classes = keyword_classes(keywords, table)
+    classes = keyword_classes(keywords, table, spelling_counts(documents, [k for _, k in keywords], key=key, text=text))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

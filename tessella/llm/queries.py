@@ -99,6 +99,10 @@ def p6_mentions(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.mention_counts(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), _codebook(spark, base), key="url", text="article_text")
 
 
+def p6_rewritten(spark: SparkSession, base: str) -> DataFrame:
+    return lookalikes.rewritten_texts(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), _codebook(spark, base), key="url", text="article_text")
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     runs = shared_spans.shared_runs(load_spread(spark, base, "deduped_articles", ["cluster_id", "article_text"]), key="cluster_id", text="article_text")
     return shared_spans.sharing_pairs(runs).select(F.col("id_a").alias("cluster_a"), F.col("id_b").alias("cluster_b"))

@@ -132,3 +132,12 @@ def test_texts_are_cleaned_of_near_lines_too(spark):
     df = spark.createDataFrame(rows, "url string, outlet string, body string")
     clean = {r.url: r.clean_text for r in S.without_repeated(df, key="url", source="outlet", text="body").collect()}
     assert clean == {u: t and t.split("\n")[-1] for u, _, t in rows}
+
+
+def test_representative_is_the_spelling_most_frequent_in_the_texts(spark):
+    rows = [("a", "the Hush here"), ("b", "a Hush and a hush"), ("c", None), ("d", "no mention"), ("a", "the Hush here")]
+    df = spark.createDataFrame(rows, "url string, body string")
+    keywords = [(1, "hush"), (2, "hush"), (3, "Hush")]
+    assert {r.keyword for r in L.mention_counts(df, keywords, key="url", text="body").collect()} == {"Hush"}
+    got = sorted((r.url, r.rewritten) for r in L.rewritten_texts(df, keywords, key="url", text="body").collect())
+    assert [(u, t.count("Hush") if t else t) for u, t in got] == [("a", 1), ("b", 2), ("c", None), ("d", 0)]
