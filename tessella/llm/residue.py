@@ -1,23 +1,25 @@
 """Problem 3: template residue, filler and error pages in place of an article.
 
-Each line of a text that holds any cue of residue is looked at. Cues are placeholder
-syntax, filler words and the phrases of error pages and of notices about scripts, browsers, cookies and sessions, in
-ten languages; one automaton finds them in the whole text, and texts without any are done.
-
-Records of one template are aligned at their cue: for each cue with its neighbours, the
-words at each distance are counted over all lines. A word that most of the aligned lines share is part of
-the template, anything else is a slot. A line is residue if its template's
-own words make up most of it, or if it is no longer than
-a notice and opens with a cue.
-
-Lines of all texts, with or without a cue, are also aligned by their masked shape: placeholders, default values, names and
-numbers are slots, the other words in their order are the template, and equal templates of at least
-TEMPLATE_SUPPORT different pages are one. A line with more unfilled slots (a placeholder, a default value where other lines have another, or a
-blank where most of its template's lines have a value) than filled ones is residue, whatever its length.
-Names can't be told from words in scripts without capitals; there a value is a slot only if it is a placeholder, a default or a number.
- A text is a case if it holds residue and, besides, nothing but short site lines.
-A text in which a line of prose stands is none, whatever else it carries; quoted passages are taken out
-before cues are looked for.
+A text is a case if every line of it is residue or a short site line, and at least one is residue. So each text
+is read up to its first *open* line, one that is neither a site line nor residue by itself; a text without open lines
+is decided, any other depends on that line first.
+
+A line is residue by itself if placeholders, variable names, visible blanks or fill words (the defaults of templates) make up
+most of it. Every other verdict comes from the records of the same template:
+
+1. Lines are tokens: placeholders, defaults, codes, addresses and numbers are slots, runs of capitalised words one token, the rest
+   words. Lines are aligned at anchors, pairs of their first or last words: for each anchor, the tokens at each distance
+   are counted over all pages, and a token that more than half of them share is part of the template, anything else a slot.
+2. Slots are looked at: a line of a template with more unfilled slots (placeholder, default where others have a value, blank where
+   most have one) than filled ones is residue, whatever its length.
+3. Whole-page templates: a page whose open lines all belong to templates of more than MOST_COPIES different pages
+   (or that stands as it is under more than MOST_COPIES keys) is an error page or a notice; an article has no more copies.
+4. A lexicon of notices in ten languages ranks what too few records share to induce a template: a short line that opens with a
+   cue is residue with fewer pages, or none, behind it.
+
+The other lines of texts whose first open line is residue are then looked at in the same way, in a second scan of those texts.
+A text in which a line of prose stands is no case, whatever else it carries; quoted passages are taken out
+before lines are looked at.
 
 Null and blank texts are no cases. Repeated rows count once.
 """
@@ -68,36 +70,45 @@ FILLER_WORDS = frozenset((
     "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split())
 KEYBOARD_WORDS = frozenset("asdf asdfg asdfgh qwer qwert qwerty jkl jklö hjkl zxcv yxcv uiop test tk xxx foo bar baz blah bla".split())
-#: Syntax of unfilled placeholders.
+#: Syntax of unfilled placeholders, of any length within a line; none can run past the next opening, so a search takes linear time.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,120}\}\}|\{%[^{}\n]{0,120}%\}|[$#@]\{[^{}\n]{0,120}\}|<%[^\n]{0,120}?%>|<\?[^\n]{0,120}?\?>|%%[^%\n]{1,120}%%|\[\[[^\[\]\n]{1,120}\]\]|@@[^@\n]{1,80}@@"
-    r"|__[A-Za-z][A-Za-z0-9_.\-]{1,60}__|%\([A-Za-z_]\w*\)[sd]|\{[A-Za-z_][\w.\-]{0,60}\}|\[(?:INSERT|YOUR|TODO|TBD|PLACEHOLDER)[^\[\]\n]{0,60}\]|<<[A-Za-z_][\w .\-]{0,60}>>"
+    r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|[$#@]\{[^{}\n]*\}|<%[^<\n]*?%>|<\?[^<\n]*?\?>|%%[^%\n]+%%|\[\[[^\[\]\n]+\]\]|@@[^@\n]+@@"
+    r"|__[A-Za-z](?:[A-Za-z0-9.\-]|_(?!_))++__|%\([A-Za-z_]\w*+\)[sd]|\{[A-Za-z_][\w.\-]*+\}|\[(?:INSERT|YOUR|TODO|TBD|PLACEHOLDER)[^\[\]\n]*\]|<<[A-Za-z_][\w .\-]*+>>"
 )
+#: What else stands for a value that isn't there: names of variables, visible blanks, bracketed names of fields.
+VARIABLE = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b|_{3,}|\[ *\]|\[[A-Z][\w’']*(?: [A-Z][\w’']*)*\]"
 _OPENINGS = ["{{", "{%", "${", "#{", "@{", "<%", "<?", "%%", "[[", "@@", "__", "%(", "{", "[insert", "[your", "[todo", "[tbd", "[placeholder", "<<"]
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|「[^」\n]*」|『[^』\n]*』|《[^》\n]*》|\"[^\"\n]*\"")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ]+[^\W\d_]*)*|\d+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Values that a template puts where there is nothing to put.
 DEFAULTS = frozenset("undefined null none nan nil untitled unnamed tbd".split())
-_UNIT = re.compile(rf"({PLACEHOLDER.pattern}|\[object Object\]|\((?:none|null|empty)\)|\b[nN]/[aA]\b)|([^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ'’\-]+[^\W\d_]*)*)|(\d+(?:[.:/\-]\d+)*)")
-_PATHS = re.compile(r"(?<!\w)/[\w\-./%]+|https?://\S+|\b[^\W\d_]+(?:[-_.][^\W\d_]+)+\b|\b[A-Z0-9]{6,}\b")
+_PATH = r"(?<!\w)/[\w\-./%]+|https?://\S+|\b[^\W\d_]+(?:[-_.][^\W\d_]+)+\b|\b[A-Z0-9]{6,}\b"
+_TOKEN = re.compile(
+    rf"(?P<open>{PLACEHOLDER.pattern}|{VARIABLE})|(?P<default>\[object Object\]|\((?:none|null|empty)\)|\b[nN]/[aA]\b)|(?P<code>{_PATH}|\b(?=[A-Z]*\d)[A-Z0-9]{2,}\b|\d+(?:[.:/\-]\d+)*)"
+    r"|(?P<word>[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ'’]+[^\W\d_]*)*)"
+)
+_PATHS = re.compile(_PATH)
 _STATUS = re.compile(STATUS_LINE)
 _SENTENCE_END = re.compile(r"[.!?。！？।؟…][\"”»」』)\]]*\s*$")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 #: A line with more words than this is never a notice by its cue alone; a site line is shorter still.
 NOTICE_WORDS = 24
 SITE_WORDS = 12
-#: Least share of a line's words that belong to its template, and least number of records that make one.
+#: Least share of a line's words that belong to its template, and least number of pages that make one.
 TEMPLATE_SHARE = 0.5
 TEMPLATE_SUPPORT = 3
-#: An article is found under this many addresses at most.
+#: An article is found under this many keys at most, and in as many versions; more pages of one template are a site's.
 MOST_COPIES = 6
-#: Least number of fixed words in a shape.
-LEAST_FIXED = 3
+#: Least share of the words of a page's lines that belong to its template for the page to be one of a whole-page template.
+WHOLE_SHARE = 0.75
 _QUOTE = re.compile(r"[“„«»「『《\"]")
+_EMPTY_SLOT = re.compile(rf"{PLACEHOLDER.pattern}|{VARIABLE}|\[object Object\]|\((?:none|null|empty)\)|\b[nN]/[aA]\b|\b(?i:{'|'.join(sorted(DEFAULTS))})\b")
 #: No line longer than this has SITE_WORDS words or fewer unless they aren't words; only the verdict on site lines needs its size.
 SITE_CHARS = 400
 _SENTENCE_SIGNS = ".!?:;…"
+#: Kinds of tokens, in the three low bits of their numbers.
+WORD, OPEN, DEFAULT, CODE, NAME = range(5)
 
 
 def _phrases(text: str) -> list[str]:
@@ -135,48 +146,66 @@ def _size(line: str, words: list[str]) -> float:
     return len(words) if not wide else len([w for w in words if not _WIDE.search(w)]) + wide / 2.5
 
 
-def line_shape(line: str) -> tuple[int | None, list[int]]:
-    """A hash of the line's fixed words in their order, and its slots: their place times 2**32 plus a hash of the value, 0 for a placeholder, 1 for a default value.
+def line_tokens(line: str) -> list[int]:
+    """A number for each token of a line: a hash of it, and its kind in the three low bits. Quoted passages aren't looked at.
 
-    Names are capitalised words; one that stands alone at the start of the line or of a sentence is a fixed word. A name of several words has the
-    bit 2**31 set: it is a value even where all lines share it. Quoted passages aren't looked at.
+    Names are runs of capitalised words, one token each; a capitalised word that stands alone at the start of the line or of a sentence is a word.
     """
     bare = _QUOTED.sub(" ", line) if _QUOTE.search(line) else line
-    fixed, slots, run, last = [], [], [], 0
+    out: list[int] = []
+    run: list[str] = []
+    last, starts = 0, True
 
     def close() -> None:
-        if len(run) == 1 and starts:
-            fixed.append(run[0].lower())
-        elif run:
-            slots.append((len(fixed) << 32) + (crc32(" ".join(run).encode("utf-8", "replace")) & 0x7FFFFFFF | (1 << 31 if len(run) > 1 else 2)))
+        kind = WORD if len(run) == 1 and starts else NAME
+        out.append(crc32(" ".join(run).lower().encode("utf-8", "replace")) & 0x7FFFFFF8 | kind)
         run.clear()
 
-    starts = True
-    for m in _UNIT.finditer(bare):
-        unit, between, last = m.group(), bare[last : m.start()], m.end()
-        if m.group(2) and unit[0].isupper():
-            if run and between.strip():
+    for m in _TOKEN.finditer(bare):
+        unit, group = m.group(), m.lastgroup
+        if group == "word" and unit[0].isupper():
+            between = bare[last : m.start()].strip()
+            if run and between:
                 close()
             if not run:
-                starts = not fixed and not slots or between.strip()[-1:] in _SENTENCE_SIGNS and between.strip() != ""
+                starts = not out or between[-1:] in _SENTENCE_SIGNS and between != ""
+            last = m.end()
             if unit.lower() not in DEFAULTS:
                 run.append(unit)
                 continue
+        if run:
+            close()
+        last = m.end()
+        low = unit.lower()
+        kind = WORD if group == "word" else OPEN if group == "open" else CODE if group == "code" else DEFAULT
+        out.append(crc32(low.encode("utf-8", "replace")) & 0x7FFFFFF8 | (DEFAULT if low in DEFAULTS else kind))
+    if run:
         close()
-        if m.group(1) or unit.lower() in DEFAULTS:
-            slots.append((len(fixed) << 32) + (0 if m.group(1) and PLACEHOLDER.match(unit) else 1))
-        elif m.group(3):
-            slots.append((len(fixed) << 32) + (crc32(unit.encode()) & 0x7FFFFFFF | 2))
-        else:
-            fixed.append(unit.lower())
-    close()
-    if len(fixed) < LEAST_FIXED and sum(map(len, fixed)) < LEAST_FIXED * 4:
-        return None, []
-    return int.from_bytes(blake2b(" ".join(fixed).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), slots
+    return out
+
+
+def _hash(key: str) -> int:
+    return int.from_bytes(blake2b(key.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def line_anchors(parts: list[str], count: int) -> tuple[list[int], int | None]:
+    """Hashes under which a line may stand with others of its template: its anchors, and its shape.
+
+    Anchors are pairs of words, the first two, the first and the third, the last two, each with the line's ``count`` of words or tokens, so that
+    equal places are equal distances. The shape is all its words in their order, whatever stands in the slots between them. Words are those in lower case.
+    """
+    words = [w for w in parts if (w.isalpha() or not w.isascii() and _WORD.fullmatch(w)) and w == w.lower() and w not in DEFAULTS]
+    if len(words) < 2:
+        return ([_hash(f"f {count} {words[0]}")] if words else []), None
+    pairs = {f"a {count} {words[0]} {words[1]}", f"b {count} {words[0]} {words[min(2, len(words) - 1)]}", f"c {count} {words[-1]} {words[-2]}"}
+    return [_hash(k) for k in pairs], _hash(" ".join(words))
 
 
 def describe_line(line: str) -> dict:
-    """What a line shows by itself: its kind as far as it is certain, its cue, and the words around the cue."""
+    """What a line shows by itself: its size in words, its kind as far as it is certain, and whether it opens with a cue.
+
+    Kinds: ``residue`` by its placeholders and fill words, ``notice`` by the lexicon alone, ``cue`` for a line with one cue, else ``other``.
+    """
     bare = _QUOTED.sub(" ", line)
     slots = PLACEHOLDER.findall(bare)
     rest = PLACEHOLDER.sub(" ", bare) if slots else bare
@@ -184,7 +213,7 @@ def describe_line(line: str) -> dict:
     words = [w.lower() for w in _WORD.findall(plain)]
     letters = [w for w in words if _LETTER.match(w)]
     size = _size(plain, letters)
-    out = {"size": size, "anchor": None, "before": [], "after": [], "kind": "other", "opens": False}
+    out = {"size": size, "kind": "other", "opens": False}
     if slots and size <= 4 * len(slots) + 1:
         return out | {"kind": "residue"}
     if len(letters) >= 3 and sum(w in FILLER_WORDS for w in letters) >= 0.7 * len(letters) and any(w in ("lorem", "ipsum", "dolor", "amet", "nulla", "magna", "labore", "ullamco", "elit", "aliqua") for w in letters):
@@ -200,21 +229,21 @@ def describe_line(line: str) -> dict:
         hits = [(low.index(low.strip()), -len(status.group()), "notice", status.group())]
     if hits:
         start, negative, kind, phrase = min(hits)
-        before = [w.lower() for w in _WORD.findall(_PATHS.sub(" ", rest[:start]))]
-        after = [w.lower() for w in _WORD.findall(_PATHS.sub(" ", rest[start - negative :]))]
-        anchor = f"{(before or ['^'])[-1]} {phrase} {(after or ['$'])[0]}"
-        out |= {"kind": "cue", "anchor": anchor, "before": before[::-1], "after": after, "opens": len(before) <= 6, "size": size}
+        before = _WORD.findall(_PATHS.sub(" ", rest[:start]))
+        out |= {"kind": "cue", "opens": len(before) <= 6}
         # phrases inside of others don't count again
         covered = sum(not any(o[0] <= h[0] and o[0] - o[1] >= h[0] - h[1] and o != h for o in hits) for h in hits)
         if status and size <= NOTICE_WORDS or kind == "filler" and size <= NOTICE_WORDS / 2 or covered >= 2 and size <= NOTICE_WORDS:
-            out["kind"] = "residue"
+            out["kind"] = "notice"
     return out
 
 
-def _plain_line(line: str) -> dict:
-    """What describe_line says of a line in a text without any cue."""
-    words = [w for w in _WORD.findall(_PATHS.sub(" ", line)) if _LETTER.match(w)] if len(line) <= SITE_CHARS else line.split()
-    return {"size": _size(line, words), "anchor": None, "before": [], "after": [], "kind": "other", "opens": False}
+def _line_size(line: str) -> float:
+    """Words of a line without any cue; of one with clearly more than a site line has, a lower bound."""
+    least = sum(map(str.isalpha, line.split()))
+    if least > SITE_WORDS:
+        return least
+    return _size(line, [w for w in _WORD.findall(_PATHS.sub(" ", line)) if _LETTER.match(w)])
 
 
 def _at_border(text: str, start: int, end: int) -> bool:
@@ -231,112 +260,194 @@ def is_site_line(line: str, size: float) -> bool:
     return size <= SITE_WORDS and not _SENTENCE_END.search(line.strip())
 
 
-_SCHEMA = "doc {kind}, line_no int, kind string, anchor string, before array<string>, after array<string>, size float, opens boolean, site boolean, page bigint, shape bigint, slots array<bigint>"
-
-
-def _line_mapper():
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows, numbers, made, site, pages, shapes, slots = [], [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                cued = has_cue(text)
-                page = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                for number, line in enumerate(text.split("\n")):
-                    if line.strip():
-                        seen = describe_line(line) if cued else _plain_line(line)
-                        shape, held = line_shape(line)
-                        pages.append(page)
-                        shapes.append(shape)
-                        slots.append(held)
-                        rows.append(row)
-                        numbers.append(number)
-                        made.append(seen)
-                        site.append(is_site_line(line, seen["size"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array([m["kind"] for m in made]),
-                    pa.array([m["anchor"] for m in made], pa.string()), pa.array([m["before"] for m in made], pa.list_(pa.string())),
-                    pa.array([m["after"] for m in made], pa.list_(pa.string())), pa.array([m["size"] for m in made], pa.float32()),
-                    pa.array([m["opens"] for m in made]), pa.array(site),
-                    pa.array(pages, pa.int64()), pa.array(shapes, pa.int64()), pa.array(slots, pa.list_(pa.int64())),
-                ], names=["doc", "line_no", "kind", "anchor", "before", "after", "size", "opens", "site", "page", "shape", "slots"])
-
-    return run
-
-
-def cue_lines(documents: DataFrame, *, key: str, text: str) -> DataFrame:
-    """The lines of every text, with what they show by themselves."""
-    slim = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    kind = slim.schema["doc"].dataType.simpleString()
-    return slim.mapInArrow(_line_mapper(), _SCHEMA.format(kind=kind))
+_FIRST_SCHEMA = "doc {kind}, page bigint, line_no int, flagged boolean, anchors array<bigint>, shape bigint, words array<int>"
+_SCHEMA = "page bigint, line_no int, kind string, opens boolean, size float, site boolean, tokens array<int>, anchors array<bigint>, shape bigint"
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """Aligned templates ``anchor, place, word, support``: words that most records with this anchor share at this distance.
+def open_lines(text: str) -> Iterator[tuple[int, str, dict, bool]]:
+    """The lines that are neither plain site lines nor residue by themselves: number, line, what it shows and whether it is a site line with a cue or an empty slot.
 
-    Places count from the cue, negative ones before it. Slots are the places without a row.
+    A text of nothing but plain site lines has these as open lines, longest first. Afterwards, if there was any residue, one more with the number -1.
+    """
+    residue, opened, plain = False, False, []
+    for number, line in enumerate(text.split("\n")):
+        if not line.strip():
+            continue
+        shown = describe_line(line) if has_cue(line) else None
+        if shown and shown["kind"] == "residue":
+            residue = True
+            continue
+        size = shown["size"] if shown else _line_size(line)
+        site = is_site_line(line, size)
+        if shown and shown["kind"] != "other" or not site or _EMPTY_SLOT.search(line):
+            opened = True
+            yield number, line, shown or {"size": size, "kind": "other", "opens": False}, site
+        elif not opened and not residue:
+            plain.append((-len(line), number, line, size))
+    if residue:
+        yield -1, "", {"size": 0.0, "kind": "residue", "opens": False}, True
+    elif not opened:
+        for _, number, line, size in sorted(plain):
+            yield number, line, {"size": size, "kind": "other", "opens": False}, True
+
+
+def _word_hash(word: str) -> int:
+    """31 bits, of which the lowest tells a capitalised word."""
+    return crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFE | (word[0].isupper() and not word.isupper())
+
+
+def _first_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()))
+    for batch in sliced(batches):
+        rows, out = [], [[] for _ in types]
+        for row, text in enumerate(batch.column(2).to_pylist()):
+            for number, line, shown, site in open_lines(text):
+                parts = line.split()
+                flagged = shown["kind"] != "other" or _EMPTY_SLOT.search(line) is not None
+                rows.append(row)
+                for held, value in zip(out, (number, flagged, *line_anchors(parts, len(parts)), [_word_hash(w) for w in parts])):
+                    held.append(value)
+                break
+        if rows:
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(taken), batch.column(1).take(taken), *[pa.array(v, t) for v, t in zip(out, types)]], names=["doc", "page", "line_no", "flagged", "anchors", "shape", "words"]
+            )
+
+
+def _line_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int32(), pa.string(), pa.bool_(), pa.float32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())
+    for batch in sliced(batches):
+        rows, out = [], [[] for _ in types]
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            for number, line, shown, site in open_lines(text):
+                tokens = line_tokens(line)
+                rows.append(row)
+                for held, value in zip(out, (number, shown["kind"], shown["opens"], shown["size"], site, tokens, *line_anchors(line.split(), len(tokens)))):
+                    held.append(value)
+        if rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *[pa.array(v, t) for v, t in zip(out, types)]], names=["page", "line_no", "kind", "opens", "size", "site", "tokens", "anchors", "shape"])
+
+
+def _pages(documents: DataFrame, key: str, text: str) -> DataFrame:
+    slim = documents.select(F.col(key).alias("doc"), F.xxhash64(F.col(text), F.length(text)).alias("page"), F.col(text).alias("text"))
+    return slim.where("doc is not null and text is not null")
+
+
+def first_lines(pages: DataFrame) -> DataFrame:
+    """``doc, page, line_no, flagged, anchors, shape, words`` of the first open line of each text of ``doc, page, text``."""
+    return pages.mapInArrow(_first_mapper, _FIRST_SCHEMA.format(kind=pages.schema["doc"].dataType.simpleString()))
+
+
+def _majority(words: DataFrame, name: str) -> DataFrame:
+    """``anchor, template, fixed`` of ``anchor, n, place, <name>``: the word that more than half of the n pages have at each place, null in a slot, and their number."""
+    common = words.groupBy("anchor", "n", "place", name).agg(F.count("*").alias("k")).where(F.col("k") > 0.5 * F.col("n"))
+    held = common.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("place", name))).alias("m"))
+    places = F.sequence(F.lit(0), F.array_max(F.map_keys("m")))
+    return held.select("anchor", F.transform(places, lambda i: F.element_at("m", i)).alias("template"), F.size("m").alias("fixed"))
+
+
+def pages_to_read(first: DataFrame) -> DataFrame:
+    """``page`` of the texts whose first open line can be residue: it has a cue or an empty slot, or the shape of others, or most of its words belong to a template.
+
+    Each line is aligned under the rarest of its anchors that others share; their words are counted by place.
     """
-    cued = lines.where("anchor is not null").dropDuplicates(["doc", "anchor"])
-    before = F.transform("before", lambda w, i: F.struct((-i - 1).alias("place"), w.alias("word")))
-    after = F.transform("after", lambda w, i: F.struct((i + 1).alias("place"), w.alias("word")))
-    words = cued.select("anchor", F.explode(F.concat(before, after)).alias("w")).groupBy("anchor", "w.place", "w.word").agg(F.count("*").alias("n"))
-    records = cued.groupBy("anchor").agg(F.count("*").alias("support"))
-    return words.join(records.where(F.col("support") >= TEMPLATE_SUPPORT), "anchor").where(F.col("n") > 0.5 * F.col("support")).select("anchor", "place", "word", "support")
+    lines = first.where("line_no >= 0").select("page", "flagged", "anchors", "shape", "words")
+    held = lines.select("page", F.explode("anchors").alias("anchor"))
+    support = held.groupBy("anchor").agg(F.count_distinct("page").alias("n")).where(F.col("n") > MOST_COPIES)
+    chosen = held.join(support, "anchor").groupBy("page").agg(F.min(F.struct("n", "anchor")).alias("x")).select("page", F.col("x.anchor").alias("anchor"))
+    groups = chosen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_COPIES)
+    grouped = cut_lineage(lines.select("page", "words").join(chosen, "page").dropDuplicates(["page"]).join(groups, "anchor"))
+    common = _majority(grouped.select("anchor", "n", F.posexplode("words").alias("place", "word")), "word")
+    other = F.filter(F.zip_with("words", "template", lambda w, t: F.when(w.isNotNull() & ~F.coalesce(w == t, F.lit(False)), w)), lambda w: w.isNotNull())
+    alike = grouped.join(common.where(F.col("fixed") >= TEMPLATE_SHARE / 2 * F.size("template")), "anchor").where(
+        (F.size(other) <= (1 - TEMPLATE_SHARE) * F.size("words")) & ~F.exists(other, lambda w: w.bitwiseAND(F.lit(1)) == 1)
+    )
+    each = lines.where("shape is not null").select("page", "shape", "flagged", F.size("words").alias("size"))
+    shapes = each.groupBy("shape").agg(F.count_distinct("page").alias("n"), F.max("flagged").alias("flagged"), F.min("size").alias("least"), F.max("size").alias("most"))
+    varying = shapes.where((F.col("n") >= TEMPLATE_SUPPORT) & (F.col("flagged") | (F.col("least") < F.col("most")))).select("shape")
+    return alike.select("page").union(each.join(varying, "shape", "left_semi").select("page")).union(lines.where("flagged").select("page")).distinct()
 
 
-def unfilled_lines(lines: DataFrame) -> DataFrame:
-    """``doc, page, line_no`` of the lines whose shape is a template and that have more unfilled slots than filled ones.
+def described_lines(pages: DataFrame) -> DataFrame:
+    """All open lines of each text of ``page, text``, with tokens, anchors and shape."""
+    return pages.select("page", "text").mapInArrow(_line_mapper, _SCHEMA)
 
-    A page counts once for its template, however many rows hold the same text.
-    """
-    place, value = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
-    once = lines.where("shape is not null").groupBy("shape", "page").agg(F.min("slots").alias("slots"))
-    shapes = once.groupBy("shape").agg(F.count("*").alias("support"), F.max(F.size("slots")).alias("most")).where((F.col("support") >= TEMPLATE_SUPPORT) & (F.col("most") > 0))
-    each = once.join(shapes, "shape").select("shape", "page", "support", F.explode("slots").alias("s")).select("shape", "page", "support", place(F.col("s")).alias("place"), value(F.col("s")).alias("value"))
-    seen = each.groupBy("shape", "support", "place").agg(
-        F.count_distinct("page").alias("n"), F.sum((F.col("value") == 0).cast("int")).alias("open"), F.min("value").alias("least"), F.max("value").alias("most")
-    ).where("open > 0 or least <> most")
-    slots = seen.groupBy("shape").agg(F.collect_set("place").alias("varying"), F.collect_set(F.when(F.col("n") > 0.5 * F.col("support"), F.col("place"))).alias("usual"))
-    own = F.transform("slots", place)
-    unfilled = F.size(F.filter("slots", lambda x: (value(x) == 0) | (value(x) == 1) & F.array_contains("varying", place(x)))) + F.size(F.array_except("usual", own))
-    filled = F.size(F.filter("slots", lambda x: (value(x) > 1) & (F.array_contains("varying", place(x)) | (value(x) >= F.lit(1 << 31)))))
-    return lines.where("shape is not null").join(slots, "shape").where(unfilled > filled).select("doc", "page", "line_no").distinct()
-
-
-def classified_lines(lines: DataFrame) -> DataFrame:
-    """``doc, line_no, residue, site``: the lines after templates are induced."""
-    own = templates(lines).groupBy("anchor").agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("template"), F.max("support").alias("support")
-    )
 
-    def matching(words: str, sign: int) -> Column:
-        hits = F.transform(words, lambda w, i: (F.element_at("template", (i + 1) * sign) == w).cast("int"))
-        return F.aggregate(hits, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-
-    joined = lines.join(own, "anchor", "left")
-    total = F.size("before") + F.size("after")
-    share = F.when(F.col("template").isNotNull() & (total > 0), (matching("before", -1) + matching("after", 1)) / total)
-    notice = (F.col("kind") == "cue") & (F.col("size") <= NOTICE_WORDS)
-    # a long line that names people is an article's unless it has more copies than an article
-    named = F.coalesce(F.exists("slots", lambda x: x.bitwiseAND(F.lit(1 << 31)) != 0), F.lit(False))
-    long = ~named | (F.coalesce("support", F.lit(0)) > MOST_COPIES)
-    repeated = (F.col("kind") == "cue") & ((F.col("size") <= NOTICE_WORDS) | long) & (F.coalesce(share, F.lit(0.0)) >= TEMPLATE_SHARE) & F.col("opens")
-    short = notice & F.col("opens") & (F.col("size") <= SITE_WORDS + 2) & (F.col("support").isNull() | (share >= TEMPLATE_SHARE))
-    unfilled = unfilled_lines(lines).withColumn("unfilled", F.lit(True))
-    joined = joined.join(unfilled, ["doc", "page", "line_no"], "left")
-    residue = (F.col("kind") == "residue") | repeated | short | F.coalesce("unfilled", F.lit(False))
-    return joined.select("doc", "line_no", F.coalesce(residue, F.lit(False)).alias("residue"), "site")
-
-
-def residue_documents(documents: DataFrame, *, key: str, text: str) -> DataFrame:
-    """Keys of the texts that hold residue and no article."""
-    lines = cut_lineage(cue_lines(documents, key=key, text=text))
-    verdict = classified_lines(lines).groupBy("doc").agg(
-        F.max("residue").alias("any_residue"), F.min(F.col("residue") | F.col("site")).alias("nothing_else")
+def _kind(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(7))
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """Aligned templates ``anchor, support, template, fixed``: the tokens that most pages with this anchor have at each place, null in a slot."""
+    held = lines.select("page", "line_no", F.explode("anchors").alias("anchor"))
+    supported = held.groupBy("anchor").agg(F.count_distinct("page").alias("support")).where(F.col("support") >= TEMPLATE_SUPPORT)
+    # a page counts once for an anchor, with its first line
+    once = held.join(supported, "anchor").groupBy("anchor", "support", "page").agg(F.min("line_no").alias("line_no"))
+    tokens = once.join(lines.select("page", "line_no", "tokens"), ["page", "line_no"]).select("anchor", F.col("support").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    return _majority(tokens, "token").join(supported, "anchor")
+
+
+def _slot_counts(lines: DataFrame) -> DataFrame:
+    """``shape, pages, values, usual`` of the shapes that several pages have: how many of them have no default, and how many slots most of them have."""
+    slots = F.size(F.filter("tokens", lambda t: _kind(t) != WORD))
+    default = F.exists("tokens", lambda t: _kind(t).isin(OPEN, DEFAULT))
+    each = lines.where("shape is not null").groupBy("shape", "page").agg(F.max(slots).alias("slots"), F.min(default).alias("default"))
+    by_count = each.groupBy("shape", "slots").agg(F.count("*").alias("n"), F.sum((~F.col("default")).cast("int")).alias("values"))
+    # shapes are few tokens each, and their counts of slots fewer
+    running = Window.partitionBy("shape").orderBy(F.desc("slots"))
+    ranked = by_count.withColumn("upto", F.sum("n").over(running)).withColumn("pages", F.sum("n").over(Window.partitionBy("shape")))
+    return ranked.groupBy("shape").agg(
+        F.max("pages").alias("pages"), F.sum("values").alias("values"), F.max(F.when(F.col("upto") > 0.5 * F.col("pages"), F.col("slots"))).alias("usual")
+    ).where(F.col("pages") >= TEMPLATE_SUPPORT)
+
+
+def judged_lines(lines: DataFrame, *, lexicon: bool = True) -> DataFrame:
+    """``page, line_no, residue, site``: the lines after templates are induced and their slots looked at. ``copied``: the page stands under many keys."""
+    lines = lines.where("line_no >= 0")
+    aligned = lines.select("page", "line_no", "tokens", F.explode("anchors").alias("anchor")).join(templates(lines), "anchor")
+
+    def counted(fixed: bool, *kinds: int) -> Column:
+        """How many tokens of these kinds are the template's, or aren't."""
+        return F.size(F.filter(F.zip_with("tokens", "template", lambda t, f: _kind(t).isin(*kinds) & (F.coalesce(t == f, F.lit(False)) == fixed)), lambda x: x))
+
+    fixed = counted(True, WORD, NAME)
+    best = aligned.select("page", "line_no", F.struct((fixed / F.greatest(fixed + counted(False, WORD, NAME), F.lit(1))).alias("share"), "support", (-counted(False, CODE, NAME)).alias("values"), (-counted(False, CODE)).alias("codes"), (-counted(False, NAME)).alias("names")).alias("m"))
+    joined = lines.join(best.groupBy("page", "line_no").agg(F.max("m").alias("m")), ["page", "line_no"], "left").join(_slot_counts(lines), "shape", "left")
+    count = lambda *kinds: F.size(F.filter("tokens", lambda t: _kind(t).isin(*kinds)))
+    share, support = F.coalesce("m.share", F.lit(0.0)), F.coalesce("m.support", F.lit(0))
+    named = F.coalesce(-F.col("m.values"), count(CODE, NAME))
+    blank = F.greatest(F.col("usual") - count(OPEN, DEFAULT, CODE, NAME), F.lit(0))
+    unfilled = count(OPEN) + F.when(F.col("values") > 0, count(DEFAULT)).otherwise(0) + blank
+    slots = (F.col("usual").isNotNull() | F.col("copied")) & (unfilled > named)
+    # what names people is an article's, however often it comes back; so is what has no slot for a code, an address or a number
+    unnamed = count(NAME) == 0
+    varying = F.coalesce((F.col("m.codes") < 0) & (F.col("m.names") == 0), F.lit(False)) | unnamed & (count(OPEN, DEFAULT) > 0)
+    whole = (support > MOST_COPIES) & (share >= WHOLE_SHARE) & varying & (~F.col("site") | (F.col("kind") != "other") | (count(OPEN) > 0))
+    residue = slots | whole | F.col("copied") & (count(OPEN, DEFAULT, CODE) > 0) & unnamed
+    if lexicon:
+        induced = (support >= TEMPLATE_SUPPORT) & (share >= TEMPLATE_SHARE)
+        short = F.col("size") <= F.when(induced, NOTICE_WORDS).otherwise(SITE_WORDS + 2)
+        residue = residue | (F.col("kind") == "notice") | ((F.col("kind") == "cue") & F.col("opens") & (short | induced & (count(NAME) == 0)))
+    return joined.select("page", "line_no", F.coalesce(residue, F.lit(False)).alias("residue"), "site")
+
+
+def residue_documents(documents: DataFrame, *, key: str, text: str, lexicon: bool = True) -> DataFrame:
+    """Keys of the texts that hold residue and no article. Without the lexicon, templates and slots decide alone."""
+    pages = _pages(documents, key, text)
+    first = cut_lineage(first_lines(pages))
+    sure = first.where("line_no < 0").select("page")
+    keys = first.where("line_no >= 0").select("page", "doc").distinct().groupBy("page").agg(F.count("*").alias("keys"))
+    copied = keys.where(F.col("keys") > MOST_COPIES).select("page", F.lit(True).alias("copied"))
+    # only these can be residue; their texts are read again, whole
+    wanted = cut_lineage(pages_to_read(first).join(copied, "page", "full").select("page", F.coalesce("copied", F.lit(False)).alias("copied")))
+    lines = cut_lineage(described_lines(pages.join(wanted, "page", "left_semi").dropDuplicates(["page"])).join(wanted, "page"))
+    own = lines.where("line_no < 0").select("page", F.lit(True).alias("residue"), F.lit(True).alias("site"))
+    verdict = judged_lines(lines, lexicon=lexicon).select("page", "residue", "site").unionByName(own).groupBy("page").agg(
+        F.max("residue").alias("some"), F.min(F.col("residue") | F.col("site")).alias("all")
     )
-    return verdict.where("any_residue and nothing_else").select(F.col("doc").alias(key))
+    found = verdict.where(F.col("some") & F.col("all")).select("page").union(sure)
+    return first.join(found, "page", "left_semi").select(F.col("doc").alias(key)).distinct()
 
 
 def without_residue(documents: DataFrame, *, key: str, text: str) -> DataFrame:

@@ -39,11 +39,38 @@ def test_repeated_rows_and_empty_table(spark):
     assert S.without_residue(df.where("url is not null"), key="url", text="body").count() == 0
 
 
-def test_templates_are_aligned_at_their_cue(spark):
-    texts = [f"Kindly note the resource {w} was not found by the router under {w}x" for w in ("anna", "bela", "cora", "dora", "enid")]
-    lines = S.cue_lines(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), key="id", text="body")
-    made = {(r.place, r.word) for r in S.templates(lines).collect()}
-    assert (1, "by") in made and (-1, "was") in made and not any(w in ("anna", "annax") for _, w in made)
+def test_templates_are_aligned_at_their_words(spark):
+    texts = [f"Kindly note the resource {w} was not found by the router under {w}x." for w in ("anna", "bela", "cora", "dora", "enid")]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page bigint, text string")
+    made = S.templates(S.described_lines(pages)).collect()
+    tokens = [S.line_tokens(t) for t in texts]
+    shared = [t if all(x[i] == t for x in tokens) else None for i, t in enumerate(tokens[0])]
+    assert made and all(r.template == shared[: len(r.template)] and r.support == 5 for r in made)
+    assert shared[4] is None and shared[-1] is None and sum(t is not None for t in shared) == 11
+
+
+def invented(n):
+    """Three templates that no phrase of the lexicon is in, with one record for each number below n."""
+    code = [f"{chr(65 + i % 26)}{chr(65 + i // 26 % 26)}{i * 7919 % 100000}" for i in range(n)]
+    return (
+        [f"Our machines dropped the thing you wanted. Quote {c} when you write to us about it." for c in code],
+        [f"Dear FIRST_NAME LAST_NAME, thank you for reading ARTICLE_TITLE by AUTHOR.\nShare this story {c}" for c in code],
+        [f"By [Author Name] on [Date]\n____ said on ____ that it was so.\nShare this story {c}" for c in code],
+    )
+
+
+def test_templates_without_any_phrase_of_the_lexicon_are_found(spark):
+    pages = [t for template in invented(60) for t in template] + [PROSE]
+    assert found(spark, pages) == {f"u{i}" for i in range(180)}
+
+
+def test_what_the_lexicon_and_the_templates_add(spark):
+    """Notices are found by their templates alone; few records of one need the lexicon; without mates and without a phrase nothing is found."""
+    many = [c.replace("QWRTZPL", f"Q{i}X{i * 7}").replace("XYZQWRT", f"R{i}Y{i * 3}") for c in CASES[:8] for i in range(60)]
+    df = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(many)], "url string, body string")
+    alone = S.residue_documents(df, key="url", text="body", lexicon=False).count()
+    assert alone >= 0.7 * len(many) and found(spark, many) == {f"u{i}" for i in range(len(many))}
+    assert found(spark, [template[0] for template in invented(1)][:1]) == set()
 
 
 def test_a_very_long_article_with_a_mention(spark):
