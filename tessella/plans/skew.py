@@ -39,6 +39,6 @@ def p2_country_terms(spark, base):
     terms = load(spark, base, "metoo_keywords_v3", ["keyword_country", "stance_primary"]).where("keyword_country is not null")
     country = F.lower(F.trim("source_country"))
     joined, _ = K.balanced_join(articles, terms, key=country, matching_key=F.lower(F.trim("keyword_country")), row=F.col("url"), tasks=_tasks(spark))
-    once = joined.groupBy("__key", "__shard", "stance_primary", "url").agg(F.count("*").alias("n"))
-    by_shard = once.groupBy("__key", "__shard", "stance_primary").agg(F.sum("n").alias("pairs"), F.count("*").alias("urls"))
+    once = joined.groupBy("__task", "__key", "__shard", "stance_primary", "url").agg(F.count("*").alias("n"))
+    by_shard = once.groupBy("__task", "__key", "__shard", "stance_primary").agg(F.sum("n").alias("pairs"), F.count("*").alias("urls"))
     return by_shard.groupBy(F.col("__key").alias("country"), F.col("stance_primary").alias("stance")).agg(F.sum("pairs").alias("pairs"), F.sum("urls").alias("urls"))

@@ -112,9 +112,16 @@ def skewed(spark, n=4000):
 def test_plan_splits_and_packs(spark):
     _, df = skewed(spark)
     plan = K.plan_fragments(K.key_loads(df, F.col("key")), 8)
-    assert plan.placed["hot"][1] >= 3 and max(plan.loads) < 1.6 * plan.total / 8
-    tasks = K.fragmented(df.drop("__shard"), F.col("key"), F.col("v"), plan).groupBy("__task").count().collect()
-    assert max(r["count"] for r in tasks) < 2.2 * plan.total / 8
+    assert len(plan.placed["hot"]) >= 3 and max(plan.loads) < 1.6 * plan.total / 8
+    parts = K.fragmented(df.drop("__shard"), F.col("key"), F.col("v"), plan)
+    rows = parts.groupBy(F.spark_partition_id().alias("p"), "__task").count().collect()
+    # each partition is one task of the plan, and none has much more than its share
+    assert len(rows) == len({r["p"] for r in rows}) == 8 and all(r["p"] == r["__task"] for r in rows)
+    assert max(r["count"] for r in rows) < 1.5 * plan.total / 8
+    other = spark.createDataFrame([("hot", 1)], "key string, w int")
+    joined, _ = K.balanced_join(df.drop("__shard"), other, key=df["key"], matching_key=other["key"], row=df["v"], tasks=8)
+    each = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) == len(plan.placed["hot"]) and max(each) < 1.5 * sum(each) / len(each)
 
 
 def test_balanced_join_equals_plain_join(spark):
