@@ -85,7 +85,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 DEFAULTS = frozenset("undefined null none nan nil untitled unnamed tbd".split())
 _PATH = r"(?<!\w)/[\w\-./%]+|https?://\S+|\b[^\W\d_]+(?:[-_.][^\W\d_]+)+\b|\b[A-Z0-9]{6,}\b"
 _TOKEN = re.compile(
-    rf"(?P<open>{PLACEHOLDER.pattern}|{VARIABLE})|(?P<default>\[object Object\]|\((?:none|null|empty)\)|\b[nN]/[aA]\b)|(?P<code>{_PATH}|\b(?=[A-Z]*\d)[A-Z0-9]{2,}\b|\d+(?:[.:/\-]\d+)*)"
+    rf"(?P<open>{PLACEHOLDER.pattern}|{VARIABLE})|(?P<default>\[object Object\]|\((?:none|null|empty)\)|\b[nN]/[aA]\b)|(?P<code>{_PATH}|\b(?=[A-Z]*\d)[A-Z0-9]{{2,}}\b|\d+(?:[.:/\-]\d+)*)"
     r"|(?P<word>[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏ'’]+[^\W\d_]*)*)"
 )
 _PATHS = re.compile(_PATH)
