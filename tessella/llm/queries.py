@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm import encoding, languages, lookalikes, packing, residue, sentences, shared_spans, site_lines, survivors
 from tessella.sources.tables import load, load_spread
 
-#: Bundles of the built record of problem 1 and the dependency between two of them.
+#: Bundles of the built record of problem 1 and the dependencies between them.
 RECORD_BUNDLES = {
     "headline": ("title", "published"),
     "place": ("outlet",),
@@ -16,7 +16,9 @@ RECORD_BUNDLES = {
     "page": ("fetched_title", "fetch_status"),
     "judgement": ("stance", "stance_confidence", "evidence"),
 }
-RECORD_DEPENDENCY = ("outlet", "source_country")
+RECORD_DEPENDENCIES = (("outlet", "source_country"), ("title", "fetched_title"))
+#: Problem 1 asks for each field by itself: every field is a bundle and none depends on another.
+FOUND_BUNDLES = {f: (f,) for f in survivors.FOUND_FIELDS}
 #: Budgets come from a table of a few rows; more than this is an error, not a plan.
 MOST_BUDGETS = 1000
 #: The codebook doesn't grow with the corpus; a larger one is an error, not cut short.
@@ -26,15 +28,15 @@ MOST_KEYWORDS = 200_000
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     fields = survivors.FOUND_FIELDS
     members = survivors.cluster_members(load(spark, base, "dedupe_map", ["cluster_id", "url"]), load(spark, base, "labeled_articles"), fields)
-    chosen = survivors.surviving_bundles(members, group="cluster_id", member="url", bundles={f: (f,) for f in fields})
+    chosen = survivors.surviving_bundles(members, group="cluster_id", member="url", bundles=FOUND_BUNDLES)
     return chosen.select("cluster_id", F.col("bundle").alias("field_name"), "url")
 
 
 def p1_records(spark: SparkSession, base: str) -> DataFrame:
     fields = [f for fields in RECORD_BUNDLES.values() for f in fields]
     members = survivors.cluster_members(load(spark, base, "dedupe_map", ["cluster_id", "url"]), load(spark, base, "labeled_articles"), fields)
-    chosen = survivors.surviving_bundles(members, group="cluster_id", member="url", bundles=RECORD_BUNDLES, dependency=RECORD_DEPENDENCY)
-    return survivors.surviving_records(members, chosen, RECORD_BUNDLES, group="cluster_id", member="url")
+    chosen = survivors.surviving_bundles(members, group="cluster_id", member="url", bundles=RECORD_BUNDLES, dependencies=RECORD_DEPENDENCIES, carry=True)
+    return survivors.surviving_records(chosen, RECORD_BUNDLES, group="cluster_id", member="url")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

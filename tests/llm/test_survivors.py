@@ -94,3 +94,53 @@ def test_members_with_clashing_columns(spark):
     articles = rows(spark, (7, "a", "t", None, None, None, "OK", day(1)), (8, "b", "u", None, None, None, "OK", day(2))).withColumn("cluster_id", F.lit(5).cast("bigint")).withColumn("one", F.lit(1))
     members = S.cluster_members(mapped, articles, ["title"])
     assert pick(members) == {(1, "title"): "b"}
+
+
+def test_two_dependencies_against_exhaustive_search(spark):
+    """A chain outlet -> source_country -> title: every choice of members is tried."""
+    random.seed(18)
+    values = []
+    for c in range(20):
+        for m in range(random.randint(2, 4)):
+            values.append((c, f"u{c}-{m}", random.choice(["s", "t", None]), random.choice(["alpha", "beta", None]), random.choice(["France", "Spain", None]), None, random.choice(["OK", "FAILED:1"]), day(random.randint(0, 40))))
+    rules = [("outlet", 3, "source_country", 4), ("source_country", 4, "title", 2)]
+    stated = {}
+    for _, i, _, j in rules:
+        counts = {}
+        for v in values:
+            if v[i] and v[j]:
+                counts[v[i], v[j].lower()] = counts.get((v[i], v[j].lower()), 0) + 1
+        stated[i] = {x: min((y for a, y in counts if a == x), key=lambda y: (-counts[x, y], y)) for x, _ in counts}
+
+    def trust(v):
+        return S.FILLED_WEIGHT + (S.STATUS_WEIGHT if v[6] == "OK" else 0) + int(v[7].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6) if v else 0
+
+    def kept(choice):
+        return all(not choice[i] or not choice[j] or stated[i].get(choice[i][i]) in (None, choice[j][j].lower()) for _, i, _, j in rules)
+
+    got = pick(rows(spark, *values), fields=["outlet", "source_country", "title"], dependencies=[r[::2] for r in rules])
+    by_url = {v[1]: v for v in values}
+    for c in range(20):
+        members = [v for v in values if v[0] == c]
+        options = {i: [v for v in members if v[i]] for i in (3, 4, 2)}
+        best = max(
+            trust(a) + trust(b) + trust(d) for a in options[3] or [None] for b in [*options[4], None] for d in [*options[2], None] if kept({3: a, 4: b, 2: d})
+        )
+        mine = {i: by_url.get(got.get((c, f))) for i, f in ((3, "outlet"), (4, "source_country"), (2, "title"))}
+        assert kept(mine) and sum(map(trust, mine.values())) == best
+
+
+def test_a_bundle_comes_from_one_row(spark):
+    """Two rows of one url don't mix: a record's bundle is one of them."""
+    df = rows(spark, (1, "u", "pageB", "A-place", None, None, "OK", day(1)), (1, "u", "pageA", "Z-place", None, None, "OK", day(1)), (1, "v", None, None, "France", None, "OK", day(1)))
+    bundles = {"page": ("title", "outlet"), "origin": ("source_country",)}
+    record = S.surviving_records(S.surviving_bundles(df, group="cluster_id", member="url", bundles=bundles, carry=True), bundles, group="cluster_id", member="url").first()
+    assert (record.title, record.outlet) in {("pageB", "A-place"), ("pageA", "Z-place")} and record.source_country == "France" and record.page_from == "u"
+
+
+def test_a_hot_group_is_branched(spark):
+    """One group holds nearly all rows."""
+    values = [(1, f"u{i}", None, f"o{i % 50}", None, None, "OK", day(i % 40)) for i in range(400)] + [(1, f"w{i}", None, None, f"c{i % 30}", None, "OK", day(i % 40)) for i in range(400)]
+    values += [(2, f"s{i}", None, f"o{i}", f"c{i + 25}", None, "FAILED:1", day(0)) for i in range(5)]
+    got = pick(rows(spark, *values), fields=["outlet", "source_country"], dependency=("outlet", "source_country"))
+    assert {k[0] for k in got} == {1, 2} and len(got) == 4
