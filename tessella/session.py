@@ -61,6 +61,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_stage(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut_lineage``, as a compressed table of columns: for wide stages that are read several times, a few columns each time."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that outweighs moving the rows.
 
