@@ -14,7 +14,7 @@ from tessella.functions.text import norm_event
 MOST_BROADCAST_EVENTS = 10_000
 
 
-def event_table(spark: SparkSession, events: Sequence[tuple] = R.EVENTS) -> DataFrame:
+def event_table(spark: SparkSession, events: Sequence[tuple]) -> DataFrame:
     """``key, date, origin, label, words, blind``."""
     return spark.createDataFrame(events, "key string, date string, origin string, label string, words array<string>, blind boolean").withColumn("date", F.to_date("date"))
 

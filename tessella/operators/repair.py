@@ -1,75 +1,79 @@
-"""Repair of broken bodies: text turned by 47, and UTF-8 read in a one-byte encoding."""
+"""Repair of broken bodies, as column expressions: text turned by 47, and UTF-8 read in a one-byte encoding.
 
-from __future__ import annotations
+Turned text is found in two ways. Between the turned marks of a paragraph everything is turned back. Elsewhere words vote: a word
+gains if it has more letters when turned, and it is turned where the words around it gain much together. Words that are
+letters already stay at the edge of such a stretch; numbers have no vote.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import rot47
 
-# What "<p>", "</p>", "the " and "and " look like when turned; sizes and gain of the test by stretches.
+# What "<p>", "</p>", "the " and "and " look like when turned.
+OPENED, CLOSED = "kAm", "k^Am"
 HINT = r"kAm|k\^Am|E96 |2\?5 "
-STRETCH, LEAST_STRETCH, LEAST_GAIN = 200, 40, 0.20
-_TURN = {c: chr(33 + (c - 33 + 47) % 94) for c in range(33, 127)}
-_PARAGRAPH = re.compile(r"(?=kAm)|(?<=k\^Am)")
-_MARKUP = re.compile(r"<[^<>]{1,400}>")
+#: Words on each side that vote with a word, the gain in letters for each sign that they need together, and how many of them have to gain.
+AROUND, LEAST_GAIN, LEAST_VOTES = 4, 0.20, 3
 
 
-def _letters(text: str) -> float:
-    seen = [c for c in text[:1200] if not c.isspace()]
-    return sum(map(str.isalpha, seen)) / len(seen) if seen else 0.0
+def _letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
 
 
-def _better(piece: str, gain: float) -> str | None:
-    turned = piece.translate(_TURN)
-    return turned if _letters(turned) - _letters(piece) > gain else None
+def _voted(line: Column) -> Column:
+    """A line with the words turned back whose surroundings gain by it."""
+    def described(word: Column) -> Column:
+        gain = F.when(word.rlike(r"^[\d.,:/%()+-]*$"), F.lit(0)).otherwise(_letters(rot47(word)) - _letters(word))
+        return F.struct(word.alias("w"), gain.alias("gain"), F.length(word).alias("size"))
 
+    def decided(words: Column) -> Column:
+        def word(x: Column, i: Column) -> Column:
+            def won(near: Column) -> Column:
+                total = F.aggregate(near, F.struct(F.lit(0).alias("gain"), F.lit(0).alias("size"), F.lit(0).alias("votes")), lambda a, y: F.struct(
+                    (a["gain"] + y["gain"]).alias("gain"), (a["size"] + y["size"]).alias("size"), (a["votes"] + (y["gain"] > 0).cast("int")).alias("votes")
+                ))
+                return F.transform(F.array(total), lambda t: (t["gain"] > LEAST_GAIN * t["size"]) & (t["votes"] >= LEAST_VOTES))[0]
 
-def repair_line(line: str) -> str:
-    """Turned stretches of a line turned back. A piece that opens like a paragraph is tested whole, others in stretches of two phases."""
-    made = []
-    for piece in _PARAGRAPH.split(line):
-        whole = _better(piece, 0.0) if piece.startswith("kAm") else None
-        if whole is None and len(piece) >= LEAST_STRETCH:
-            for phase in (0, STRETCH // 2):
-                cuts = [0, *range(phase or STRETCH, len(piece), STRETCH), len(piece)]
-                stretches = [piece[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
-                # in the second phase the head was looked at before
-                piece = "".join((_better(s, LEAST_GAIN) or s) if len(s) >= LEAST_STRETCH and not (phase and i == 0) else s for i, s in enumerate(stretches))
-            whole = piece
-        made.append(piece if whole is None else whole)
-    return "".join(made)
+            # the words before and after have one vote each, so that the edges of a stretch are found
+            turned = won(F.slice(words, F.greatest(i + 1 - AROUND, F.lit(1)), F.least(i, F.lit(AROUND)) + 1)) | won(F.slice(words, i + 1, AROUND + 1))
+            before, after = F.get(words, i - 1)["gain"], F.get(words, i + 1)["gain"]
+            inside = (x["gain"] >= 0) | (F.coalesce(before, F.lit(1)) > 0) & (F.coalesce(after, F.lit(1)) > 0)
+            return F.when(turned & inside, rot47(x["w"])).otherwise(x["w"])
 
+        return F.transform(words, word)
 
-def repair_text(text: str) -> tuple[str, bool]:
-    lines = text.split("\n")
-    fixed = [repair_line(line) for line in lines]
-    changed = fixed != lines
-    return "\n".join(_MARKUP.sub(" ", new) if new != old else new for new, old in zip(fixed, lines)), changed
+    words = F.transform(F.split(line, " "), described)
+    made = F.array_join(F.transform(F.array(words), decided)[0], " ")
+    return F.transform(F.array(made), lambda x: F.when(x == line, x).otherwise(_plain(x)))[0]
 
 
-def repaired(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, repaired, changed``. Only rows with a hint go to Python; null texts stay null."""
+def _plain(text: Column) -> Column:
+    """Without the tags that turning brought back."""
+    return F.regexp_replace(text, "</?[A-Za-z][^<>]*>", " ")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [repair_text(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made])], names=["key", "repaired", "changed"])
+def _voted_lines(text: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, "\n"), _voted), "\n")
 
-    kind = df.schema[key].dataType.simpleString()
-    slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    fixed = slim.where(hinted).mapInArrow(run, f"key {kind}, repaired string, changed boolean")
-    same = slim.where(~hinted).select("key", F.col("text").alias("repaired"), F.lit(False).alias("changed"))
-    return fixed.unionByName(same).withColumnRenamed("key", key)
 
+def repaired_text(text: Column) -> Column:
+    """The text with what was turned turned back; null stays null, a text without a hint stays as it is."""
+    def piece(part: Column, i: Column) -> Column:
+        end = F.instr(part, F.lit(CLOSED))
+        paragraph = F.concat(_plain(rot47(F.substring(part, F.lit(1), end - 1))), _voted_lines(F.substring(part, end + len(CLOSED), F.length(part))))
+        return F.when(i == 0, _voted_lines(part)).when(end > 0, paragraph).otherwise(_voted_lines(F.concat(F.lit(OPENED), part)))
 
-def rot47_column(text: Column) -> Column:
-    return rot47(text)
+    whole = F.array_join(F.transform(F.split(text, OPENED), piece), "")
+    return F.when(text.rlike(HINT), whole).otherwise(text)
+
+
+def repaired(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, repaired, changed``. Null texts stay null and are unchanged."""
+    made = df.select(F.col(key), F.col(text).alias("__text"), repaired_text(F.col(text)).alias("repaired"))
+    return made.select(key, "repaired", F.coalesce(F.col("repaired") != F.col("__text"), F.lit(False)).alias("changed"))
 
 
 #: Signs that Windows-1252 has where Latin-1 has control codes, and those codes.

@@ -296,7 +296,7 @@ def fn_json_list(spark, base):
     return df.select("url", F.array_sort(X.json_list(F.to_json("evaluative_language"))).alias("words"))
 
 
-GROUP_CASE = "CASE " + " ".join(f"WHEN source_country IN ({quoted(c.split('|'))}) THEN '{g}'" for g, c in R.LANGUAGE_GROUPS.items()) + " END"
+GROUP_CASE = "CASE " + " ".join(f"WHEN source_country IN ({quoted(c)}) THEN '{g}'" for g, c in R.LANGUAGE_GROUPS.items()) + " END"
 
 
 @query("fn_language_group", f"SELECT url, {GROUP_CASE} AS language_group FROM articles_v3")

@@ -130,12 +130,12 @@ def dd_minhash_lsh(spark, base):
     return topics.minhash_pairs(units.where("id = rep").select("id", "norm"))
 
 
-@query("fn_repair_rot47")
+@query("fn_repair_rot47", """SELECT url, substring(md5(url), 1, 1) IN ('0', '1', '2', '3') AS changed, md5(min(article_text)) AS digest FROM labeled_articles WHERE article_text IS NOT NULL GROUP BY url""")
 def fn_repair_rot47(spark, base):
-    """Every fourth of the bodies is turned first, so that there is something to repair."""
-    df = load_spread(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").dropDuplicates(["url"])
-    turned = F.when(F.pmod(F.xxhash64("url"), F.lit(4)) == 0, X.rot47(F.concat(F.lit("<p>"), "article_text", F.lit("</p>")))).otherwise(F.col("article_text"))
-    return repair.repaired(df.select("url", turned.alias("body")), "url", "body").select("url", "changed", F.length("repaired").alias("chars"))
+    """Every fourth of the bodies is turned first, so that there is something to repair: all come back as they were."""
+    df = load_spread(spark, base, "labeled_articles", ["url", "article_text"]).where("article_text is not null").groupBy("url").agg(F.min("article_text").alias("article_text"))
+    turned = F.when(F.substring(F.md5("url"), 1, 1).isin("0", "1", "2", "3"), X.rot47(F.concat(F.lit("<p>"), "article_text", F.lit("</p>")))).otherwise(F.col("article_text"))
+    return repair.repaired(df.select("url", turned.alias("body")), "url", "body").select("url", "changed", F.md5("repaired").alias("digest"))
 
 
 @query("fn_fix_mojibake")

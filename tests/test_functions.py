@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.functions.stats import log_likelihood, wilson
 from tessella.operators import columns as C
-from tessella.operators.repair import fix_mojibake, repair_text
+from tessella.operators.repair import fix_mojibake, repaired_text
 
 
 def one(spark, value, *columns, kind="string"):
@@ -73,11 +73,22 @@ def test_mojibake(spark):
     assert one(spark, "prisión Ã", fix_mojibake(F.col("v")))[0] == "prisión Ã"
 
 
-def test_turned_paragraph_is_repaired():
-    turned = "".join(chr(33 + (ord(c) - 33 + 47) % 94) if 33 <= ord(c) <= 126 else c for c in "<p>The clerk said that the office and the staff had agreed</p>")
-    text, changed = repair_text("A plain lead.\n" + turned)
-    assert changed and "The clerk said" in text and "<p>" not in text and text.startswith("A plain lead.")
-    assert repair_text("Nothing to do here.") == ("Nothing to do here.", False)
+def turn(text):
+    return "".join(chr(33 + (ord(c) - 33 + 47) % 94) if 33 <= ord(c) <= 126 else c for c in text)
+
+
+def test_turned_text_is_repaired(spark):
+    sentence = "The clerk said that the office, 23 of its staff and a lawyer had agreed on all of it by Friday"
+    cases = {
+        "A plain lead.\n" + turn(f"<p>{sentence}</p>"): "A plain lead.\n" + sentence,
+        turn(f"<p>{sentence}\nOn two lines.</p>") + " Plain again.": f"{sentence}\nOn two lines. Plain again.",
+        "Plain words stand here before it " + turn(sentence) + " and here after it": f"Plain words stand here before it {sentence} and here after it",
+        turn(f"<p>{sentence}"): f" {sentence}", turn("<p></p>"): "", "kAm": "kAm", "": "", None: None,
+        "Nothing to do here.": "Nothing to do here.", "kAm 2345 6789 4567 2345 6789 3456 2345 6789": "kAm 2345 6789 4567 2345 6789 3456 2345 6789",
+        "The code E96 is listed beside many plain words of an article that nobody turned": "The code E96 is listed beside many plain words of an article that nobody turned",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", repaired_text(F.col("v")).alias("r")).collect()
+    assert {r.v: r.r for r in rows} == cases
 
 
 @settings(max_examples=40, deadline=None)
