@@ -3,28 +3,56 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _folded(code: int) -> str:
+    """The compatibility decomposition of a code point without its combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+
+
+#: All code points but surrogates, private ones, and syllables of Hangul, which decompose one to one.
+_CODES = [*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]
+
+
 def _folding_pairs() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one plain letter with marks, up to Latin Extended Additional, and that letter."""
-    source, target = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code):
-            source.append(chr(code))
-            target.append(plain)
-    return "".join(source), "".join(target)
+    """Signs whose decomposition is one plain sign with marks or in another style, and that sign; blanks become blanks."""
+    pairs = [(chr(code), plain) for code in _CODES if len(plain := _folded(code)) == 1 and plain != chr(code)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _mark_class() -> str:
+    """A character class of all combining marks."""
+    runs: list[list[int]] = []
+    for code in (c for c in _CODES if unicodedata.combining(chr(c))):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in runs) + "]"
 
 
 ACCENTED, PLAIN = _folding_pairs()
+MARKS = _mark_class()
+#: Ligatures and digraphs of Latin letters, with the letters that they stand for.
+LIGATURES = [(chr(c), _folded(c)) for c in [*range(0x132, 0x14A), *range(0x1C4, 0x1F4), *range(0xFB00, 0xFB07)] if len(_folded(c)) > 1]
+_LIGATURE = "[" + "".join(a for a, _ in LIGATURES) + "]"
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their marks, and combining marks dropped. Null stays null."""
-    return F.translate(F.regexp_replace(text, "[\\x{0300}-\\x{036F}]", ""), ACCENTED, PLAIN)
+    """Signs without their marks and in their plain style, Latin ligatures as letters. Null stays null."""
+    plain = F.translate(F.regexp_replace(text, MARKS, ""), ACCENTED, PLAIN)
+
+    def parted(x: Column) -> Column:
+        whole = x
+        for sign, letters in LIGATURES:
+            whole = F.replace(whole, F.lit(sign), F.lit(letters))
+        return F.when(x.rlike(_LIGATURE), whole).otherwise(x)
+
+    return F.transform(F.array(plain), parted)[0]
 
 
 def squeeze(text: Column) -> Column:
@@ -54,15 +82,37 @@ def norm_event(text: Column) -> Column:
     return F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), "[^\\p{L}\\p{N}_\\s#]", " ")
 
 
-#: Named entities that the native unescape knows, ampersand last; numeric ones need ``html_unescape`` of the sources.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 ENTITY = "&#?[0-9A-Za-z]{1,8};"
+#: Names of all entities that end in a semicolon, and what they stand for.
+NAMED_ENTITIES = {name[:-1]: sign for name, sign in html5.items() if name.endswith(";")}
+#: Signs that numeric entities of the control range stand for in practice.
+CONTROL_ENTITIES = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: Entities, stretches without any, and single ampersands, in their order.
+ENTITY_PIECES = "(&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,7}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&)"
+
+
+def html_unescape(text: Column) -> Column:
+    """Named and numeric entities as the signs they stand for, in one pass; what is none stays. Null stays null."""
+    def numbered(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
+        code = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+
+        def sign(n: Column) -> Column:
+            wrong = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+            controls = F.create_map(*[F.lit(x) for n, c in CONTROL_ENTITIES.items() for x in (n, c)])
+            made = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+            return F.when(wrong, F.lit("�")).when(n.between(0x80, 0x9F), F.coalesce(F.element_at(controls, n.cast("int")), made)).otherwise(made)
+
+        return F.transform(F.array(code), sign)[0]
+
+    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
 
+    def piece(x: Column) -> Column:
+        named = F.element_at(names, F.regexp_extract(x, "^&([A-Za-z][A-Za-z0-9]*);$", 1))
+        return F.when(~x.startswith("&"), x).when(x.startswith("&#"), numbered(x)).otherwise(F.coalesce(named, x))
 
-def unescape_basic(text: Column) -> Column:
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(ENTITY_PIECES), 1), piece), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def tokens(text: Column) -> Column:

@@ -17,7 +17,10 @@ def quoted(words) -> str:
 
 
 def sql_accents(expression: str) -> str:
-    return f"translate(regexp_replace({expression}, '[\\x{{0300}}-\\x{{036F}}]', '', 'g'), '{X.ACCENTED}', '{X.PLAIN}')"
+    made = f"translate(regexp_replace({expression}, '{X.MARKS}', '', 'g'), '{X.ACCENTED.replace(chr(39), chr(39) * 2)}', '{X.PLAIN.replace(chr(39), chr(39) * 2)}')"
+    for sign, letters in X.LIGATURES:
+        made = f"replace({made}, '{sign}', '{letters}')"
+    return made
 
 
 def sql_norm(expression: str, addresses: bool = False) -> str:
@@ -223,10 +226,19 @@ def fn_norm_event(spark, base):
     return S.load(spark, base, "labeled_articles", ["url", "article_text"]).select("url", F.md5(X.norm_event(F.col("article_text"))).alias("norm"))
 
 
-@query("fn_html_unescape", "SELECT url, regexp_matches(title, '&#?[0-9A-Za-z]{1,8};') AS encoded, replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS plain FROM articles_v3 WHERE title IS NOT NULL")
+def _unescape_sql(column: str) -> str:
+    names = ", ".join(f"'{n}': '{c.replace(chr(39), chr(39) * 2)}'" for n, c in X.NAMED_ENTITIES.items())
+    controls = ", ".join(f"{n}: '{c}'" for n, c in X.CONTROL_ENTITIES.items())
+    code = "CASE WHEN lower(p[3:3]) = 'x' THEN CAST('0x' || p[4:-2] AS BIGINT) ELSE CAST(p[3:-2] AS BIGINT) END"
+    sign = f"CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) ELSE coalesce(MAP {{{controls}}}[{code}], chr(CAST({code} AS INT))) END"
+    piece = f"CASE WHEN NOT starts_with(p, '&') OR length(p) < 3 THEN p WHEN starts_with(p, '&#') THEN {sign} ELSE coalesce((SELECT m[p[2:-2]] FROM names), p) END"
+    return f"WITH names AS (SELECT MAP {{{names}}} AS m), q AS (SELECT row_number() OVER () AS i, url, {column} FROM articles_v3 WHERE {column} IS NOT NULL), w AS (SELECT i, unnest(regexp_extract_all({column}, '{X.ENTITY_PIECES}')) AS p, unnest(range(len(regexp_extract_all({column}, '{X.ENTITY_PIECES}')))) AS n FROM q), j AS (SELECT i, string_agg({piece}, '' ORDER BY n) AS plain FROM w GROUP BY i) SELECT url, regexp_matches({column}, '&#?[0-9A-Za-z]{{1,8}};') AS encoded, coalesce(plain, '') AS plain FROM q LEFT JOIN j USING (i)"
+
+
+@query("fn_html_unescape", _unescape_sql("title"))
 def fn_html_unescape(spark, base):
     df = S.load(spark, base, "articles_v3", ["url", "title"]).where("title is not null")
-    return df.select("url", F.col("title").rlike(X.ENTITY).alias("encoded"), X.unescape_basic(F.col("title")).alias("plain"))
+    return df.select("url", F.col("title").rlike(X.ENTITY).alias("encoded"), X.html_unescape(F.col("title")).alias("plain"))
 
 
 @query("fn_boundary_match", "SELECT url, regexp_matches(lower(title), '(?:^|[^\\p{L}\\p{N}_])staff(?:[^\\p{L}\\p{N}_]|$)') AS hit FROM articles_v3 WHERE title IS NOT NULL")

@@ -99,3 +99,19 @@ def test_jaccard_is_symmetric(a, b):
     spark = SparkSession.getActiveSession()
     row = spark.createDataFrame([(sorted(a), sorted(b))], "a array<int>, b array<int>").select(X.jaccard(F.col("a"), F.col("b")), X.jaccard(F.col("b"), F.col("a"))).first()
     assert row[0] == row[1] == (len(a & b) / len(a | b) if a and b else 0.0)
+
+
+def test_accents_against_the_unicode_tables(spark):
+    import unicodedata
+
+    words = ["Việt Nam", "ﬁancé", "Ｆｕｌｌ", "Ἀθῆναι", "مُحَمَّد", "क़लम", "がぎぐ", "ﾊﾝｶｸ", "\U0001d400\U0001d41b", "été", "Ǆ", "ñandú", "①②", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "v string").select("v", X.strip_accents(F.col("v")).alias("r")).collect()
+    assert {r.v: r.r for r in rows} == {w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in words}
+
+
+def test_entities_against_the_standard_library(spark):
+    import html
+
+    texts = ["viol&#xEA;ncia &amp; p&eacute;rdida", "&amp;lt; &lt;b&gt;", "&#39;&#8217;&#x2019;&hellip;", "&nosuch; & && &;", "&#128; &#0; &#x110000; &#xD800;", "a &NotEqualTilde; b", "", "plain", "&&amp;&"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", X.html_unescape(F.col("v")).alias("r")).collect()
+    assert {r.v: r.r for r in rows} == {t: html.unescape(t) for t in texts}
