@@ -31,8 +31,12 @@ from tessella.llm.batches import sliced
 LOOK_ALIKES = {
     "a": "аɑαА", "b": "ВвƄЬΒ", "c": "сСϲⅽᴄ", "d": "ԁժ", "e": "еЕҽ", "f": "ғϝ", "g": "ɡց", "h": "һНҺհΗ", "i": "іІıɩΙ",
     "j": "јЈϳ", "k": "КкκΚ", "l": "ӏⅼ", "m": "МмΜ", "n": "ոΝ", "o": "оОοΟօ", "p": "рРρΡ", "q": "ԛգ", "r": "г", "s": "ѕЅꜱ",
-    "t": "ТтΤ", "u": "ս", "v": "ѵᴠ", "w": "ԝѡ", "x": "хХΧ×", "y": "уУΥү", "z": "ΖᴢƵ",
+    "t": "ТтΤ", "u": "սυ", "v": "ѵᴠν", "w": "ԝѡ", "x": "хХΧ×", "y": "уУΥү", "z": "ΖᴢƵ",
 }
+# Capitals that look like a letter which their own small form doesn't look like; they are not joined with it.
+CAPITALS_ONLY = frozenset("ΝΗΥΓΛΒ")
+# Greek capitals that look like Cyrillic ones.
+CAPITAL_PAIRS = [("Г", "Γ"), ("П", "Π"), ("Л", "Λ"), ("Ф", "Φ")]
 # Pairs that look alike within Arabic, Devanagari and punctuation.
 OTHER_PAIRS = [
     ("ي", "ی"), ("ك", "ک"), ("ه", "ہ"), ("ه", "ھ"), ("'", "’"), ("'", "‘"), ("'", "ʼ"), ("'", "′"), ("'", "＇"), ("'", "`"), ("'", "´"), ("#", "＃"), ("#", "﹟"), ("#", "♯"), ("_", "＿"),
@@ -42,6 +46,8 @@ NO_WIDTH = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x18
 VISIBLE_FORMAT = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 HYPHENS = {0x2212, 0x2043, 0x02D7, 0x30A0, 0xFE63, 0xFF0D}
 _BLANKS = re.compile(" {2,}")
+#: Two or more marks with a class of their own in one run.
+_MARKS = re.compile("[\u0300-\u036F\u0483-\u0487\u064B-\u065F\u0670\u06D6-\u06ED\u093C\u094D\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\u3099\u309A]{2,}")
 
 
 class UnionFind:
@@ -88,7 +94,7 @@ def character_classes(characters: Iterable[str]) -> UnionFind:
     for letter, others in LOOK_ALIKES.items():
         for other in others:
             uf.union(letter, other)
-    for a, b in OTHER_PAIRS:
+    for a, b in OTHER_PAIRS + CAPITAL_PAIRS:
         uf.union(a, b)
     # small capitals, named after their letter
     for code in [*range(0x1D00, 0x1D23), *range(0x0262, 0x02A0), 0xA730, 0xA731]:
@@ -109,6 +115,8 @@ def character_classes(characters: Iterable[str]) -> UnionFind:
             uf.union(c, "-")
         elif kind == "sign":
             for other in (unicodedata.normalize("NFKD", c), c.casefold(), c.lower(), c.upper()):
+                if c != other and (c in CAPITALS_ONLY or other in CAPITALS_ONLY):
+                    continue
                 if len(other) == 1:
                     uf.union(c, other)
                     waiting.append(other)
@@ -146,8 +154,10 @@ def folding_table(counts: Mapping[int, int], extra: str = "") -> dict[int, str]:
 
 
 def fold(text: str, table: Mapping[int, str]) -> str:
-    """The one form of ``text``; runs of blanks become one."""
+    """The one form of ``text``; runs of blanks become one, and marks on one letter stand in the order of their classes."""
     out = text.translate(table)
+    if _MARKS.search(out):
+        out = _MARKS.sub(lambda m: "".join(sorted(m.group(), key=unicodedata.combining)), out)
     return _BLANKS.sub(" ", out) if "  " in out else out
 
 

@@ -141,3 +141,11 @@ def test_representative_is_the_spelling_most_frequent_in_the_texts(spark):
     assert {r.keyword for r in L.mention_counts(df, keywords, key="url", text="body").collect()} == {"Hush"}
     got = sorted((r.url, r.rewritten) for r in L.rewritten_texts(df, keywords, key="url", text="body").collect())
     assert [(u, t.count("Hush") if t else t) for u, t in got] == [("a", 1), ("b", 2), ("c", None), ("d", 0)]
+
+
+def test_marks_in_another_order_and_letters_of_three_scripts(spark):
+    keywords = [(1, "Việt lê"), (2, "ГоворимВслух"), (3, "névoa vaga"), (4, "banana nova")]
+    texts = ["Vie\u0302\u0323t le\u0302", "Vie\u0323\u0302t le\u0302", "ΓоворимВслух", "né\u03bdoa \u03bdaga", "ba\u039dana \u039dova", "bavava vova"]
+    df = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "url string, body string")
+    got = {(r.url, r.kw_id) for r in L.hidden_mentions(df, keywords, key="url", text="body").collect()}
+    assert got == {("u0", 1), ("u1", 1), ("u2", 2), ("u3", 3), ("u4", 4)}
