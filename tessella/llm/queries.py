@@ -110,6 +110,12 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return shared_spans.sharing_pairs(runs).select(F.col("id_a").alias("cluster_a"), F.col("id_b").alias("cluster_b"))
 
 
+def p7_classes(spark: SparkSession, base: str) -> DataFrame:
+    """The records of each class that share a run, one row per member; pairs are ``p7_found``."""
+    runs = shared_spans.shared_runs(load_spread(spark, base, "deduped_articles", ["cluster_id", "article_text"]), key="cluster_id", text="article_text")
+    return shared_spans.sharing_classes(runs).withColumnRenamed("id", "cluster_id")
+
+
 def p7_shared(spark: SparkSession, base: str) -> DataFrame:
     records = load_spread(spark, base, "deduped_articles", ["cluster_id", "article_text"])
     runs = shared_spans.shared_runs(records, key="cluster_id", text="article_text")

@@ -12,8 +12,8 @@ the identity.
 2. Around these places only, digests of 128 bits of every run of exactly ``min_span`` signs are
    grouped. A run whose group has two records is shared.
 3. Groups with the same members are represented by one digest (members are compared by
-   count, least, greatest and sum of hashes, never collected), whose members are paired. Distinct pairs are
-   the result that is asked for; shares and removals need none.
+   count, least, greatest and sum of hashes, never collected): ``sharing_classes`` gives one row per member. Distinct pairs are
+   made of these classes, large ones in parts; shares and removals need none.
 
 Null and short texts share nothing. A record whose key is repeated counts once: the least text stands for it.
 Rows with a null key are left out. Long texts are read in overlapping segments, so memory is bounded.
@@ -35,8 +35,10 @@ MIN_SPAN = 200
 GRAM = 120
 #: Code points hashed at once by a Python worker.
 SEGMENT_CHARS = 1 << 18
-#: Repeated digests and candidate places up to this size are broadcast; beyond it the joins shuffle.
-BROADCAST_BYTES = 16 << 20
+#: Repeated digests and candidate places up to this size are broadcast; beyond it the joins shuffle. A row takes so many bytes in the table that is joined with.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 80
+#: Members of a group of which all are paired in one place; larger groups are cut into parts of this size, and each pair of parts is one place.
+PART_MEMBERS = 256
 
 # Odd multipliers of the rolling hashes and of the mixing steps.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -221,9 +223,9 @@ def shared_runs(records: DataFrame, *, key: str, text: str, min_span: int = MIN_
     units = slim.mapInArrow(_unit_mapper(min_span, gram), f"id {kind}, digest bigint")
     # what is shared is little as a rule: then it travels to the units and to the texts, else they are shuffled to it
     repeated = cut_lineage(units.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("digest"))
-    repeated = F.broadcast(repeated) if repeated.count() * 16 <= BROADCAST_BYTES else repeated
+    repeated = F.broadcast(repeated) if repeated.count() * ROW_BYTES <= BROADCAST_BYTES else repeated
     places = cut_lineage(units.join(repeated, "digest").groupBy("id").agg(F.sort_array(F.collect_set("digest")).alias("places")))
-    size = places.agg(F.sum(F.size("places") * 8 + 64)).first()[0] or 0
+    size = places.agg(F.sum(F.size("places") * 8 + ROW_BYTES)).first()[0] or 0
     few = F.broadcast(places) if size <= BROADCAST_BYTES else places
     chosen = slim.join(few, "id").groupBy("id").agg(F.min(F.struct("text", "places")).alias("x")).select("id", "x.text", "x.places")
     return cut_lineage(chosen.mapInArrow(_run_mapper(min_span, gram), f"id {kind}, start int, d1 bigint, d2 bigint"))
@@ -238,13 +240,31 @@ def _groups(runs: DataFrame) -> DataFrame:
     )
 
 
-def sharing_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs ``id_a < id_b`` of records that share a run."""
+def sharing_classes(runs: DataFrame) -> DataFrame:
+    """``class, id, members``: the groups of records that share a run, each set of members once, and how many they are.
+
+    Linear in the records, however many share a run; a pair shares a run exactly if some class holds both.
+    """
     groups = _groups(runs)
     one_each = groups.groupBy("owner", "last", "n", "sum").agg(F.min(F.struct("d1", "d2")).alias("d")).select("d.d1", "d.d2")
-    members = runs.select("d1", "d2", "id").join(one_each, ["d1", "d2"])
-    left, right = members.withColumnRenamed("id", "id_a"), members.withColumnRenamed("id", "id_b")
-    return left.join(right, ["d1", "d2"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    members = runs.select("d1", "d2", "id").join(one_each, ["d1", "d2"]).distinct()
+    sizes = members.groupBy("d1", "d2").agg(F.count("*").alias("members"))
+    return members.join(sizes, ["d1", "d2"]).select(F.xxhash64("d1", "d2").alias("class"), "id", "members")
+
+
+def sharing_pairs(runs: DataFrame) -> DataFrame:
+    """Pairs ``id_a < id_b`` of records that share a run.
+
+    A large class is cut into parts by a hash of the member. Its rows are sent to each pair of parts that holds theirs, so no task pairs
+    more than two parts, whatever the class holds; the pairs themselves are the result that is asked for.
+    """
+    classes = cut_lineage(sharing_classes(runs))
+    parts = F.ceil(F.col("members") / PART_MEMBERS).cast("int")
+    cut = classes.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    left = cut.select("class", F.col("id").alias("id_a"), F.col("part").alias("pa"), F.explode(others).alias("pb"))
+    right = cut.select("class", F.col("id").alias("id_b"), F.explode(others).alias("pa"), F.col("part").alias("pb"))
+    return left.join(right, ["class", "pa", "pb"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def shared_parts(runs: DataFrame, min_span: int = MIN_SPAN, *, lost_only: bool = False) -> DataFrame:

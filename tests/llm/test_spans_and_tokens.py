@@ -58,6 +58,22 @@ def test_pairs_shares_and_removals_against_brute_force(spark, seed):
         assert held[i] == (len(t), len(shared), len(lost))
 
 
+def test_large_classes_are_paired_in_parts(spark, monkeypatch):
+    random.seed(11)
+    passage = "".join(random.choice("abcdefgh") for _ in range(40))
+    texts = {i: f"{i:03d}" * 5 + passage + ("tail of some" if i % 3 else "") for i in range(23)}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "cluster_id bigint, body string")
+    runs = S.shared_runs(df, key="cluster_id", text="body", min_span=20, gram=9)
+    whole = {tuple(r) for r in S.sharing_pairs(runs).collect()}
+    monkeypatch.setattr(S, "PART_MEMBERS", 4)
+    assert {tuple(r) for r in S.sharing_pairs(runs).collect()} == whole == brute_pairs(texts, 20)
+    classes = {}
+    for r in S.sharing_classes(runs).collect():
+        classes.setdefault(r["class"], (set(), r.members))[0].add(r.id)
+    assert all(len(ids) == n for ids, n in classes.values())
+    assert {(a, b) for ids, _ in classes.values() for a in ids for b in ids if a < b} == whole
+
+
 def test_long_texts_are_read_in_segments(spark, monkeypatch):
     random.seed(7)
     base = "".join(random.choice("abcdefghij") for _ in range(5000))
