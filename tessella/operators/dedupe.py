@@ -151,7 +151,8 @@ def threshold_table(articles: DataFrame, key: str, text: str, thresholds: Sequen
     """Unique bodies left at each threshold. Pairs are scored once at the lowest; components are found for each."""
     units = bodies(articles, key, text)
     lowest = min(t for t in thresholds if t < 1.0) if any(t < 1.0 for t in thresholds) else 1.0
-    scored = similar_pairs(units.where("id = rep").select("id", "norm"), lowest) if lowest < 1.0 else None
+    # each threshold reads them, so written once
+    scored = cut_lineage(similar_pairs(units.where("id = rep").select("id", "norm"), lowest)) if lowest < 1.0 else None
     copies = units.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     out = None
     for t in thresholds:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import html
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.batches import sliced
 from tessella.functions.text import bounded_contains
 from tessella.operators.columns import is_term
 
-#: The codebook travels to every task; a table with more terms than this is an error.
+#: Terms of one automaton; a larger codebook is cut by a hash of the term, and the documents are read once for each part.
 MOST_TERMS = 500_000
 #: Broadcast limit of the join forms, in rows of the codebook.
 MOST_BROADCAST_ROWS = 100_000
@@ -46,10 +48,12 @@ def match_terms(documents: DataFrame, terms: DataFrame, *, key: str, doc: Column
     One automaton holds all terms, so a document is read once whatever their number. A null document has no
     terms. Repeated keys give repeated rows.
     """
-    rows = terms.limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError("too many terms to be held by every task")
-    modes = {row.term: row.mode for row in rows if row.term}
+    parts = -(-terms.count() // MOST_TERMS)
+    if parts > 1:
+        # twice as many parts as needed, so that none is too large by chance
+        each = [terms.where(F.pmod(F.xxhash64("term"), F.lit(2 * parts)) == i) for i in range(2 * parts)]
+        return reduce(DataFrame.unionByName, [match_terms(documents, part, key=key, doc=doc, unescape=unescape) for part in each])
+    modes = {row.term: row.mode for row in terms.collect() if row.term}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -59,7 +63,7 @@ def match_terms(documents: DataFrame, terms: DataFrame, *, key: str, doc: Column
             automaton.add_word(term, term)
         if modes:
             automaton.make_automaton()
-        for batch in batches:
+        for batch in sliced(batches):
             at, found = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if text and modes:

@@ -1,7 +1,7 @@
 """Phrases: vocabulary, n-grams, collocations, concordance lines, repeated sentences.
 
 All languages are handled at once with the language as a group key. Tokens are arrays; positions are made only
-where they are needed, and n-grams are cut from arrays of words that already passed the frequency floor.
+where they are needed; frequent words are sent to them, so that tokens move once, to their document.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from tessella.functions import resources as R
 from tessella.functions.stats import log_dice, log_likelihood, pmi
 from tessella.functions.text import QUOTE_SIGNS, alpha_share, sentences, tokens
+from tessella.session import cut_lineage
 
 
 def stop_word_table(df: DataFrame) -> DataFrame:
     """``lang, word`` of the function words of each language and of English."""
-    rows = [(code, w) for code in R.STOP_WORDS for w in sorted({*R.STOP_WORDS[code].split(), *R.STOP_WORDS["en"].split()})]
+    rows = [(code, w) for code in R.STOP_WORDS for w in R.stop_words(code)]
     return df.sparkSession.createDataFrame(rows, "lang string, word string")
 
 
 def is_stop(word: Column, lang: Column) -> Column:
     """Whether a word is in the list of its language, as one lookup."""
-    table = F.create_map(*[x for code in R.STOP_WORDS for x in (F.lit(code), F.array(*[F.lit(w) for w in sorted({*R.STOP_WORDS[code].split(), *R.STOP_WORDS["en"].split()})]))])
+    table = F.create_map(*[x for code in R.STOP_WORDS for x in (F.lit(code), F.array(*[F.lit(w) for w in R.stop_words(code)]))])
     return F.coalesce(F.array_contains(F.element_at(table, lang), word), F.lit(False))
 
 
@@ -36,14 +37,25 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("lang", F.explode("toks").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-def ngrams(docs: DataFrame, *, longest: int = 4, least: int = 5) -> DataFrame:
-    """``doc_id, lang, outlet, country, phrase, words`` for every n-gram of 2 to ``longest`` words whose words are frequent enough and that neither starts nor ends with a function word.
+#: Frequent words up to this number, some 20 MB, are sent to the tokens; beyond it the tokens of a word are spread over SALTS parts.
+MOST_BROADCAST_WORDS, SALTS = 200_000, 32
 
-    Frequencies are attached to positions by a join on the vocabulary, not carried in arrays, so a large vocabulary needs no broadcast.
-    """
-    frequent = vocabulary(docs).where(F.col("n") >= least).select("lang", "word")
+
+def _frequent_spots(spots: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The tokens whose word is in ``frequent`` (``lang, word, n``); no word is a key that all its tokens move to."""
+    words = frequent.select("lang", "word")
+    if frequent.count() <= MOST_BROADCAST_WORDS:
+        return spots.join(F.broadcast(words), ["lang", "word"], "left_semi")
+    salted = spots.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = words.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["lang", "word", "__salt"], "left_semi").drop("__salt")
+
+
+def ngrams(docs: DataFrame, *, longest: int = 4, least: int = 5) -> DataFrame:
+    """``doc_id, lang, outlet, country, phrase, words`` for every n-gram of 2 to ``longest`` words whose words are frequent enough and that neither starts nor ends with a function word."""
+    frequent = cut_lineage(vocabulary(docs).where(F.col("n") >= least))
     spots = docs.select("doc_id", "lang", F.posexplode("toks").alias("pos", "word"))
-    kept = spots.join(frequent, ["lang", "word"]).withColumn("stop", is_stop(F.col("word"), F.col("lang")))
+    kept = _frequent_spots(spots, frequent).withColumn("stop", is_stop(F.col("word"), F.col("lang")))
     order = Window.partitionBy("doc_id").orderBy("pos")
     for k in range(1, longest):
         kept = kept.withColumn(f"w{k}", F.lead("word", k).over(order)).withColumn(f"p{k}", F.lead("pos", k).over(order)).withColumn(f"s{k}", F.lead("stop", k).over(order))

@@ -18,24 +18,37 @@ from tessella.operators.relations import first_by
 NAME_RULES = [("en", "tribunal", "Hearings"), ("en", "staff", "Staff matters"), ("en", "letter", "Staff matters"), ("fr", "tribunal", "Audiences"), ("en", "hotel", "DROP  (hotels)")]
 
 
+#: Scripts that tell a language by themselves, as classes of characters; of Japanese and Chinese, kana tell the former.
+SCRIPTS = {"ar": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}", "hi": r"\x{0900}-\x{097F}", "ja": r"\x{3040}-\x{30FF}", "ru": r"\x{0400}-\x{04FF}", "zh": r"\x{4E00}-\x{9FFF}"}
+#: Share of the letters from which a script tells the language, and of kana among those of Japanese.
+SCRIPT_SHARE, KANA_SHARE = 0.5, 0.1
+
+
 def stop_word_language(text: Column, first: int = 700) -> Column:
-    """The language whose function words the start of the text holds most; null without any, ties in order of the code."""
-    words = tokens(F.substring(F.coalesce(text, F.lit("")), 1, first))
+    """The language of the start of a text: by its script, else the one whose function words it holds most; null without any, ties in order of the code."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, first)
 
     def best(held: Column) -> Column:
         def score(code: str) -> Column:
-            listed = R.STOP_WORDS[code].split()
-            return F.struct((-F.size(F.filter(held, lambda w: w.isin(*listed)))).alias("n"), F.lit(code).alias("lang"))
+            return F.struct((-F.size(F.filter(held, lambda w: w.isin(*R.STOP_WORDS[code].split())))).alias("n"), F.lit(code).alias("lang"))
 
         top = F.array_min(F.array(*[score(code) for code in sorted(R.STOP_WORDS)]))
         return F.when(top["n"] < 0, top["lang"])
 
-    return F.transform(F.array(words), best)[0]
+    def guessed(start: Column) -> Column:
+        letters = F.length(F.regexp_replace(start, r"[^\p{L}]", ""))
+        share = {code: F.length(F.regexp_replace(start, f"[^{signs}]", "")) / letters for code, signs in SCRIPTS.items()}
+        by_script = F.when(share["ja"] + share["zh"] > SCRIPT_SHARE, F.when(share["ja"] > KANA_SHARE, "ja").otherwise("zh"))
+        for code in ("ar", "hi", "ru"):
+            by_script = by_script.when(share[code] > SCRIPT_SHARE, code)
+        return F.when(letters > 0, F.coalesce(by_script, F.transform(F.array(tokens(start)), best)[0]))
+
+    return F.transform(F.array(head), guessed)[0]
 
 
 def _vectors(docs: DataFrame, lang: str, text: str, language: str, min_df: int, features: int):
     rows = docs.where(F.col(lang) == language).withColumn("__w", tokens3(F.substring(text, 1, 6000)))
-    kept = StopWordsRemover(inputCol="__w", outputCol="__k", stopWords=R.STOP_WORDS[language].split() + R.STOP_WORDS["en"].split()).transform(rows)
+    kept = StopWordsRemover(inputCol="__w", outputCol="__k", stopWords=list(R.stop_words(language))).transform(rows)
     model = CountVectorizer(inputCol="__k", outputCol="__v", minDF=min_df, maxDF=0.55, vocabSize=features).fit(kept)
     return model, model.transform(kept).drop("__w", "__k")
 

@@ -456,3 +456,33 @@ def geo_path(spark, base):
 
     angle = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.struct((F.cos(i * 0.0523598) * F.col("n_regionkey") + F.col("n_nationkey") * 5).alias("lon"), (F.sin(i * 0.0523598) * F.col("n_regionkey") + 10).alias("lat")))
     return S.load(spark, base, "nation", ["n_nationkey", "n_regionkey"]).select("n_nationkey", svg_path(angle).alias("path"))
+
+
+@query("sink_csv", "SELECT doc_id, lang, title FROM documents WHERE title IS NOT NULL")
+def sink_csv(spark, base):
+    """One table written as CSV into the shared folder and read back as it was."""
+    from tessella.session import shared_folder
+    from tessella.sources import sinks
+
+    folder = shared_folder(spark, "csv")
+    sinks.write_csv(S.load(spark, base, "documents", ["doc_id", "lang", "title"]).where("title is not null"), folder)
+    return S.read_csv(spark, f"{folder}/*.csv", "doc_id bigint, lang string, title string")
+
+
+@query("sink_sample_html", "SELECT url, title FROM articles_v3 WHERE title IS NOT NULL AND title <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (ORDER BY md5(url), url, title) <= 20")
+def sink_sample_html(spark, base):
+    """A page of cards with a sample of twenty articles, and the rows that were read back from it."""
+    import html
+    import os
+    import tempfile
+
+    from tessella.sources import sinks
+
+    # a report on the driver of a stated number of rows
+    sample = S.load(spark, base, "articles_v3", ["url", "title"]).where("title is not null and title <> ''").distinct().orderBy(F.md5("url"), "url", "title").limit(20)
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "cards.html")
+        sinks.write_cards(sample, path, "url", "title")
+        page = open(path, encoding="utf-8").read()
+    rows = [r for r in sample.collect() if html.escape(r.url) in page and html.escape(r.title) in page]
+    return spark.createDataFrame([tuple(r) for r in rows], "url string, title string")

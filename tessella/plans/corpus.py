@@ -147,7 +147,12 @@ def fn_fix_mojibake(spark, base):
 DETECT = "s(lang, word) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c in sorted(R.STOP_WORDS) for w in sorted(set(R.STOP_WORDS[c].split()))) + ")"
 
 
-@query("fn_detect_lang", f"WITH {DETECT}, t AS (SELECT doc_id, unnest({sql_tokens('substring(text, 1, 700)')}) AS w FROM documents), c AS (SELECT doc_id, lang, count(*) AS n FROM t JOIN s ON w = word GROUP BY 1, 2), b AS (SELECT doc_id, arg_min(lang, (-n, lang)) AS detected FROM c GROUP BY 1) SELECT d.doc_id, detected FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id")
+_SHARES = ", ".join(f"length(regexp_replace(t, '[^{signs}]', '', 'g')) / l AS s_{code}" for code, signs in topics.SCRIPTS.items())
+
+
+@query("fn_detect_lang", f"""WITH {DETECT}, h AS (SELECT doc_id, t, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS l FROM (SELECT doc_id, substring(coalesce(text, ''), 1, 700) AS t FROM documents)), p AS (SELECT doc_id, t, l, {_SHARES} FROM h WHERE l > 0),
+t AS (SELECT doc_id, unnest({sql_tokens('t')}) AS w FROM p), c AS (SELECT doc_id, lang, count(*) AS n FROM t JOIN s ON w = word GROUP BY 1, 2), b AS (SELECT doc_id, arg_min(lang, (-n, lang)) AS voted FROM c GROUP BY 1)
+SELECT d.doc_id, CASE WHEN s_ja + s_zh > 0.5 AND s_ja > 0.1 THEN 'ja' WHEN s_ja + s_zh > 0.5 THEN 'zh' WHEN s_ar > 0.5 THEN 'ar' WHEN s_hi > 0.5 THEN 'hi' WHEN s_ru > 0.5 THEN 'ru' ELSE voted END AS detected FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN b ON d.doc_id = b.doc_id""")
 def fn_detect_lang(spark, base):
     return load_spread(spark, base, "documents", ["doc_id", "text"]).select("doc_id", topics.stop_word_language(F.col("text")).alias("detected"))
 
@@ -184,23 +189,12 @@ def fn_suggest_name(spark, base):
     return topics.suggested_names(titles.select("doc_id", "lang", X.norm_title(F.col("title")).alias("words")), key="doc_id")
 
 
-@query("tx_name_template", f"""WITH t AS (SELECT lang, CAST(doc_id % 8 + 1 AS INT) AS topic, string_agg({sql_norm('title')}, ' ' ORDER BY doc_id) AS top_words FROM documents WHERE lang IN ('en', 'fr') AND doc_id < 40 GROUP BY 1, 2), h AS (SELECT t.lang, topic, name, min(rule) AS rule, count(*) AS hits FROM t JOIN {RULES} ON t.lang = r.lang AND contains(t.top_words, r.word) GROUP BY 1, 2, 3),
-s AS (SELECT lang, topic, name FROM h QUALIFY row_number() OVER (PARTITION BY lang, topic ORDER BY hits DESC, rule) = 1)
-SELECT t.lang, t.topic, top_words, coalesce(s.name, '') AS suggested_name, '' AS your_name FROM t LEFT JOIN s ON t.lang = s.lang AND t.topic = s.topic""")
-def tx_name_template(spark, base):
-    df = load(spark, base, "documents", ["doc_id", "lang", "title"]).where("lang in ('en', 'fr') and doc_id < 40")
-    topic = (F.col("doc_id") % 8 + 1).cast("int")
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", X.norm_title(F.col("title")).alias("t")))), lambda x: x["t"]), " ")
-    table = df.groupBy("lang", topic.alias("topic")).agg(words.alias("top_words"))
-    return topics.name_template(table)
-
-
-@query("tx_name_template_all", f"""WITH w AS (SELECT lang, CAST(doc_id % 8 + 1 AS INT) AS topic, unnest(string_split({sql_norm('title')}, ' ')) AS word FROM documents WHERE lang IN ('en', 'fr')), c AS (SELECT lang, topic, word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2, 3),
+@query("tx_name_template", f"""WITH w AS (SELECT lang, CAST(doc_id % 8 + 1 AS INT) AS topic, unnest(string_split({sql_norm('title')}, ' ')) AS word FROM documents WHERE lang IN ('en', 'fr')), c AS (SELECT lang, topic, word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2, 3),
 k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, topic ORDER BY n DESC, word) <= 15), t AS (SELECT lang, topic, string_agg(word, ' ' ORDER BY n DESC, word) AS top_words FROM k GROUP BY 1, 2),
 h AS (SELECT t.lang, topic, name, min(rule) AS rule, count(*) AS hits FROM t JOIN {RULES} ON t.lang = r.lang AND contains(t.top_words, r.word) GROUP BY 1, 2, 3), s AS (SELECT lang, topic, name FROM h QUALIFY row_number() OVER (PARTITION BY lang, topic ORDER BY hits DESC, rule) = 1)
 SELECT t.lang, t.topic, top_words, coalesce(s.name, '') AS suggested_name, '' AS your_name FROM t LEFT JOIN s ON t.lang = s.lang AND t.topic = s.topic""")
-def tx_name_template_all(spark, base):
-    """As tx_name_template, over the titles of all documents: the 15 most frequent words of each language and topic."""
+def tx_name_template(spark, base):
+    """Over the titles of all documents: the 15 most frequent words of each language and topic."""
     df = load(spark, base, "documents", ["doc_id", "lang", "title"]).where("lang in ('en', 'fr')")
     titles = df.select("lang", (F.col("doc_id") % 8 + 1).cast("int").alias("topic"), X.norm_title(F.col("title")).alias("words"))
     return topics.name_template(topics.most_frequent_words(titles))

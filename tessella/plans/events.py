@@ -48,6 +48,12 @@ def join_event_window(spark, base):
     return _matches(spark, base).withColumnRenamed("offset", "day_offset")
 
 
+@query("ev_subset", f"WITH {EVENTS}, {ARTICLES}, {MATCHES} SELECT event, count(DISTINCT url) AS articles, count(DISTINCT country) AS countries FROM m GROUP BY 1")
+def ev_subset(spark, base):
+    """How many articles and countries the subset of each event has."""
+    return _matches(spark, base).groupBy("event").agg(F.countDistinct("url").alias("articles"), F.countDistinct("country").alias("countries"))
+
+
 @query("win_densify", f"WITH {EVENTS}, {ARTICLES}, {MATCHES}, {DAILY}, {DENSE} SELECT event, country, off AS day_offset, n FROM de")
 def win_densify(spark, base):
     return _dense(spark, base).select("event", "country", F.col("offset").alias("day_offset"), "n")

@@ -14,7 +14,7 @@ from tessella.sources.tables import load_spread
 NODES = ["tribunal", "ledger", "staff", "letter"]
 
 DOCS = f"d AS (SELECT doc_id, lang, source AS outlet, source_country AS country, published, text, {sql_tokens('text')} AS toks FROM documents WHERE lang IN ({quoted(R.STOP_WORDS)}) AND text IS NOT NULL)"
-STOPS = "st(lang, word) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c in R.STOP_WORDS for w in sorted({*R.STOP_WORDS[c].split(), *R.STOP_WORDS["en"].split()})) + ")"
+STOPS = "st(lang, word) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c in R.STOP_WORDS for w in R.stop_words(c)) + ")"
 VOCAB = "v AS MATERIALIZED (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(toks) AS word FROM d) GROUP BY 1, 2)"
 SPOTS = "t AS MATERIALIZED (SELECT doc_id, lang, outlet, country, unnest(toks) AS word, unnest(range(len(toks))) AS pos FROM d), f AS MATERIALIZED (SELECT t.*, s.word IS NOT NULL AS stop FROM t JOIN v ON t.lang = v.lang AND t.word = v.word AND v.n >= 5 LEFT JOIN st s ON s.lang = t.lang AND s.word = t.word)"
 GRAMS = """g AS MATERIALIZED (

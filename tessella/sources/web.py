@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.batches import sliced
+
 # Elements that hold no text of an article, and those that end a line.
 _SILENT = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "table", "svg", "iframe", "figure"}
 _BLOCKS = {"p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "br", "pre", "tr"}
@@ -59,7 +61,7 @@ def extract_pages(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """``key, fetched_title, article_text`` from a column of HTML; a null page gives nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [page_text(p) if p else (None, None) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], names=["key", "fetched_title", "article_text"])
 
@@ -95,7 +97,7 @@ def fetch_rows(urls: DataFrame, fetch: Fetch, archive: Fetch | None = None, *, k
     """``key, fetch_status, fetched_title, article_text`` with injectable fetchers; no network of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [classify(fetch, archive, u) if u else ("NO_TEXT", None, None) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[i] for m in made], pa.string()) for i in range(3)]], names=[key, "fetch_status", "fetched_title", "article_text"])
 
@@ -133,7 +135,7 @@ def label_rows(df: DataFrame, key: str, text: str, labeller: Callable[[str], str
     """``key``, the label's fields and ``llm_error``: answers are checked against the schema, failures become rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             answers, errors = [], []
             for value in batch.column(1).to_pylist():
                 try:

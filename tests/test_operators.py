@@ -169,7 +169,7 @@ def test_name_template_reads_all_titles(spark, tmp_path):
 
     rows = [(i, "en", "Staff letter" if i >= 40 else "Hotel") for i in range(0, 160, 8)]
     spark.createDataFrame(rows, "doc_id bigint, lang string, title string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.queries()["tx_name_template_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["tx_name_template"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("en", 1, "letter staff hotel", "Staff matters", "")]
 
 
@@ -182,3 +182,28 @@ def test_topic_queries_use_the_topics_and_passes_of_the_operator(spark, tiny, mo
     monkeypatch.setattr(topics, operator, lambda docs, **options: asked.append(options) or docs)
     registry.queries()[name](spark, tiny)
     assert asked and not {"topics", "iterations"} & set(asked[0])
+
+
+def test_a_codebook_of_several_automata_and_salted_words(spark, monkeypatch):
+    from tessella.operators import matching as M
+    from tessella.operators import phrases as P
+
+    docs = spark.createDataFrame([(i, "en", "o", "c", f"alpha beta gamma {'delta' if i % 2 else 'beta'} word{i}") for i in range(12)], "doc_id bigint, lang string, outlet string, country string, text string")
+    terms = spark.createDataFrame([(w, "regex") for w in ("alpha", "beta", "gamma", "delta", "word1")], "term string, mode string")
+    whole = {tuple(r) for r in M.match_terms(docs, terms, key="doc_id", doc=F.col("text")).collect()}
+    grams = sorted(map(tuple, P.ngrams(P.tokenised(docs)).collect()))
+    monkeypatch.setattr(M, "MOST_TERMS", 2)
+    monkeypatch.setattr(P, "MOST_BROADCAST_WORDS", 1)
+    assert {tuple(r) for r in M.match_terms(docs, terms, key="doc_id", doc=F.col("text")).collect()} == whole and len(whole) > 40
+    assert sorted(map(tuple, P.ngrams(P.tokenised(docs)).collect())) == grams and grams
+
+
+def test_languages_of_all_ten(spark):
+    from tessella.operators.topics import stop_word_language
+
+    texts = {
+        "en": "The clerk said that the office was closed", "es": "El tribunal dijo que no se abre para los otros", "fr": "Le conseil a dit que les autres ne sont pas dans la salle", "de": "Der Rat sagte dass die anderen nicht in dem Saal sind",
+        "pt": "O conselho disse que os outros não estão na sala", "ru": "Совет передаёт протокол", "ja": "映画祭の理事会は日程を延期した", "zh": "电影节理事会推迟了时间表", "ar": "نشر مجلس المهرجان", "hi": "महोत्सव समिति ने",
+    }
+    rows = spark.createDataFrame([*texts.items(), ("none", "123"), ("null", None)], "code string, v string").select("code", stop_word_language(F.col("v")).alias("got")).collect()
+    assert {r.code: r.got for r in rows} == {**{c: c for c in texts}, "none": None, "null": None}
