@@ -87,13 +87,14 @@ def container_plan(
     count = items.count() if item_count is None else item_count
     shards = max(1, -(-count // shard_items))
     kind = items.schema[key].dataType.simpleString()
-    options = F.array(*[F.struct(F.lit(n).alias("budget_name"), F.lit(int(c)).alias("capacity")) for n, c in budgets])
+    options = F.array(*[F.struct(F.lit(n).alias("budget_name"), F.lit(int(c)).alias("capacity"), F.lit(sum(m == n for m, _ in budgets[:i])).alias("nth")) for i, (n, c) in enumerate(budgets)])
     tokens = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int")
     spread = (
         items.select(F.col(key).alias("item"), tokens.alias("size"))
         .withColumn("shard", F.pmod(F.xxhash64("item", F.lit(9)), F.lit(shards)).cast("int"))
         .select("item", "size", "shard", F.explode(options).alias("o"))
-        .select("item", "size", "shard", "o.budget_name", "o.capacity")
+        # budgets of one name and different capacities have containers of their own
+        .select("item", "size", (F.col("shard") + F.lit(shards) * F.col("o.nth")).alias("shard"), "o.budget_name", "o.capacity")
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,7 +122,7 @@ def container_plan(
             "n_tokens": n.astype(np.int32),
         })
 
-    return spread.groupBy("budget_name", "shard").applyInPandas(
+    return spread.groupBy("budget_name", "capacity", "shard").applyInPandas(
         pack, f"budget_name string, container_id bigint, `{key}` {kind}, piece_no int, start_token int, n_tokens int"
     )
 

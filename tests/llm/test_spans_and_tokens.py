@@ -160,3 +160,11 @@ def test_unused_room_on_real_sizes(spark, tiny):
     budgets = [("short", 512), ("standard", 2048), ("wide", 8192)]
     usage = {r.budget_name: r.unused_share for r in P.container_usage(P.container_plan(df, key="doc_id", size="value", budgets=budgets), budgets).collect()}
     assert max(usage.values()) < 0.06
+
+
+def test_budgets_of_one_name_are_packed_apart(spark):
+    df = spark.createDataFrame([(i, 30 + i % 50) for i in range(90)], "doc_id bigint, tokens int")
+    got = P.container_plan(df, key="doc_id", size="tokens", budgets=[("a", 100), ("a", 120)], shard_items=32).toPandas()
+    assert len(got) == 180 and not got.duplicated(["container_id", "doc_id"]).any()
+    held = got.groupby("container_id").n_tokens.sum()
+    assert held.max() <= 120 and (held > 100).any() and (got.groupby("doc_id").size() == 2).all()
