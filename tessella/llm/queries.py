@@ -74,14 +74,15 @@ def p5_near(spark: SparkSession, base: str) -> DataFrame:
     return site_lines.near_repeated_lines(load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]), key="url", source="outlet", text="article_text")
 
 
-def p5_cleaned(spark: SparkSession, base: str) -> DataFrame:
+def p5_cleaned_equal(spark: SparkSession, base: str) -> DataFrame:
+    """Texts without the lines of p5_found alone, as plain SQL can say it too."""
     articles = load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]).dropDuplicates(["url"])
     removed = site_lines.repeated_lines(articles, key="url", source="outlet", text="article_text")
     return site_lines.without_lines(articles, removed, key="url", text="article_text")
 
 
-def p5_cleaned_near(spark: SparkSession, base: str) -> DataFrame:
-    """Texts without repeated lines and without near-repeated ones; ``p5_cleaned`` takes out the former alone, as its SQL does."""
+def p5_cleaned(spark: SparkSession, base: str) -> DataFrame:
+    """Texts without the lines of all clusters that many documents of a source have, equal or near."""
     articles = load_spread(spark, base, "labeled_articles", ["url", "outlet", "article_text"]).dropDuplicates(["url"])
     return site_lines.without_repeated(articles, key="url", source="outlet", text="article_text")
 

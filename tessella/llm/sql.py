@@ -61,5 +61,5 @@ g AS (SELECT cluster_id, i, sum(opened) OVER (PARTITION BY cluster_id ORDER BY i
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": _p1_found(), "p5_found": _P5_FOUND, "p5_cleaned": _P5_CLEANED, "p7_found": _P7_FOUND, "p7_shared": _P7_SHARED, "p7_removals": _P7_REMOVALS,
+        "p1_found": _p1_found(), "p5_found": _P5_FOUND, "p5_cleaned_equal": _P5_CLEANED, "p7_found": _P7_FOUND, "p7_shared": _P7_SHARED, "p7_removals": _P7_REMOVALS,
     }
