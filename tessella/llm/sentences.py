@@ -12,6 +12,8 @@ Private-use signs of the text itself are taken as ordinary signs.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +52,7 @@ _LINE_ENDS = "\\n\\r\\u000B\\u000C\\u001C-\\u001E\\u0085\\u2028\\u2029"
 _BLANK = "[\\s\\u0085\\u001C-\\u001F\\p{Z}]"
 _QUOTES = [("„", "“”", "„“”"), ("“", "”", "“”"), ("«", "»", "«»"), ("»", "«", "«»"), ("「", "」", "「」"), ("『", "』", "『』"), ("《", "》", "《》"), ("〈", "〉", "〈〉"), ('"', '"', '"'), ("＂", "＂", "＂")]
 _BRACKETS = [("(", ")"), ("（", "）"), ("[", "]"), ("【", "】"), ("〔", "〕"), ("{", "}")]
-#: What a pair can begin with: one look at these skips all other text.
+#: What a pair can begin with. Patterns look at a few ranges first, which skips plain text fast, then at these signs.
 _QUOTE_OPENS = "[" + "".join(dict.fromkeys(a for a, _, _ in _QUOTES)) + "‘]"
 _BRACKET_OPENS = "[" + "".join("\\" + a for a, _ in _BRACKETS) + "]"
 _STRONG = "!?。！？।॥؟｡۔‼⁇⁈⁉"
@@ -70,7 +72,7 @@ def _mask_pairs(opened: str = OPEN, closed: str = CLOSE, *, nested: bool = False
     lead = {"»": f"(?<![\\p{{L}}\\p{{N}}.!?…{CLOSE}])"}
     parts = [f"{lead.get(a, '')}{a}([^{inner}{_LINE_ENDS}]*)[{z}]" for a, z, inner in _QUOTES if not (nested and a == z)]
     parts.append(f"(?<![\\p{{L}}\\p{{N}}])‘([^‘’{_LINE_ENDS}]*+)’(?!\\p{{L}})")
-    return f"(?={_QUOTE_OPENS})(?:" + "|".join(parts) + ")", opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
+    return f"(?=[\"«»\\u2018-\\uff02])(?={_QUOTE_OPENS})(?:" + "|".join(parts) + ")", opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
 
 
 def _mask_brackets(level: int) -> tuple[str, str]:
@@ -79,7 +81,7 @@ def _mask_brackets(level: int) -> tuple[str, str]:
     plain = f"[^{signs}{_LINE_ENDS}]*+"
     parts = [f"\\{a}({plain})\\{z}" for a, z in _BRACKETS]
     opened, closed = BRACKETS[level]
-    return f"(?={_BRACKET_OPENS})(?:" + "|".join(parts) + ")", opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
+    return f"(?=[(\\[{{\\u3010-\\uff08])(?={_BRACKET_OPENS})(?:" + "|".join(parts) + ")", opened + "".join(f"${i + 1}" for i in range(len(parts))) + closed
 
 
 def _silence(text: Column, opened: str, closed: str, kept_last: str) -> Column:
@@ -127,7 +129,7 @@ def _nested(text: Column, opening: str, closing: str, step: Callable[[Column], C
         left = F.least(count(t, opening), count(t, closing))
         stepped = F.aggregate(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), t, lambda a, _: step(a))
         # signs are counted only where some pair can be left
-        some = t.rlike("[" + "".join("\\" + x for x in opening) + "]") & t.rlike("[" + "".join("\\" + x for x in closing) + "]")
+        some = functools.reduce(operator.or_, [t.contains(x) for x in opening])
         return F.when(some, F.when(left > 0, stepped).otherwise(t)).otherwise(t)
 
     return F.transform(F.array(text), whole)[0]
@@ -169,7 +171,7 @@ def _ends() -> str:
     dot = f"(?<!\\.)\\.(?![.…])(?:{SHUT}*{CLOSE}{cased_after_blank}|[{shut})）\\]】〕}}]*(?:{new_after_blank}|{new_at_once}))"
     strong = f"(?:[{_STRONG}][{_STRONG}.…]*)[{shut})）\\]】〕}}”’\"»」』]*(?:(?<![!?][{shut})\\]}}”’\"»」』]{{0,3}})|{new_after_blank}|{new_at_once})"
     dots = f"(?:\\.{{2,}}|\\.*…[….]*)(?:[{shut})\\]}}]*(?:{cased_after_blank}|(?={_OPENERS}*\\p{{Lu}}\\p{{Ll}})))"
-    return f"(?=[{_LINE_ENDS}.…{_STRONG}])({line}|{strong}|{dots}|{dot})"
+    return f"(?=[\\n-\\r\\u001C-\\u001E\\u0085!.?\\u0600-\\uffff])(?=[{_LINE_ENDS}.…{_STRONG}])({line}|{strong}|{dots}|{dot})"
 
 
 def marked_text(text: Column) -> Column:
