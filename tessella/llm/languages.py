@@ -2,9 +2,10 @@
 
 The script of a word narrows its candidates: Cyrillic, Arabic, Devanagari and kana
 leave one language, Han characters two, Latin letters five. Within a script, words have scores,
-log-ratios of their frequencies in each language, learned from a bounded sample of the texts
-themselves: function words that only one language has state the language of a sampled line,
-and all words of the line are counted for it; unknown words fall back on their trigrams. Viterbi
+log-ratios of their frequencies in each language, learned from all texts
+themselves: function words that only one language has state the language of a line,
+and all words of the line are counted for it; unknown words fall back on their trigrams. Scores lie in
+a file that executors fetch and read by pages, so the vocabulary has no bound. Viterbi
 with a penalty for switching then labels every word of a text, so that names and quoted words don't
 break a segment while a passage in another language does.
 
@@ -17,24 +18,28 @@ title to decide. Texts without words have no language. Repeated rows give one re
 
 from __future__ import annotations
 
-import math
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.batches import sliced
+from tessella.session import write_stage
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "ru", "ja", "zh", "ar", "hi")
 LATIN = 5
 RU, JA, ZH, AR, HI = range(5, 10)
-#: Rows from which word scores are learned; the sample is drawn by hash, this many rows on average.
-SAMPLE_ROWS = 4000
 #: Price of a change of language, and of a word in a script that the language doesn't use.
 SWITCH_PENALTY, FOREIGN_SCRIPT = 6.0, -2.5
 CLIP = 3.0
@@ -63,6 +68,10 @@ _INSIDE_LATIN = str.maketrans("аеорсухіјѕԁһкмтвнАВЕКМНО
 _OTHER_LETTERS = re.compile(r"[\u0400\u0402-\u040F\u0450\u0452-\u052F\u0671-\u06D3\u06D5\u06EE\u06EF\u06FA-\u06FF\u0750-\u077F]")
 _MIXED = re.compile("[Ͱ-ӿ]")
 _WORD = re.compile(r"[A-Za-zÀ-ɏḀ-ỿͰ-ӿ̀-ͯ]+|[぀-ヿｦ-ﾟ]+|[㐀-鿿々]+|[ऀ-ॿ]+|[؀-ۿݐ-ݿﭐ-﷿ﹰ-ﻼ]+")
+_ASCII_WORD = re.compile("[A-Za-z]+")
+_LETTER_WORD = re.compile(r"[A-Za-zÀ-ɏḀ-ỿͰ-ӿ̀-ͯ]+")
+_OTHER_SCRIPTS = re.compile(r"[぀-ヿｦ-ﾟ㐀-鿿々ऀ-ॿ؀-ۿݐ-ݿﭐ-﷿ﹰ-ﻼ]")
+_LATIN_LETTER = re.compile("[A-Za-zÀ-ɏ]")
 _SPREAD = re.compile(r"[Ａ-Ｚａ-ｚ\U0001D400-\U0001D7FF­​-‍⁠﻿]")
 
 
@@ -84,9 +93,16 @@ def _readable(text: str) -> str:
     return text
 
 
+def _words(line: str) -> list[str]:
+    """The words of a line, those of ``_WORD``; one class of letters is enough for most lines."""
+    if line.isascii():
+        return _ASCII_WORD.findall(line)
+    return _WORD.findall(line) if _OTHER_SCRIPTS.search(line) else _LETTER_WORD.findall(line)
+
+
 def _stated_language(words: list[str], owner: dict[str, str]) -> str | None:
     """The language whose own function words a line uses, clearly more than any other's."""
-    votes = Counter(owner[w] for w in words if w in owner)
+    votes = Counter(filter(None, map(owner.get, words)))
     if not votes:
         return None
     (best, n), *rest = votes.most_common(2)
@@ -103,31 +119,55 @@ def _trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def _ratios(table: np.ndarray, totals: np.ndarray, weight: float) -> np.ndarray:
+    """Clipped log-ratios of each row's rate in a language to its mean rate."""
+    rate = table / totals
+    share = (rate + 1e-9) / (rate.mean(1, keepdims=True) + 1e-9)
+    trust = 1 - np.exp(-table.sum(1, keepdims=True) / 4)
+    return np.clip(np.log(share + 0.02) * trust * weight, -CLIP, CLIP)
+
+
 class WordScores:
     """Scores of words for each language; words are looked up once and kept by number."""
 
     MOST_KEPT = 400_000
 
     def __init__(self, counts: dict[str, list[int]], grams: dict[str, list[int]], lines: list[int]) -> None:
-        grams_in = np.maximum(np.array([n for n in grams.values()], dtype=float).reshape(-1, LATIN).sum(0), 1.0)
-        self.known = self._ratios(counts, np.array(lines, dtype=float) + 1.0, 1.0)
-        self.grams = self._ratios(grams, grams_in, 0.25)
+        words_in, grams_in = (np.array(list(x.values()), dtype=float).reshape(-1, LATIN) for x in (counts, grams))
+        self.known = dict(zip(counts, _ratios(words_in, np.array(lines, dtype=float) + 1.0, 1.0).tolist()))
+        self.grams = dict(zip(grams, _ratios(grams_in, np.maximum(grams_in.sum(0), 1.0), 0.25).tolist()))
         self.clear()
 
+    @classmethod
+    def stored(cls, known: _ScoreTable, grams: _ScoreTable) -> WordScores:
+        made = cls.__new__(cls)
+        made.known, made.grams = known, grams
+        made.clear()
+        return made
+
     def clear(self) -> None:
         self.number = _Numbers(self)
-        self.rows: list[list[float]] = []
-        #: Whether a word has letters that its only candidate doesn't use.
-        self.strange: list[bool] = []
-
-    @staticmethod
-    def _ratios(counts: dict[str, list[int]], totals: np.ndarray, weight: float) -> dict[str, list[float]]:
-        """Clipped log-ratios of each entry's rate in a language to its mean rate, all entries at once."""
-        table = np.array(list(counts.values()), dtype=float).reshape(-1, LATIN)
-        rate = table / totals
-        share = (rate + 1e-9) / (rate.mean(1, keepdims=True) + 1e-9)
-        trust = 1 - np.exp(-table.sum(1, keepdims=True) / 4)
-        return dict(zip(counts, np.clip(np.log(share + 0.02) * trust * weight, -CLIP, CLIP).tolist()))
+        #: Of words whose scores aren't in the arrays yet: scores, whether a word has letters that its only candidate doesn't use, length.
+        self.new: list[tuple[list[float], bool, int]] = []
+        self.rows = np.zeros((1024, len(LANGUAGES)), dtype=np.float64)
+        self.strange = np.zeros(1024)
+        self.lengths = np.zeros(1024)
+        self.held = 0
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, strangeness and lengths of all words by their number."""
+        if self.new:
+            before, self.held = self.held, self.held + len(self.new)
+            if self.held > len(self.rows):
+                for name in ("rows", "strange", "lengths"):
+                    old = getattr(self, name)
+                    made = np.zeros((2 * self.held, *old.shape[1:]))
+                    made[:before] = old[:before]
+                    setattr(self, name, made)
+            for array, values in zip((self.rows, self.strange, self.lengths), zip(*self.new)):
+                array[before : self.held] = values
+            self.new = []
+        return self.rows, self.strange, self.lengths
 
     def score(self, word: str) -> list[float]:
         out = [FOREIGN_SCRIPT] * len(LANGUAGES)
@@ -152,10 +192,11 @@ class WordScores:
                 out[RU] = 1.0
             else:
                 plain = word.lower()
-                if plain in self.known:
-                    out[:LATIN] = self.known[plain]
+                known = self.known.get(plain)
+                if known is not None:
+                    out[:LATIN] = known
                 else:
-                    parts = [self.grams[g] for g in _trigrams(plain) if g in self.grams]
+                    parts = [x for g in _trigrams(plain) if (x := self.grams.get(g)) is not None]
                     out[:LATIN] = [sum(x) / len(parts) for x in zip(*parts)] if parts else [0.0] * LATIN
         return out
 
@@ -163,9 +204,9 @@ class WordScores:
         return list(map(self.number.__getitem__, words))
 
     def add(self, word: str) -> int:
-        self.rows.append(self.score(word))
-        self.strange.append(max(self.rows[-1][RU], self.rows[-1][AR]) > 0 and _OTHER_LETTERS.search(word) is not None)
-        return len(self.rows) - 1
+        row = self.score(word)
+        self.new.append((row, max(row[RU], row[AR]) > 0 and _OTHER_LETTERS.search(word) is not None, len(word)))
+        return self.held + len(self.new) - 1
 
 
 class _Numbers(dict):
@@ -197,49 +238,127 @@ def _encodable(c: str, codec: str) -> bool:
         return False
 
 
-def learn_scores(documents: DataFrame, key: str, text: str, sample_rows: int = SAMPLE_ROWS) -> tuple[dict, dict, list[int]]:
-    """Word and trigram counts by language from a sample of ``sample_rows`` rows on average, drawn by the key's hash over all rows.
+def _counting_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the lines that state their language, counted for it; what is counted is passed on whenever it is many words."""
+    owner = _owners()
+    counts = [Counter() for _ in range(LATIN)]
 
-    What reaches the driver is bounded by the words of the sample. Words seen once are left out.
-    """
-    total = documents.count()
-    rate = min(1.0, sample_rows / max(total, 1))
-    slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    drawn = slim.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(rate * (1 << 40))) if rate < 1 else slim
-    sample = drawn.select("text")
+    def counted() -> pa.RecordBatch:
+        words = [w for c in counts for w in c]
+        numbers = [n for c in counts for n in c.values()]
+        at = np.repeat(np.arange(LATIN, dtype=np.int32), [len(c) for c in counts])
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(at), pa.array(numbers, pa.int64())], names=["w", "c", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = _owners()
-        counts: dict[tuple[str, str], int] = defaultdict(int)
-        for batch in sliced(batches):
-            for value in batch.column(0).to_pylist():
-                for line in _readable(value).split("\n"):
-                    words = [w.lower() for w in _WORD.findall(line)]
-                    stated = _stated_language(words, owner)
-                    if stated:
-                        for w in words:
-                            counts[w, stated] += 1
-        pairs = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([c for _, c in pairs], pa.string()), pa.array([counts[p] for p in pairs], pa.int64())], names=["w", "c", "n"])
-
-    rows = sample.mapInArrow(run, "w string, c string, n bigint").groupBy("w", "c").agg(F.sum("n").alias("n")).collect()
-    words: dict[str, list[int]] = {}
-    grams: dict[str, list[int]] = {}
-    lines = [0] * LATIN
-    for row in rows:
-        at = LANGUAGES.index(row.c)
-        words.setdefault(row.w, [0] * LATIN)[at] += row.n
-        lines[at] += row.n
-    for code, listed in FUNCTION_WORDS.items():  # what is known without any text
-        for w in listed.split():
-            words.setdefault(w, [0] * LATIN)[LANGUAGES.index(code)] += 3
-    words = {w: n for w, n in words.items() if sum(n) > 1}
-    for w, n in words.items():
-        for g in _trigrams(w):
-            have = grams.setdefault(g, [0] * LATIN)
-            for i in range(LATIN):
-                have[i] += min(n[i], 50)
-    return words, grams, lines
+    for batch in sliced(batches):
+        for value in batch.column(0).to_pylist():
+            for line in _readable(value).split("\n"):
+                if not _LATIN_LETTER.search(line):
+                    continue
+                # the form of a last sigma goes by the whole word, so such lines are lowered word by word
+                words = _words(line.lower()) if "Σ" not in line else [w.lower() for w in _WORD.findall(line)]
+                stated = _stated_language(words, owner)
+                if stated:
+                    counts[LANGUAGES.index(stated)].update(words)
+        if sum(map(len, counts)) > WordScores.MOST_KEPT:
+            yield counted()
+    yield counted()
+
+
+def _by_language(at: str, n: str) -> list[Column]:
+    return [F.sum(F.when(F.col(at) == i, F.col(n)).otherwise(F.lit(0).cast("bigint"))).alias(f"n{i}") for i in range(LATIN)]
+
+
+_COUNTS = [f"n{i}" for i in range(LATIN)]
+
+
+def _totals(counts: DataFrame) -> np.ndarray:
+    return np.array([x or 0 for x in counts.agg(*[F.sum(n) for n in _COUNTS]).first()], dtype=float)
+
+
+def word_counts(documents: DataFrame, text: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """``w, n0..n4`` of words and of trigrams, counted by language over the lines of all rows, and the words counted for each language.
+
+    Words counted once are left out.
+    """
+    spark = documents.sparkSession
+    counted = documents.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_counting_mapper, "w string, c int, n bigint")
+    seen = write_stage(counted.groupBy("w").agg(*_by_language("c", "n")), "language-words")
+    # what is known without any text
+    listed = spark.createDataFrame([(w, LANGUAGES.index(code), 3) for code, words in FUNCTION_WORDS.items() for w in words.split()], "w string, c int, n bigint")
+    both = seen.union(listed.groupBy("w").agg(*_by_language("c", "n"))).groupBy("w").agg(*[F.sum(n).alias(n) for n in _COUNTS])
+    words = both.where(" + ".join(_COUNTS) + " > 1")
+    trigrams = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.concat(F.lit("^"), F.col("w"), F.lit("$")), i, F.lit(3)))
+    grams = words.select(F.explode(trigrams).alias("w"), *[F.least(n, F.lit(50)).alias(n) for n in _COUNTS]).groupBy("w").agg(*[F.sum(n).alias(n) for n in _COUNTS])
+    return words, write_stage(grams, "language-trigrams"), _totals(seen)
+
+
+def _hashed(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+class _ScoreTable:
+    """Scores by the hash of their word, read from a file as they are asked for: only its pages that are in use take memory."""
+
+    MOST_KEPT = 200_000
+
+    def __init__(self, path: str) -> None:
+        n = os.path.getsize(path) // (8 + 4 * LATIN)
+        self.keys = np.memmap(path, dtype="<i8", mode="r", shape=(n,)).view(np.ndarray) if n else np.zeros(0, dtype=np.int64)
+        self.scores = np.memmap(path, dtype="<f4", mode="r", offset=8 * n, shape=(n, LATIN)).view(np.ndarray) if n else None
+        self.kept: dict[str, list[float] | None] = {}
+
+    def get(self, word: str) -> list[float] | None:
+        if word in self.kept:
+            return self.kept[word]
+        if len(self.kept) >= self.MOST_KEPT:
+            self.kept.clear()
+        hashed = _hashed(word)
+        at = int(self.keys.searchsorted(hashed))
+        self.kept[word] = found = self.scores[at].tolist() if at < len(self.keys) and self.keys[at] == hashed else None
+        return found
+
+
+def _score_file(counts: DataFrame, totals: np.ndarray, weight: float) -> str:
+    """The scores of a table of counts as a file that every executor fetches; its name. The driver holds one partition at a time."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(float)
+            made = _ratios(table, totals, weight).astype("<f4")
+            keys = pa.array([_hashed(w) for w in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([row.tobytes() for row in made], pa.binary())], names=["h", "s"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy().astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary()), pa.array([b"".join(batch.column(1).to_pylist())], pa.binary())], names=["h", "s"])
+
+    packed = counts.mapInArrow(score, "h bigint, s binary").orderBy("h").mapInArrow(pack, "h binary, s binary")
+    folder = tempfile.mkdtemp(prefix="tessella-")
+    path = os.path.join(folder, f"language-scores-{uuid.uuid4().hex}")
+    with open(path, "wb") as keys, tempfile.TemporaryFile(dir=folder) as scores:
+        for row in packed.toLocalIterator():
+            keys.write(row.h)
+            scores.write(row.s)
+        scores.seek(0)
+        shutil.copyfileobj(scores, keys)
+    counts.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def learn_scores(documents: DataFrame, text: str) -> tuple[str, str]:
+    """Names of the files with the scores of words and of trigrams, learned from the lines of all rows."""
+    words, grams, totals = word_counts(documents, text)
+    return _score_file(words, totals + 1.0, 1.0), _score_file(grams, np.maximum(_totals(grams), 1.0), 0.25)
+
+
+@lru_cache(maxsize=1)
+def learned_scores(learned: tuple[str, str]) -> WordScores:
+    """The scores of ``learn_scores`` on an executor; a worker keeps those that it used last for its next tasks."""
+    return WordScores.stored(*[_ScoreTable(SparkFiles.get(name)) for name in learned])
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -283,11 +402,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
 
 def _label_batch(texts: list[str | None], scores: WordScores) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of texts: rows, non-blank lines, letters by line's row and language, and the share of letters in words that their language can't write."""
-    if len(scores.rows) > scores.MOST_KEPT:
+    if len(scores.number) > scores.MOST_KEPT:
         scores.clear()
     ids: list[int] = []
-    weights: list[int] = []
-    line_of: list[int] = []
+    line_words: list[int] = []
     row_of_line: list[int] = []
     stretches: list[int] = []
     rows: list[int] = []
@@ -295,14 +413,13 @@ def _label_batch(texts: list[str | None], scores: WordScores) -> Iterator[tuple[
 
     def finish():
         lengths = np.array(stretches, dtype=np.int64)
-        used, place = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
-        table = np.asarray([scores.rows[i] for i in used.tolist()], dtype=np.float32).reshape(-1, len(LANGUAGES))[place]
-        labels = viterbi(table, lengths)
+        numbers = np.array(ids, dtype=np.int64)
+        table, strangeness, sizes = (x[numbers] for x in scores.arrays())
+        labels = viterbi(table.astype(np.float32), lengths)
+        line_of = np.repeat(np.arange(len(line_words)), line_words)
         shape = (max(len(row_of_line), 1), len(LANGUAGES))
-        letters = np.bincount(np.array(line_of, dtype=np.int64) * shape[1] + labels, weights=np.array(weights, dtype=float), minlength=shape[0] * shape[1]) if ids else np.zeros(shape[0] * shape[1])
-        letters = letters.reshape(shape)
-        odd = np.array([scores.strange[i] for i in used.tolist()], dtype=float)[place] if ids else np.zeros(0)
-        strange = np.bincount(np.array(line_of, dtype=np.int64), weights=np.array(weights, dtype=float) * odd, minlength=shape[0]) if ids else np.zeros(shape[0])
+        letters = np.bincount(line_of * shape[1] + labels, weights=sizes, minlength=shape[0] * shape[1]).reshape(shape)
+        strange = np.bincount(line_of, weights=sizes * strangeness, minlength=shape[0])
         return rows, nonblank, np.array(row_of_line, dtype=np.int64), letters, strange / np.maximum(letters.sum(1), 1)
 
     for row, text in enumerate(texts):
@@ -313,11 +430,10 @@ def _label_batch(texts: list[str | None], scores: WordScores) -> Iterator[tuple[
             if not line.strip():
                 continue
             count += 1
-            words = _WORD.findall(line)
+            words = _words(line)
             if words:
                 ids += scores.numbers(words)
-                weights += map(len, words)
-                line_of += [len(row_of_line)] * len(words)
+                line_words.append(len(words))
                 row_of_line.append(row)
         if len(ids) > before:
             stretches.append(len(ids) - before)
@@ -325,16 +441,16 @@ def _label_batch(texts: list[str | None], scores: WordScores) -> Iterator[tuple[
         nonblank.append(count)
         if len(ids) > 250_000:
             yield finish()
-            ids, weights, line_of, row_of_line, stretches, rows, nonblank = [], [], [], [], [], [], []
+            ids, line_words, row_of_line, stretches, rows, nonblank = [], [], [], [], [], []
     if rows:
         yield finish()
 
 
 def _document_mapper(learned):
-    """``learned``: the broadcast variable of ``learn_scores``; each executor gets it once."""
+    """``learned``: the files of ``learn_scores``; each executor fetches them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(*learned.value)
+        scores = learned_scores(learned)
         for batch in sliced(batches):
             texts, titles = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             used = [t if t and t.strip() else (n if n and n.strip().lower() not in NO_TITLE else None) for t, n in zip(texts, titles)]
@@ -362,9 +478,9 @@ def _document_mapper(learned):
     return run
 
 
-def document_languages(documents: DataFrame, *, key: str, text: str, title: str, label: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def document_languages(documents: DataFrame, *, key: str, text: str, title: str, label: str) -> DataFrame:
     """``key, label, lang, share, confidence``: each language of a document, the share of its lines and how sure it is."""
-    learned = documents.sparkSession.sparkContext.broadcast(learn_scores(documents, key, text, sample_rows))
+    learned = learn_scores(documents, text)
     kind = documents.schema[key].dataType.simpleString()
     slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(title).alias("title"), F.col(label).alias("label")).where("key is not null")
     return slim.mapInArrow(_document_mapper(learned), f"key {kind}, label string, lang string, share double, confidence double").withColumnRenamed("key", key)
@@ -395,19 +511,18 @@ def _segments_of(texts: list[str | None], scores: WordScores) -> Iterator[tuple[
     stretches: list[int] = []
 
     def finish() -> tuple[np.ndarray, ...]:
-        used, place = np.unique(np.array(scores.numbers(words), dtype=np.int64), return_inverse=True)
-        table = np.asarray([scores.rows[i] for i in used.tolist()], dtype=np.float64)[place]
+        numbers = np.array(scores.numbers(words), dtype=np.int64)
+        table, odd, _ = (x[numbers] for x in scores.arrays())
         labels = viterbi(table, np.array(stretches, dtype=np.int64))
         rows = np.array(row_of)
         first = np.concatenate([[0], np.flatnonzero((np.diff(labels) != 0) | (np.diff(rows) != 0)) + 1])
         last = np.concatenate([first[1:], [len(labels)]]) - 1
         sums = np.add.reduceat(table, first, axis=0)
         own = sums[np.arange(len(first)), labels[first]][:, None]
-        odd = np.array([scores.strange[i] for i in used.tolist()], dtype=float)[place]
         sure = (1 - np.add.reduceat(odd, first) / (last - first + 1)) / np.exp(np.clip(sums - own, -60, 60)).sum(1)
         return rows[first], np.array(begins)[first], np.array(ends)[last], labels[first], sure
 
-    if len(scores.rows) > scores.MOST_KEPT:
+    if len(scores.number) > scores.MOST_KEPT:
         scores.clear()
     for row, text in enumerate(texts):
         spots = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)] if text else []
@@ -427,7 +542,7 @@ def _segments_of(texts: list[str | None], scores: WordScores) -> Iterator[tuple[
 
 def _segment_mapper(learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(*learned.value)
+        scores = learned_scores(learned)
         names = pa.array(LANGUAGES)
         for batch in sliced(batches):
             for rows, begins, ends, labels, sure in _segments_of(batch.column(1).to_pylist(), scores):
@@ -438,9 +553,9 @@ def _segment_mapper(learned):
     return run
 
 
-def language_segments(documents: DataFrame, *, key: str, text: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def language_segments(documents: DataFrame, *, key: str, text: str) -> DataFrame:
     """``key, start_pos, end_pos, lang, confidence``: stretches of words in one language, offsets in code points."""
-    learned = documents.sparkSession.sparkContext.broadcast(learn_scores(documents, key, text, sample_rows))
+    learned = learn_scores(documents, text)
     kind = documents.schema[key].dataType.simpleString()
     slim = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     made = slim.mapInArrow(_segment_mapper(learned), f"key {kind}, start_pos int, end_pos int, lang string, confidence double")

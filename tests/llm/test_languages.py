@@ -96,3 +96,13 @@ def test_letters_of_other_languages_lower_the_confidence(spark):
     found = S.document_languages(frame(spark, rows), key="url", text="body", title="title", label="language")
     sure = {r.url: r.confidence for r in found.collect()}
     assert sure["ru"] == sure["ar"] == 1.0 and sure["uk"] < 0.6 and sure["fa"] < 0.6
+
+
+def test_words_are_learned_from_every_row(spark):
+    """Words that one row of 12,000 has are known, whichever row it is."""
+    words = [chr(0x1E01 + 2 * i) * 4 for i in range(12)]
+    rows = [(f"r{i}", EN, None, "en") for i in range(12_000)]
+    rows += [(f"s{i}", f"{FR} {w} {w}", None, "fr") for i, w in enumerate(words)] + [(f"w{i}", w, None, "fr") for i, w in enumerate(words)]
+    assert wrong(spark, rows) == set()
+    counts, _, lines = S.word_counts(frame(spark, rows), "body")
+    assert {tuple(r)[1:] for r in counts.where(counts.w.isin(words)).collect()} == {(0, 0, 2, 0, 0)} and lines[0] == 12_000 * len(S._WORD.findall(EN))
