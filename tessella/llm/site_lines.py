@@ -7,9 +7,9 @@ components, and components whose lines occur in at least ``min_documents`` disti
 ``near_repeated_lines`` gives their lines. ``repeated_lines`` takes from the same components the lines whose
 own form (equal but for case, white space and digits) occurs in that many documents: the exact test comes last.
 
-Nodes of one shingle (lines of up to five words) are alike only if they are equal, so they need no bands. Within a bucket of up to PAIR_BUCKET nodes
-all pairs are compared. Larger buckets are cut by each of the other bands, and nodes are compared with the least node of such a part: no bucket gives
-more links than it has rows there.
+Nodes of one shingle (lines of up to five words) are alike only if they are equal, so they need no bands. Within a bucket of any size
+all pairs are compared: in one of up to PAIR_BUCKET nodes pair by pair, sketches first; larger ones are cut into parts of BLOCK nodes, any two parts are a block,
+and a block gives links that connect what is alike in it, fewer than it has nodes. The time for a large bucket grows with the square of its nodes.
 
 Plan: one scan of the texts gives a few numbers for each line, which are written once; texts are never shuffled, and counts are combined before they move,
 so a source or a line that holds a third of all rows costs no task more than others.
@@ -42,8 +42,10 @@ SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 6, 3
 #: Min-hashes of a sketch, two bits each. Nodes of similarity 0.8 agree in 27.2 of 32 on average, with a deviation of 2.0; nodes of 0.4 in 17.6.
 SKETCH, LEAST_AGREEING = 32, 20
-#: Nodes of a bucket that are all compared with each other.
+#: Nodes of a bucket up to which pairs are rows; larger buckets are compared in blocks of two parts.
 PAIR_BUCKET = 64
+#: Nodes of a part, and shingles that are counted at once in a block.
+BLOCK, BLOCK_SHINGLES = 512, 4096
 #: Nodes to be compared up to this number are broadcast to their shingles, under 16 MB in all; beyond it the join shuffles.
 BROADCAST_NODES = 1 << 18
 # Names of months in languages that write them without a capital.
@@ -202,65 +204,118 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.lit(SKETCH) - F.bit_count(other.bitwiseOR(F.shiftrightunsigned(other, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def _candidates(lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a < b`` of nodes that share a band and may be similar by their sketches and sizes."""
+def _buckets(lines: DataFrame) -> DataFrame:
+    """Nodes of each bucket that holds several, with their number ``k`` and place ``r`` in it."""
     nodes = lines.where("bands is not null")
     # a node comes once for each batch that has it, and once is enough
     held = nodes.select("m", "n", "sketch", F.explode("bands").alias("bucket")).repartition("bucket").groupBy("bucket", "m").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    held = held.withColumn("k", F.count("*").over(Window.partitionBy("bucket"))).where("k > 1")
-    held = write_stage(held, "site-line-buckets")
-    few = held.where(F.col("k") <= PAIR_BUCKET).select("bucket", "m", "n", "sketch")
+    bucket = Window.partitionBy("bucket")
+    held = held.withColumn("r", F.row_number().over(bucket.orderBy("m"))).withColumn("k", F.count("*").over(bucket)).where("k > 1")
+    return write_stage(held, "site-line-buckets")
+
+
+def _candidates(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b`` of nodes that share a bucket of up to PAIR_BUCKET and may be similar by their sketches and sizes."""
+    few = held.where(F.col("k") <= PAIR_BUCKET).select("bucket", "m", "n", "sketch").repartition("bucket")
     other = few.select("bucket", F.col("m").alias("m_"), F.col("n").alias("n_"), F.col("sketch").alias("sketch_"))
     alike = (_agreeing(F.col("sketch"), F.col("sketch_")) >= LEAST_AGREEING) & (F.least("n", "n_") >= similarity * F.greatest("n", "n_"))
-    pairs = few.join(other, "bucket").where((F.col("m") < F.col("m_")) & alike).select(F.col("m").alias("a"), F.col("m_").alias("b"))
-    # large buckets: parts that agree in another band as well, each compared with its least node
-    large = held.where(F.col("k") > PAIR_BUCKET)
-    bands = nodes.join(large.select("m").distinct(), "m", "left_semi").groupBy("m").agg(F.min("bands").alias("bands"))
-    parts = large.select("bucket", "m").join(bands, "m").select("m", "bucket", F.explode("bands").alias("v")).select("m", F.xxhash64("bucket", "v").alias("part"))
-    stars = parts.groupBy("part").agg(F.min("m").alias("a"), F.count("*").alias("k")).where("k > 1")
-    return pairs.union(parts.join(stars, "part").where("a < m").select("a", F.col("m").alias("b"))).distinct()
+    return few.join(other, "bucket").where((F.col("m") < F.col("m_")) & alike).select(F.col("m").alias("a"), F.col("m_").alias("b")).distinct()
+
+
+def block_links(sets: pa.ListArray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``a, b`` of sets of at least ``similarity`` that connect all that such pairs connect: a forest over all pairs."""
+    sizes = np.diff(sets.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times > 1  # others are in no common part
+    owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    common = np.zeros((len(sizes), len(sizes)), dtype=np.float64)
+    for start in range(0, int(shared.sum()), BLOCK_SHINGLES):
+        here = (column >= start) & (column < start + BLOCK_SHINGLES)
+        held = np.zeros((len(sizes), BLOCK_SHINGLES), dtype=np.float32)
+        held[owner[here], column[here] - start] = 1
+        common += held @ held.T
+    alike = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    free = np.ones(len(sizes), dtype=bool)
+    a, b = [], []
+    for seed in range(len(sizes)):
+        waiting = [seed] if free[seed] else []
+        free[seed] = False
+        while waiting:
+            at = waiting.pop()
+            new = np.flatnonzero(alike[at] & free)
+            free[new] = False
+            a.append(np.full(len(new), at))
+            b.append(new)
+            waiting += new.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+
+def _large_links(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` of the nodes of buckets of more than PAIR_BUCKET: each two nodes of a bucket meet in a block."""
+    last = F.floor((F.col("k") - 1) / BLOCK)
+    placed = large.select("bucket", "m", F.floor((F.col("r") - 1) / BLOCK).alias("g"), last.alias("last"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda h: (h != F.col("g")) | (F.col("last") == 0))
+    blocks = placed.select("bucket", "m", "g", F.explode(others).alias("h")).select("bucket", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "m")
+
+    def run(block: pa.Table) -> pa.Table:
+        nodes = block.column("m").to_numpy()
+        lists = block.column("sh").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else pa.concat_arrays([lists])
+        offsets = lists.offsets.to_numpy()
+        a, b = block_links(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), lists.flatten()), similarity)
+        return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+
+    return blocks.join(sets, "m").groupBy("bucket", "low", "high").applyInArrow(run, "a bigint, b bigint")
+
+
+def _sent(nodes: DataFrame) -> DataFrame:
+    """``nodes``, broadcast if they are few."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
 
 
 def line_clusters(lines: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """``m, component``: the nodes that are linked to others, with the least node of their component."""
     # lines of one form can differ in their look-alike form, as that goes by capitals: those are linked
-    kinds = lines.select("k1", "k2", "m").distinct()
-    several = kinds.groupBy("k1", "k2").agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a <> b").select("k1", "k2", "a")
-    alike = kinds.join(several, ["k1", "k2"]).where("a <> m").select("a", F.col("m").alias("b"))
-    pairs = cut_lineage(_candidates(lines, similarity))
-    wanted = cut_lineage(pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    sets = cut_lineage(lines.where("sh is not null").select("m", "sh").join(wanted, "m", "left_semi").dropDuplicates(["m"]))
+    several = cut_lineage(lines.groupBy("k1", "k2").agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a <> b").select("k1", "k2", "a"))
+    alike = lines.select("k1", "k2", "m").join(_sent(several), ["k1", "k2"]).where("a <> m").select("a", F.col("m").alias("b")).distinct()
+    held = _buckets(lines)
+    large = held.where(F.col("k") > PAIR_BUCKET)
+    pairs = cut_lineage(_candidates(held, similarity))
+    wanted = cut_lineage(pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).union(large.select("m")).distinct())
+    sets = cut_lineage(lines.where("sh is not null").select("m", "sh").join(_sent(wanted), "m", "left_semi").dropDuplicates(["m"]))
     common = F.size(F.array_intersect("sh", "sh_"))
     full = pairs.join(sets.withColumnRenamed("m", "a"), "a").join(sets.select(F.col("m").alias("b"), F.col("sh").alias("sh_")), "b")
     links = full.where(common >= similarity * (F.size("sh") + F.size("sh_") - common)).select("a", "b")
-    return connected_components(links.union(alike)).withColumnRenamed("id", "m")
+    return connected_components(links.union(_large_links(large, sets, similarity)).union(alike)).withColumnRenamed("id", "m")
 
 
-def clustered_lines(documents: DataFrame, *, key: str, source: str, text: str, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc, line_no, k1, k2`` of the lines of all components that occur in at least ``min_documents`` documents."""
+def clustered_lines(documents: DataFrame, *, key: str, source: str, text: str, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The lines, and the nodes ``m`` of all components that occur in at least ``min_documents`` documents."""
     lines = write_stage(described_lines(documents, key, source, text), "site-lines")
     clusters = line_clusters(lines, similarity=similarity)
     # documents are counted by a hash of their key; the keys themselves travel only with the lines that are found
-    placed = lines.select("m", F.xxhash64("doc").alias("d")).distinct().join(clusters, "m", "left").select("m", "d", F.coalesce("component", "m").alias("component"))
-    counted = placed.select("component", "d").distinct().groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    large = cut_lineage(placed.select("m", "component").distinct().join(counted.select("component"), "component", "left_semi").select("m"))
-    return lines.select("doc", "line_no", "k1", "k2", "m").join(large, "m", "left_semi").drop("m")
+    placed = lines.select("m", F.xxhash64("doc").alias("d")).join(clusters, "m", "left").select("d", F.coalesce("component", "m").alias("component"))
+    counted = cut_lineage(placed.distinct().groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("component"))
+    # a node that is linked to no other is its own component, and so is the least node of each component
+    return lines, cut_lineage(clusters.join(counted, "component", "left_semi").select("m").union(counted.select(F.col("component").alias("m"))).distinct())
 
 
 def near_repeated_lines(
     documents: DataFrame, *, key: str, source: str, text: str, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """``key, line_no`` of each line of a component of near lines that occurs in at least ``min_documents`` documents of its source."""
-    found = clustered_lines(documents, key=key, source=source, text=text, min_documents=min_documents, similarity=similarity)
-    return found.select(F.col("doc").alias(key), "line_no").distinct()
+    lines, nodes = clustered_lines(documents, key=key, source=source, text=text, min_documents=min_documents, similarity=similarity)
+    return lines.select("doc", "line_no", "m").join(nodes, "m", "left_semi").select(F.col("doc").alias(key), "line_no").distinct()
 
 
 def repeated_lines(documents: DataFrame, *, key: str, source: str, text: str, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``key, line_no`` of the lines of these components whose own form occurs in at least ``min_documents`` documents of its source."""
-    found = clustered_lines(documents, key=key, source=source, text=text, min_documents=min_documents)
-    heavy = found.select("k1", "k2", F.xxhash64("doc").alias("d")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    return found.join(heavy.select("k1", "k2"), ["k1", "k2"], "left_semi").select(F.col("doc").alias(key), "line_no").distinct()
+    lines, nodes = clustered_lines(documents, key=key, source=source, text=text, min_documents=min_documents)
+    # all nodes of a form are in one component, so lines are found by their forms alone
+    found = lines.select("k1", "k2", "m", F.xxhash64("doc").alias("d")).join(nodes, "m", "left_semi").select("k1", "k2", "d").distinct()
+    heavy = cut_lineage(found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("k1", "k2"))
+    return lines.select("doc", "line_no", "k1", "k2").join(heavy, ["k1", "k2"], "left_semi").select(F.col("doc").alias(key), "line_no").distinct()
 
 
 def without_lines(documents: DataFrame, removed: DataFrame, *, key: str, text: str) -> DataFrame:

@@ -149,3 +149,32 @@ def test_marks_in_another_order_and_letters_of_three_scripts(spark):
     df = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "url string, body string")
     got = {(r.url, r.kw_id) for r in L.hidden_mentions(df, keywords, key="url", text="body").collect()}
     assert got == {("u0", 1), ("u1", 1), ("u2", 2), ("u3", 3), ("u4", 4)}
+
+
+def test_nodes_of_a_large_bucket_are_all_compared(spark):
+    """700 nodes share one band: each is like one other, and hardly any like the least of the bucket."""
+    draw = random.Random(4)
+    rows, pairs = [], 350
+    for m in range(2 * pairs):
+        own = random.Random(m % pairs).sample(range(1 << 30), 20)
+        words = own if m < pairs else own[1:] + [draw.randrange(1 << 30)]
+        rows.append((f"d{m}", 0, m, m, m, 20, [-1] + [1000 * m + i for i in range(1, S.BANDS)], 0, words))
+    lines = spark.createDataFrame(rows, "doc string, line_no int, k1 bigint, k2 bigint, m bigint, n int, bands array<bigint>, sketch bigint, sh array<int>")
+    assert {tuple(r) for r in S.line_clusters(lines).select("m", "component").collect()} == {(m, m % pairs) for m in range(2 * pairs)}
+
+
+def test_links_of_a_block_connect_what_all_pairs_do():
+    draw = random.Random(8)
+    for size in (0, 1, 40):
+        sets = [set(draw.sample(range(draw.choice([25, 6000])), 20)) for _ in range(size)]
+        sets += [set(list(x)[draw.randrange(4) :]) for x in sets]
+        a, b = S.block_links(S.pa.array([sorted(x) for x in sets], S.pa.list_(S.pa.int32())), 0.8)
+
+        def joined(links):
+            group = list(range(len(sets)))
+            for x, y in links:
+                group = [group[x] if g == group[y] else g for g in group]
+            return {frozenset(i for i, g in enumerate(group) if g == h) for h in group}
+
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert joined(zip(a.tolist(), b.tolist())) == joined(every) and len(a) < max(len(sets), 1)
