@@ -1,8 +1,8 @@
 """Problem 5: lines that one source repeats in document after document.
 
 Numbers, dates and names are masked in every line; lines of one source with the same masked form are one node. Nodes are clustered by
-locality-sensitive hashing: BANDS bands of BAND_ROWS min-hashes each over shingles of five words. Nodes that share a band, and whose sketches of
-two bits for each of SKETCH min-hashes don't rule it out, are compared by their shingles; those of at least ``similarity`` are linked, links are joined to
+locality-sensitive hashing: BANDS bands of BAND_ROWS min-hashes each over shingles of five words. Nodes that share a band, and whose sizes and sketches
+don't rule it out, are compared by their shingles; a sketch has a bit for each of 64 kinds of shingles, set if their number is odd, so that sets differ in as many shingles at least as their sketches in bits; those of at least ``similarity`` are linked, links are joined to
 components, and components whose lines occur in at least ``min_documents`` distinct documents are the repeated ones.
 ``near_repeated_lines`` gives their lines. ``repeated_lines`` takes from the same components the lines whose
 own form (equal but for case, white space and digits) occurs in that many documents: the exact test comes last.
@@ -40,8 +40,6 @@ SIMILARITY = 0.8
 SHINGLE_WORDS = 5
 #: Nodes of similarity 0.8 share one of six bands of three min-hashes with probability 0.987.
 BANDS, BAND_ROWS = 6, 3
-#: Min-hashes of a sketch, two bits each. Nodes of similarity 0.8 agree in 27.2 of 32 on average, with a deviation of 2.0; nodes of 0.4 in 17.6.
-SKETCH, LEAST_AGREEING = 32, 20
 #: Nodes of a bucket up to which pairs are rows; larger buckets are compared in blocks of two parts.
 PAIR_BUCKET = 64
 #: Nodes of a part, and shingles that are counted at once in a block.
@@ -63,8 +61,8 @@ _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _DIGITS = re.compile("[0-9]+")
 # Odd multipliers of the min-hashes and of the shingle hash.
 _DRAW = np.random.default_rng(5)
-_ODD = _DRAW.integers(1 << 62, dtype=np.uint64, size=SKETCH) * np.uint64(2) + np.uint64(1)
-_PLUS = _DRAW.integers(1 << 62, dtype=np.uint64, size=SKETCH)
+_ODD = _DRAW.integers(1 << 62, dtype=np.uint64, size=BANDS * BAND_ROWS) * np.uint64(2) + np.uint64(1)
+_PLUS = _DRAW.integers(1 << 62, dtype=np.uint64, size=BANDS * BAND_ROWS)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,16 +119,15 @@ def shingles(lines: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(made: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band values and sketches of the shingle sets that begin at ``starts``."""
-    least = np.empty((len(starts), SKETCH), dtype=np.uint64)
-    for i in range(SKETCH):
+    least = np.empty((len(starts), BANDS * BAND_ROWS), dtype=np.uint64)
+    for i in range(BANDS * BAND_ROWS):
         mixed = made * _ODD[i] + _PLUS[i]
         least[:, i] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
     bands = np.zeros((len(starts), BANDS), dtype=np.uint64)
     for j in range(BAND_ROWS):
-        bands = (bands ^ least[:, j : BANDS * BAND_ROWS : BAND_ROWS]) * _STEP
+        bands = (bands ^ least[:, j::BAND_ROWS]) * _STEP
         bands ^= bands >> np.uint64(31)
-    bits = ((least * _STEP) >> np.uint64(62)) << (np.arange(SKETCH, dtype=np.uint64) * np.uint64(2))
-    return bands, np.bitwise_or.reduce(bits, axis=1)
+    return bands, np.bitwise_xor.reduceat(np.uint64(1) << ((made >> np.uint64(32)) & np.uint64(63)), starts)
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -198,10 +195,10 @@ def described_lines(documents: DataFrame, key: str, source: str, text: str) -> D
     return slim.mapInArrow(_line_mapper, _SCHEMA.format(kind=documents.schema[key].dataType.simpleString()))
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    """In how many of its fields of two bits two sketches agree."""
-    other = a.bitwiseXOR(b)
-    return F.lit(SKETCH) - F.bit_count(other.bitwiseOR(F.shiftrightunsigned(other, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+def _may_be_similar(similarity: float) -> Column:
+    """What nodes of at least ``similarity`` fulfil: sets of sizes n and n_ that are so similar differ in (n + n_) * (1 - similarity) / (1 + similarity) shingles at most."""
+    differing = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_")))
+    return (differing * (1 + similarity) <= (F.col("n") + F.col("n_")) * (1 - similarity) + 1e-6) & (F.least("n", "n_") >= similarity * F.greatest("n", "n_") - 1e-6)
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
@@ -218,8 +215,7 @@ def _candidates(held: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a < b`` of nodes that share a bucket of up to PAIR_BUCKET and may be similar by their sketches and sizes."""
     few = held.where(F.col("k") <= PAIR_BUCKET).select("bucket", "m", "n", "sketch").repartition("bucket")
     other = few.select("bucket", F.col("m").alias("m_"), F.col("n").alias("n_"), F.col("sketch").alias("sketch_"))
-    alike = (_agreeing(F.col("sketch"), F.col("sketch_")) >= LEAST_AGREEING) & (F.least("n", "n_") >= similarity * F.greatest("n", "n_"))
-    return few.join(other, "bucket").where((F.col("m") < F.col("m_")) & alike).select(F.col("m").alias("a"), F.col("m_").alias("b")).distinct()
+    return few.join(other, "bucket").where((F.col("m") < F.col("m_")) & _may_be_similar(similarity)).select(F.col("m").alias("a"), F.col("m_").alias("b")).distinct()
 
 
 def block_links(sets: pa.ListArray, similarity: float) -> tuple[np.ndarray, np.ndarray]:

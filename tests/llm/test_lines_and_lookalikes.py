@@ -178,3 +178,15 @@ def test_links_of_a_block_connect_what_all_pairs_do():
 
         every = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
         assert joined(zip(a.tolist(), b.tolist())) == joined(every) and len(a) < max(len(sets), 1)
+
+
+def test_sketches_rule_out_no_pair_that_is_similar():
+    """Sets differ in as many shingles at least as their sketches in bits."""
+    draw = random.Random(3)
+    for size in (1, 5, 9, 40, 300):
+        for _ in range(60):
+            one = draw.sample(range(1 << 62), size)
+            other = one[size // 10 :] + draw.sample(range(1 << 62), size // 10)
+            made = S.np.array(sorted(one) + sorted(other), dtype=S.np.uint64)
+            (a, b) = S.signatures(made, S.np.array([0, size]))[1].tolist()
+            assert (a ^ b).bit_count() <= len(set(one) ^ set(other))
