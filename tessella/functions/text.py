@@ -40,17 +40,19 @@ MARKS = _mark_class()
 #: Ligatures and digraphs of Latin letters, with the letters that they stand for.
 LIGATURES = [(chr(c), _folded(c)) for c in [*range(0x132, 0x14A), *range(0x1C4, 0x1F4), *range(0xFB00, 0xFB07)] if len(_folded(c)) > 1]
 _LIGATURE = "[" + "".join(a for a, _ in LIGATURES) + "]"
+#: The same classes for Java, which tries ranges one by one: one test that other signs fail goes before them. A mark that Java doesn't know yet is unassigned there.
+_JAVA_MARKS, _JAVA_LIGATURE = f"[\\p{{M}}\\p{{Cn}}&&{MARKS}]", f"[\\x{{0132}}-\\x{{FB06}}&&{_LIGATURE}]"
 
 
 def strip_accents(text: Column) -> Column:
     """Signs without their marks and in their plain style, Latin ligatures as letters. Null stays null."""
-    plain = F.translate(F.regexp_replace(text, MARKS, ""), ACCENTED, PLAIN)
+    plain = F.translate(F.regexp_replace(text, _JAVA_MARKS, ""), ACCENTED, PLAIN)
 
     def parted(x: Column) -> Column:
         whole = x
         for sign, letters in LIGATURES:
             whole = F.replace(whole, F.lit(sign), F.lit(letters))
-        return F.when(x.rlike(_LIGATURE), whole).otherwise(x)
+        return F.when(x.rlike(_JAVA_LIGATURE), whole).otherwise(x)
 
     return F.transform(F.array(plain), parted)[0]
 
@@ -141,12 +143,12 @@ def shingles(norm: Column, size: int = 5) -> Column:
 def shingle_hashes(norm: Column, size: int = 5) -> Column:
     """Hashes of the distinct shingles of ``shingles``, made without the strings."""
 
-    def made(words: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
-        single = F.transform(words, lambda w: F.xxhash64(F.array(w)))
-        return F.array_distinct(F.when(F.size(words) >= size, runs).otherwise(single))
+    def made(hashes: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
+        return F.array_distinct(F.when(F.size(hashes) >= size, runs).otherwise(hashes))
 
-    return F.transform(F.array(F.split(norm, " ")), made)[0]
+    # words are hashed once, then their hashes
+    return F.transform(F.array(F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))), made)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from tessella.operators import repair, topics
 from tessella.operators.relations import connected_components
 from tessella.plans.columns import sql_norm, sql_tokens
 from tessella.plans.registry import query
+from tessella.session import cut_lineage
 from tessella.sources.tables import load, load_spread
 
 NORM_URL = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', ''), '[?#][\\s\\S]*$', ''), '/+$', ''))"
@@ -111,10 +112,13 @@ CASE WHEN coalesce(u.n, 0) >= 2 THEN 'added_evaluative_language(' || u.n || ')'
 
 @query("dd_editorial_guard", GUARD)
 def dd_editorial_guard(spark, base):
-    mapped = load(spark, base, "dedupe_map", ["cluster_id", "url"]).distinct()
-    rows = load_spread(spark, base, "labeled_articles", ["url", "article_type", "stance", "evaluative_language", "article_text"]).dropDuplicates(["url"])
+    labelled = load_spread(spark, base, "labeled_articles", ["url", "article_type", "stance", "evaluative_language", "article_text"])
+    mapped = load(spark, base, "dedupe_map", ["cluster_id", "url"]).distinct().join(labelled.select("url"), "url", "left_semi")
+    # texts are read for clusters of two or more only
+    several = cut_lineage(mapped.join(mapped.groupBy("cluster_id").count().where("count > 1"), "cluster_id", "left_semi"))
+    rows = labelled.join(several, "url", "left_semi").groupBy("url").agg(*[F.min(c).alias(c) for c in labelled.columns[1:]])
     words = F.transform("evaluative_language", lambda w: F.lower(F.trim(w)))
-    members = mapped.join(rows, "url").select("cluster_id", "url", "article_type", "stance", F.array_distinct(words).alias("words"), X.norm_body(F.col("article_text")).alias("norm"))
+    members = several.join(rows, "url").select("cluster_id", "url", "article_type", "stance", F.array_distinct(words).alias("words"), X.norm_body(F.col("article_text")).alias("norm"))
     return D.editorial_splits(members)
 
 

@@ -89,6 +89,19 @@ def test_editorial_guard(spark):
     assert "unique_text" in found["c"] and "d" not in found
 
 
+def test_editorial_guard_reads_rows_of_one_address_as_its_sql(spark, tmp_path):
+    from tessella.plans.corpus import dd_editorial_guard
+
+    text = "one two three four five six"
+    rows = [("a", "News/Reporting", "support", ["x"], text), ("b", "Analysis", "support", None, text), ("b", "News/Reporting", "backlash", None, text), ("c", None, "support", None, text), ("d", None, "support", None, text), ("e", None, "support", None, text)]
+    spark.createDataFrame(rows, "url string, article_type string, stance string, evaluative_language array<string>, article_text string").write.parquet(f"{tmp_path}/labeled_articles.parquet")
+    spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (1, "e"), (2, "d"), (2, "absent")], "cluster_id long, url string").write.parquet(f"{tmp_path}/dedupe_map.parquet")
+    made = dd_editorial_guard(spark, str(tmp_path))
+    assert {r.url: r.reasons for r in made.collect()} == {"a": [], "b": ["opinion_overlay", "stance_differs(backlash_vs_support)"], "c": [], "e": []}
+    # the driver holds the plan, again at each step of it
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 24
+
+
 def test_smoothing_and_peak(spark):
     dense = spark.createDataFrame([("e", "c", 9, 0, 1), ("e", "c", 9, 1, 4), ("e", "c", 9, 2, 1)], "event string, country string, articles int, offset int, n int")
     assert [r.mean3 for r in V.smoothed(dense).orderBy("offset").collect()] == [2.5, 2.0, 2.5]
