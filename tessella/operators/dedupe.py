@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import norm_body, norm_title, norm_url, shingle_hashes
 from tessella.operators.relations import connected_components
+from tessella.operators.similar import described_sets, prefixes, sizes_agree, verified
 from tessella.session import cut_lineage, write_stage
 
 MIN_TITLE = 15
@@ -58,29 +59,28 @@ def bodies(articles: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     return rows.withColumn("digest", F.md5("norm")).join(first, "digest").select("id", "rep", "norm")
 
 
+def distinct_bodies(articles: DataFrame, key: str, text: str, least: int = 200) -> DataFrame:
+    """``id, norm`` of the representatives of ``bodies``; each text is normalised once and travels once more."""
+    rows = articles.where(F.length(text) > least).groupBy(F.col(key).alias("id")).agg(F.min(text).alias("text")).select("id", norm_body(F.col("text")).alias("norm"))
+    return rows.groupBy(F.md5("norm").alias("digest")).agg(F.min("id").alias("id"), F.min("norm").alias("norm")).select("id", "norm")
+
+
 def similar_pairs(units: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``a, b, similarity`` of all pairs ``a < b`` of ``id, norm`` whose shingle sets are at least this similar.
 
     Prefix filtering, which loses nothing: shingles are ordered from rare to common, and two sets of that similarity
     share one of the first ``n - ceil(threshold * n) + 1`` of theirs. Common shingles are so never joined on unless a
-    set has no rarer ones. Sizes must agree within the threshold, too. Only candidates are compared in full. The inputs are
+    set has no rarer ones. Sizes must agree within the threshold, and after the first shared shingle enough others
+    must be left in both. Candidates are compared by sketches, which lose nothing either, and those left in full. The inputs are
     class representatives: equal bodies are joined before by their digest, so no group of copies is paired.
     """
-    sets = units.select("id", shingle_hashes(F.col("norm")).alias("sh"))
-    each = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    frequency = each.groupBy("s").agg(F.count("*").alias("df"))
-    # read four times below, so written once
-    ordered = cut_lineage(each.join(frequency, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o")))
-    length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), length)).alias("p")).where("p.df > 1").select("id", "n", F.col("p.s").alias("s"))
-    left, right = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "s") for x in "ab")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    candidates = left.join(right, "s").where(near).select("a", "b").distinct()
-    hashes = ordered.select("id", F.transform("o", lambda x: x["s"]).alias("h"))
-    full = candidates.join(hashes.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(hashes.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    both = F.size(F.array_intersect("ha", "hb"))
-    similarity = both / (F.size("ha") + F.size("hb") - both)
-    return full.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    sets = described_sets(units)
+    prefix = prefixes(sets, threshold)
+    left, right = (prefix.select(F.col("num").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), "s") for x in "ab")
+    shared = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = shared >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    candidates = left.join(right, "s").where((F.col("a") < F.col("b")) & sizes_agree(threshold) & enough).select("a", "b")
+    return verified(candidates, sets, threshold)
 
 
 def near_clusters(articles: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:

@@ -65,14 +65,14 @@ PAIRS = "p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) / (max(a.n) +
 @query("dd_jaccard_pairs", f"WITH {SHINGLE_SETS}, {PAIRS} SELECT a, b, similarity FROM p WHERE similarity >= 0.8")
 def dd_jaccard_pairs(spark, base):
     """Pairs of class representatives: equal bodies are one class, given by dd_exact."""
-    units = D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
-    return D.similar_pairs(units.where("id = rep").select("id", "norm"))
+    units = D.distinct_bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return D.similar_pairs(units)
 
 
 @query("join_self_jaccard", f"WITH {SHINGLE_SETS}, {PAIRS} SELECT a, b, similarity FROM p WHERE similarity >= 0.5")
 def join_self_jaccard(spark, base):
-    units = D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
-    return D.similar_pairs(units.where("id = rep").select("id", "norm"), 0.5)
+    units = D.distinct_bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return D.similar_pairs(units, 0.5)
 
 
 @query("dd_near_components", f"""WITH RECURSIVE {SHINGLE_SETS}, {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM p WHERE similarity >= 0.8 UNION SELECT id, rep FROM (SELECT id, min(id) OVER (PARTITION BY norm) AS rep FROM b)),

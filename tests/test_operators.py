@@ -77,6 +77,27 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def alike(n=40, length=60):
+    """Texts with a common end, some changed from the one before, under ids that fall as rows rise; and their pairs of similarity 0.5."""
+    random.seed(8)
+    texts, before = {}, []
+    for i in range(n):
+        before = [f"w{random.randrange(10**6)}" for _ in range(length)] if i % 4 == 0 else before[: -6 * (i % 4)] + [f"v{random.randrange(10**6)}" for _ in range(6 * (i % 4))]
+        texts[f"u{n - i:03d}"] = " ".join(before + "the same end of all of these texts".split())
+    sets = {u: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for u, t in texts.items() for w in [t.split()]}
+    scores = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    return texts, scores
+
+
+def test_similar_pairs_move_sets_of_near_texts_only(spark):
+    texts, scores = alike()
+    made = D.similar_pairs(spark.createDataFrame(list(texts.items()), "id string, norm string").repartition(3), 0.5)
+    got = {(r.a, r.b): r.similarity for r in made.collect()}
+    assert got == {pair: score for pair, score in scores.items() if score >= 0.5} and got
+    # what is left to run joins texts that are near: no shingle, no distinct candidates
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 4
+
+
 def test_threshold_table_is_monotone(spark, tiny):
     rows = {r.threshold: r.unique_bodies for r in D.threshold_table(spark.read.parquet(f"{tiny}/labeled_articles.parquet"), "url", "article_text").collect()}
     assert rows[1.0] >= rows[0.9] >= rows[0.8] > 0
