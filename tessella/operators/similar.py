@@ -86,19 +86,17 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(made, "num bigint, n int, place int, s int")
 
 
-def _apart(threshold: float) -> Column:
-    """The most members in which sets of that similarity and of sizes ``na, nb`` differ."""
-    return (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
-
-
 def sizes_agree(threshold: float) -> Column:
     return F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
 
 
-def sketches_agree(a: Column, b: Column, threshold: float) -> Column:
+def parities_agree(differ: Column, threshold: float) -> Column:
     """Whether parities differ in no more bits than sets ``threshold`` alike can differ in members: no such pair is lost."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return differ <= _apart(threshold)
+    return differ <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9
+
+
+def sketches_agree(a: Column, b: Column, threshold: float) -> Column:
+    return parities_agree(F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x), threshold)
 
 
 def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

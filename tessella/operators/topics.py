@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, HashingTF, MinHashLSH, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import resources as R
-from tessella.functions.text import shingles, tokens, tokens3
+from tessella.functions.text import tokens, tokens3
 from tessella.operators.relations import first_by
+from tessella.operators.similar import SKETCH_BITS, described_sets, parities_agree, sizes_agree, verified
 
 # Rules that name a topic: language, word that its top words hold, name. The first of equal ones wins.
 NAME_RULES = [("en", "tribunal", "Hearings"), ("en", "staff", "Staff matters"), ("en", "letter", "Staff matters"), ("fr", "tribunal", "Audiences"), ("en", "hotel", "DROP  (hotels)")]
@@ -126,10 +129,24 @@ def topic_mix(weighted: DataFrame, group: str, weights: str, topics: int, least:
     return weighted.groupBy(group).agg(F.count("*").alias("n"), *means).where(F.col("n") >= least)
 
 
-def minhash_pairs(units: DataFrame, threshold: float = 0.8, tables: int = 8, seed: int = 42, buckets: int = 1 << 20) -> DataFrame:
-    """``a, b, similarity`` by MinHash tables: an approximate, verified alternative to the exact similarity join."""
-    sets = units.select("id", shingles(F.col("norm")).alias("sh")).where(F.size("sh") > 0)
-    vectors = HashingTF(inputCol="sh", outputCol="v", numFeatures=buckets, binary=True).transform(sets).select("id", "v")
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=seed).fit(vectors)
-    joined = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + 1e-9, distCol="d")
-    return joined.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d")).alias("similarity")).where("a < b")
+def minhash_pairs(units: DataFrame, threshold: float = 0.8, tables: int = 8, seed: int = 42) -> DataFrame:
+    """``a, b, similarity`` by MinHash tables: an approximate alternative to the exact similarity join, verified by the sets themselves.
+
+    Sets of similarity ``s`` share the least hash of a table with probability ``s``. Numbers and a folded sketch of each set
+    travel to its tables; classes of size and the sketch rule out pairs there that can't be similar enough, without loss.
+    """
+    factors = [random.Random(f"{seed}:{k}").getrandbits(64) | 1 for k in range(tables)]
+    sets = described_sets(units, factors)
+    folded = [reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(i)) for i in range(half, SKETCH_BITS // 64, 2)]).alias(f"k{half}") for half in (0, 1)]
+    # similar sizes lie in one class or in two that follow each other
+    size_class = F.floor(F.log("n") / (1e-6 - math.log(max(threshold, 1e-9)))).cast("int")
+    rows = sets.select("num", "n", *folded, size_class.alias("c"), F.posexplode("least").alias("t", "h"))
+
+    def side(x: str, df: DataFrame) -> DataFrame:
+        return df.select("t", "h", "c", F.col("num").alias(x), *[F.col(c).alias(c + x) for c in ("n", "k0", "k1")])
+
+    lesser, greater = side("a", rows), side("b", rows.withColumn("c", F.explode(F.array("c", F.col("c") - 1))))
+    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    agree = parities_agree(F.bit_count(F.col("k0a").bitwiseXOR(F.col("k0b"))) + F.bit_count(F.col("k1a").bitwiseXOR(F.col("k1b"))), threshold)
+    candidates = lesser.join(greater, ["t", "h", "c"]).where(once & sizes_agree(threshold) & agree).select("a", "b")
+    return verified(candidates, sets, threshold)

@@ -130,8 +130,8 @@ def dd_representative(spark, base):
 
 @query("dd_minhash_lsh")
 def dd_minhash_lsh(spark, base):
-    units = D.bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
-    return topics.minhash_pairs(units.where("id = rep").select("id", "norm"))
+    units = D.distinct_bodies(load_spread(spark, base, "labeled_articles", ["url", "article_text"]), "url", "article_text")
+    return topics.minhash_pairs(units)
 
 
 @query("fn_repair_rot47", """SELECT url, substring(md5(url), 1, 1) IN ('0', '1', '2', '3') AS changed, md5(min(article_text)) AS digest FROM labeled_articles WHERE article_text IS NOT NULL GROUP BY url""")

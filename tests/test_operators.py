@@ -9,6 +9,7 @@ from tessella.operators import events as V
 from tessella.operators import matching as M
 from tessella.operators import relations as O
 from tessella.operators import skew as K
+from tessella.operators import topics as T
 
 
 def test_components_of_chains_stars_and_loops(spark):
@@ -98,6 +99,12 @@ def test_similar_pairs_move_sets_of_near_texts_only(spark):
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 4
 
 
+def test_minhash_pairs_are_verified_by_the_sets_themselves(spark):
+    texts, scores = alike(n=12, length=3000)
+    got = {(r.a, r.b): r.similarity for r in T.minhash_pairs(spark.createDataFrame(list(texts.items()), "id string, norm string").repartition(3)).collect()}
+    assert got == {pair: score for pair, score in scores.items() if score >= 0.8} and got
+
+
 def test_threshold_table_is_monotone(spark, tiny):
     rows = {r.threshold: r.unique_bodies for r in D.threshold_table(spark.read.parquet(f"{tiny}/labeled_articles.parquet"), "url", "article_text").collect()}
     assert rows[1.0] >= rows[0.9] >= rows[0.8] > 0
