@@ -129,6 +129,10 @@ def topic_mix(weighted: DataFrame, group: str, weights: str, topics: int, least:
     return weighted.groupBy(group).agg(F.count("*").alias("n"), *means).where(F.col("n") >= least)
 
 
+#: Words of 64 parities that travel to each table: with fewer, more pairs are left for the whole sketch.
+FOLDS = 4
+
+
 def minhash_pairs(units: DataFrame, threshold: float = 0.8, tables: int = 8, seed: int = 42) -> DataFrame:
     """``a, b, similarity`` by MinHash tables: an approximate alternative to the exact similarity join, verified by the sets themselves.
 
@@ -137,16 +141,16 @@ def minhash_pairs(units: DataFrame, threshold: float = 0.8, tables: int = 8, see
     """
     factors = [random.Random(f"{seed}:{k}").getrandbits(64) | 1 for k in range(tables)]
     sets = described_sets(units, factors)
-    folded = [reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(i)) for i in range(half, SKETCH_BITS // 64, 2)]).alias(f"k{half}") for half in (0, 1)]
+    folded = [reduce(Column.bitwiseXOR, [F.get("sketch", F.lit(i)) for i in range(k, SKETCH_BITS // 64, FOLDS)]).alias(f"k{k}") for k in range(FOLDS)]
     # similar sizes lie in one class or in two that follow each other
     size_class = F.floor(F.log("n") / (1e-6 - math.log(max(threshold, 1e-9)))).cast("int")
     rows = sets.select("num", "n", *folded, size_class.alias("c"), F.posexplode("least").alias("t", "h"))
 
     def side(x: str, df: DataFrame) -> DataFrame:
-        return df.select("t", "h", "c", F.col("num").alias(x), *[F.col(c).alias(c + x) for c in ("n", "k0", "k1")])
+        return df.select("t", "h", "c", F.col("num").alias(x), *[F.col(c).alias(c + x) for c in ("n", *(f"k{k}" for k in range(FOLDS)))])
 
     lesser, greater = side("a", rows), side("b", rows.withColumn("c", F.explode(F.array("c", F.col("c") - 1))))
     once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    agree = parities_agree(F.bit_count(F.col("k0a").bitwiseXOR(F.col("k0b"))) + F.bit_count(F.col("k1a").bitwiseXOR(F.col("k1b"))), threshold)
+    agree = parities_agree(reduce(Column.__add__, [F.bit_count(F.col(f"k{k}a").bitwiseXOR(F.col(f"k{k}b"))) for k in range(FOLDS)]), threshold)
     candidates = lesser.join(greater, ["t", "h", "c"]).where(once & sizes_agree(threshold) & agree).select("a", "b")
     return verified(candidates, sets, threshold)
